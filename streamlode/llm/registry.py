@@ -7,6 +7,7 @@ import importlib
 #: query name, module, whether SQL states the same result
 LIST = (
     ("op1_mixing", "mixing"),
+    ("op2_warc", "warc"),
     ("op10_exact_dedup", "exact_dedup"),
 )
 
