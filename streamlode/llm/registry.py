@@ -8,6 +8,7 @@ import importlib
 LIST = (
     ("op1_mixing", "mixing"),
     ("op2_warc", "warc"),
+    ("op5_minhash", "minhash"),
     ("op10_exact_dedup", "exact_dedup"),
 )
 
