@@ -9,6 +9,8 @@ LIST = (
     ("op1_mixing", "mixing"),
     ("op2_warc", "warc"),
     ("op5_minhash", "minhash"),
+    ("op8_quality", "quality"),
+    ("op9_packing", "packing"),
     ("op10_exact_dedup", "exact_dedup"),
 )
 
