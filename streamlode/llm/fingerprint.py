@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import mix64
 
-LEAST, USUAL, MOST, STRICT_BITS, LOOSE_BITS = 32, 128, 512, 9, 6
+LEAST, USUAL, MOST, STRICT_BITS, LOOSE_BITS = 16, 48, 192, 7, 5
 GEAR = (mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 
 

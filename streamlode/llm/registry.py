@@ -8,7 +8,10 @@ import importlib
 LIST = (
     ("op1_mixing", "mixing"),
     ("op2_warc", "warc"),
+    ("op3_toxicity", "toxicity"),
     ("op5_minhash", "minhash"),
+    ("op6_fingerprint", "fingerprint"),
+    ("op7_url_filter", "url_filter"),
     ("op8_quality", "quality"),
     ("op9_packing", "packing"),
     ("op10_exact_dedup", "exact_dedup"),
