@@ -9,6 +9,7 @@ LIST = (
     ("op1_mixing", "mixing"),
     ("op2_warc", "warc"),
     ("op3_toxicity", "toxicity"),
+    ("op4_substring_dedup", "substring_dedup"),
     ("op5_minhash", "minhash"),
     ("op6_fingerprint", "fingerprint"),
     ("op7_url_filter", "url_filter"),
