@@ -82,7 +82,7 @@ class TreeModel:
         """Add pred, -1 where a path ends without a label. The tree is three literal arrays that each row walks: no join.
 
         shifted routes each value to the child of the value before it, as one of the original variants does;
-        what has no such child is 0.
+        value 0 has no such child.
         """
         place = {key: i for i, key in enumerate(self.nodes)}
         array = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")  # noqa: E731  folded into one constant
@@ -99,7 +99,7 @@ class TreeModel:
 
         end = F.aggregate(F.sequence(F.lit(1), F.lit(max(self.depth(), 1))), F.lit(0), step)
         found = F.when(end < 0, -1).otherwise(F.get(labels, end))
-        return rows.withColumn("pred", F.greatest(found, F.lit(0)) if shifted else found)
+        return rows.withColumn("pred", found)
 
 
 def fit(rows: DataFrame, spec: DatasetSpec, max_depth: int | None = None, label_exhausted: str = "none", cap: str = "majority") -> TreeModel:

@@ -190,12 +190,11 @@ def tree_ctes(obs: str, iter_size: int, levels: int = 4) -> str:
 
 def tree_walk(levels: int = 4, shift: int = 0) -> str:
     """p: row_id and pred of every row of full_."""
-    out, default = ["q0 AS (SELECT '' AS node_id, * FROM full_)"], "-1" if not shift else "0"
+    out = ["q0 AS (SELECT '' AS node_id, * FROM full_)"]
     for k in range(levels):
         value = "CASE n.split_attr WHEN 0 THEN f0 WHEN 1 THEN f1 WHEN 2 THEN f2 ELSE f3 END"
         out.append(f"q{k + 1} AS (SELECT CASE WHEN n.leaf OR n.node_id IS NULL THEN q.node_id ELSE q.node_id || '/' || ({value} - {shift}) END AS node_id, q.row_id, f0, f1, f2, f3, label FROM q{k} q LEFT JOIN nodes n USING (node_id))")
-    label = "n.class_label" if not shift else "greatest(n.class_label, 0)"
-    return ",\n".join([*out, f"p AS (SELECT q.row_id, q.label, coalesce({label}, {default}) AS pred FROM q{levels} q LEFT JOIN nodes n USING (node_id))"])
+    return ",\n".join([*out, f"p AS (SELECT q.row_id, q.label, coalesce(n.class_label, -1) AS pred FROM q{levels} q LEFT JOIN nodes n USING (node_id))"])
 
 
 FULL_W = f"full_ AS (SELECT * FROM obs WHERE row_id < (SELECT count(*) // {WIDE.iter_size} * {WIDE.iter_size} FROM obs))"
