@@ -8,9 +8,9 @@ that cannot be near; shared shingles of the full sets confirm the rest.
 
 Buckets are not expanded into pairs. First each member is compared with the smallest id of its bucket; the
 confirmed links join most buckets into one component. Only buckets that still hold several components are
-compared further, and only across components: members outside of the largest component against all.
-So no candidate link between components is lost, and a bucket of near copies costs as many pairs as it has
-members. A pair at the threshold shares a band with probability 1 - (1 - 0.75**4)**32 > 0.99999.
+compared further, and only across components: members outside of the largest component against all, pair
+by pair in small buckets and block by block in large ones, which emit confirmed links only. So no candidate
+link between components is lost. A pair at the threshold shares a band with probability 1 - (1 - 0.75**4)**32 > 0.99999.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from .common import WordHashes, gram_hashes, materialize, mix64
 from .components import components
 
 N_HASHES, N_BANDS, LOW_BITS, SHINGLE = 128, 32, 4, 5
+#: Buckets of up to so many documents are compared pair by pair, larger ones in blocks.
+SMALL = 64
 FEATURES = "doc_id long, n_shingles long, digest binary, signature array<long>, bands array<long>"
 
 
@@ -145,6 +147,60 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, most_broadcast: i
     return joined.mapInPandas(test, "a long, b long")
 
 
+def floor_of(percent: int) -> float:
+    """Over five standard deviations of the estimate below the threshold."""
+    return percent / 100 - 0.22
+
+
+def in_blocks(rows: DataFrame, held: DataFrame, docs: DataFrame, percent: int, block: int = 1000) -> DataFrame:
+    """Links (a, b) across components within large buckets. rows: doc_id, a (the bucket's smallest id), c (component).
+
+    Buckets that share documents make one cluster. In each, the documents outside of the largest component
+    are queries against all; both sides are cut into blocks, and a task compares one block with another.
+    """
+    coarse = components(rows.select("a", F.col("doc_id").alias("b"))).withColumnRenamed("id", "doc_id")
+    members = rows.select("doc_id", "c").distinct().join(coarse, "doc_id", "left").select("doc_id", "c", F.coalesce("component", "doc_id").alias("g"))
+    members = materialize(members)
+    counts = members.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("g").agg(F.max_by("c", "n").alias("largest"), F.sum("n").alias("n"), F.max("n").alias("m"))
+    cuts = counts.select("g", "largest", F.ceil(F.col("n") / block).alias("tn"), F.greatest(F.ceil((F.col("n") - F.col("m")) / block), F.lit(1)).alias("qn"))
+    full = members.join(held, "doc_id").join(docs, "doc_id").join(cuts, "g")
+    spot = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    columns = ["g", "doc_id", "c", "signature", "bands", "text"]
+    asked = full.where("c <> largest").select(*columns, F.lit(True).alias("asks"), spot("qn").alias("q"), every("tn").alias("t"))
+    present = full.select(*columns, F.lit(False).alias("asks"), every("qn").alias("q"), spot("tn").alias("t"))
+    lanes, chance, floor = N_HASHES, 2.0**-LOW_BITS, floor_of(percent)
+
+    def compare(frame):
+        import pandas as pd
+
+        known = WordHashes()
+        ask, rest = frame[frame["asks"]], frame[~frame["asks"]].reset_index(drop=True)
+        out: list[tuple[int, int]] = []
+        if len(ask) and len(rest):
+            sig, bands = np.stack(rest["signature"].to_numpy()).view(np.uint64), np.stack(rest["bands"].to_numpy())
+            ids, groups, sets = rest["doc_id"].to_numpy(), rest["c"].to_numpy(), {}
+            for x, c, s, b, text in zip(ask["doc_id"], ask["c"], ask["signature"], ask["bands"], ask["text"], strict=True):
+                d = sig ^ np.asarray(s, np.int64).view(np.uint64)
+                d |= d >> np.uint64(1)
+                d |= d >> np.uint64(2)
+                equal = 1 - np.bitwise_count(d & np.uint64(0x1111111111111111)).sum(axis=1) / lanes
+                fit = ((equal - chance) / (1 - chance) >= floor) & (groups != c) & (bands == np.asarray(b)).any(axis=1)
+                own, linked = shingles(words_of(text), known), set()
+                for k in np.flatnonzero(fit):
+                    if groups[k] in linked:  # one link joins the components
+                        continue
+                    if k not in sets:
+                        sets[k] = shingles(words_of(rest["text"][k]), known)
+                    shared = len(np.intersect1d(own, sets[k], assume_unique=True))
+                    if 100 * shared >= percent * (len(own) + len(sets[k]) - shared):
+                        linked.add(groups[k])
+                        out.append((min(x, ids[k]), max(x, ids[k])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return asked.unionByName(present).groupBy("g", "q", "t").applyInPandas(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row of docs: doc_id, n_shingles, component_id (the smallest id reachable over links) and kept.
 
@@ -158,26 +214,28 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     copied = materialize(classes.where("n > 1").select("digest", "rep"))
     placed = made.join(copied, "digest", "left").select("doc_id", "n_shingles", "signature", "bands", F.coalesce("rep", "doc_id").alias("rep"))
     reps = placed.where("doc_id = rep and bands is not null").dropDuplicates(["doc_id"])
-    cells = reps.select("doc_id", "signature", F.explode("bands").alias("band"))
-    shared = cells.groupBy("band").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    cells = reps.select("doc_id", F.explode("bands").alias("band"))
+    shared = cells.groupBy("band").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets = materialize(cells.join(shared, "band"))
-    signatures = buckets.select("doc_id", "signature").dropDuplicates(["doc_id"])
-    of = lambda x: signatures.select(F.col("doc_id").alias(x), F.col("signature").alias(f"s_{x}"))
-    floor = percent / 100 - 0.22  # over five standard deviations of the estimate
-    near = lambda x, y: estimate(F.col(x), F.col(y)) >= floor
-    star = buckets.where("doc_id <> a").select("a", F.col("doc_id").alias("b"), F.col("signature").alias("s_b")).dropDuplicates(["a", "b"])
-    tried = materialize(star.join(of("a"), "a").where(near("s_a", "s_b")).select("a", "b"))
+    held = materialize(reps.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "signature", "bands"))
+    of = lambda x: held.select(F.col("doc_id").alias(x), F.col("signature").alias(f"s_{x}"))
+    near = estimate(F.col("s_a"), F.col("s_b")) >= floor_of(percent)
+    star = buckets.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
+    tried = materialize(star.join(of("b"), "b").join(of("a"), "a").where(near).select("a", "b"))
     links = materialize(confirmed(tried, docs, percent))
-    first = components(links)
-    labelled = buckets.join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("band", "doc_id", "signature", F.coalesce("component", "doc_id").alias("c"))
-    sizes = labelled.groupBy("band", "c").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("band").agg(F.count(F.lit(1)).alias("k"), F.max_by("c", "n").alias("largest")).where("k > 1").select("band", "largest")
-    rest = materialize(labelled.join(mixed, "band"))
-    one = rest.where("c <> largest").select("band", F.col("doc_id").alias("x"), F.col("c").alias("cx"), F.col("signature").alias("sx"))
-    all_ = rest.select("band", F.col("doc_id").alias("y"), F.col("c").alias("cy"), F.col("signature").alias("sy"), "largest")
-    across = one.join(all_, "band").where(((F.col("cy") == F.col("largest")) | (F.col("x") < F.col("y"))) & (F.col("cx") != F.col("cy")) & near("sx", "sy"))
-    more = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    found = components(links.unionByName(confirmed(materialize(more), docs, percent)))
+    first = components(links).withColumnRenamed("id", "doc_id")
+    labelled = buckets.join(first, "doc_id", "left").select("band", "doc_id", "size", "a", F.coalesce("component", "doc_id").alias("c"))
+    parts = labelled.groupBy("band", "c").agg(F.count(F.lit(1)).alias("n"))
+    several = parts.groupBy("band").agg(F.count(F.lit(1)).alias("k"), F.max_by("c", "n").alias("largest")).where("k > 1").select("band", "largest")
+    rest = materialize(labelled.where("size > 2").join(several, "band"))
+    small = rest.where(F.col("size") <= SMALL)
+    one = small.where("c <> largest").select("band", F.col("doc_id").alias("x"), F.col("c").alias("cx"))
+    other = small.select("band", F.col("doc_id").alias("y"), F.col("c").alias("cy"), "largest")
+    across = one.join(other, "band").where(((F.col("cy") == F.col("largest")) | (F.col("x") < F.col("y"))) & (F.col("cx") != F.col("cy")))
+    pairs = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    more = pairs.join(of("b"), "b").join(of("a"), "a").where(near).select("a", "b").join(tried, ["a", "b"], "left_anti")
+    found = links.unionByName(confirmed(materialize(more), docs, percent)).unionByName(in_blocks(rest.where(F.col("size") > SMALL), held, docs, percent))
+    found = components(found)
     final = placed.select("doc_id", "n_shingles", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left")
     return final.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
