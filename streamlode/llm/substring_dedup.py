@@ -1,13 +1,14 @@
 """Substring deduplication: words in windows that also start earlier in the corpus are removed.
 
-Every window of 20 words has one minimizer, the least hash among its 8-word grams, and consecutive windows
-with the same one make a segment. Equal windows have equal minimizers, so only segments whose minimizer is
-found twice can hold a repeated window: a first pass counts minimizers, and a bounded Bloom filter of those
-found twice lets a second pass write the possibly repeated segments alone. (Its size is bounded, so a larger
-corpus lets more segments through; none is lost.)
-
-Equal segments are collapsed to their first occurrence: all later ones repeat it. The distinct segments that
-share a minimizer go to the shard of that minimizer. A shard builds an FM-index over its segments, streams
+Every window of 20 words has one minimizer, the least hash among its 8-word grams, and up to 20 consecutive
+windows with the same one make a segment. Equal windows have equal minimizers, so only segments whose minimizer
+is found twice can hold a repeated window: a first pass counts minimizers, and a bounded Bloom filter of those
+found twice lets a second pass write the places of possibly repeated segments, without their words. (Its size
+is bounded, so a larger corpus lets more segments through; none is lost.)
+
+Equal segments are collapsed to their first occurrence: all later ones repeat it. Where distinct segments
+share a minimizer, or a segment may repeat itself, a third pass fetches the words of the first occurrences, and
+they go to the shard of that minimizer. A shard builds an FM-index over its segments, streams
 their windows through backward search over the wavelet matrix, and takes the earliest occurrence in each
 suffix interval. Minimizers with more distinct segments than a shard may hold have their windows grouped
 by hash instead, which is exact as well.
@@ -21,35 +22,55 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, gram_hashes, materialize, mix64
+from .common import WordHashes, gram_hashes, materialize
 from .fm_index import FMIndex
 
 WINDOW, GRAM = 20, 8
 
 
-def segments(words: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Minimizer, first window and number of windows of each segment of a document's word hashes."""
+def extreme(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
+    """best (np.minimum or np.maximum) over each run of ``width`` values, by doubling."""
+    done = 1
+    while 2 * done <= width:
+        x, done = best(x[:-done], x[done:]), 2 * done
+    return x if done == width else best(x[: len(x) - (width - done)], x[width - done :])
+
+
+def segments(words: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Minimizer, first window, number of windows (at most ``window``) of each segment of a document's word hashes,
+    and whether the segment may hold one window twice."""
     if len(words) < window:
         empty = np.empty(0, np.int64)
-        return np.empty(0, np.uint64), empty, empty
-    grams = gram_hashes(words, gram)
-    view = np.lib.stride_tricks.sliding_window_view(grams, window - gram + 1)
-    at = view.argmin(axis=1) + np.arange(len(view))
-    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    return grams[at[first]], first, np.diff(np.append(first, len(view)))
+        return np.empty(0, np.uint64), empty, empty, np.empty(0, bool)
+    grams, width = gram_hashes(words, gram), window - gram + 1
+    least = extreme(grams, width, np.minimum)
+    first = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+    n = np.diff(np.append(first, len(least)))
+    if n.max() > window:  # cut long runs
+        pieces = -(-n // window)
+        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        first = np.repeat(first, pieces) + nth * window
+        n = np.minimum(np.repeat(n, pieces) - nth * window, window)
+    # a gram is least in some window if the greatest minimum of the windows around it is its own hash
+    side = np.zeros(width - 1, np.uint64)
+    at = np.flatnonzero(grams == extreme(np.concatenate([side, least, side]), width, np.maximum))
+    close = (np.diff(at) <= width) & (grams[at[1:]] == grams[at[:-1]])
+    own = np.isin(least[first], grams[at[1:][close]]) if close.any() else np.zeros(len(first), bool)
+    return least[first], first, n, own
 
 
 def repeated_minimizers(docs: DataFrame) -> DataFrame:
-    """The minimizers (column m) of two or more segments."""
+    """The minimizers (column m) of two or more segments, or of one that may repeat itself."""
 
     def run(batches):
         import pandas as pd
 
         known = WordHashes()
         for b in batches:
-            found = [segments(known.of((t or "").encode().split()))[0] for t in b["text"]]
+            found = [segments(known.of((t or "").encode().split())) for t in b["text"]]
             if found:
-                m, n = np.unique(np.concatenate(found), return_counts=True)
+                # a segment that may repeat itself counts twice
+                m, n = np.unique(np.concatenate([x for m, _, _, own in found for x in (m, m[own])]), return_counts=True)
                 yield pd.DataFrame({"m": m.view(np.int64), "n": n})
 
     return docs.select("text").mapInPandas(run, "m long, n long").groupBy("m").agg(F.sum("n").alias("n")).where("n > 1").select("m")
@@ -68,40 +89,64 @@ def bloom(keys: DataFrame, most_bits: int = 27) -> np.ndarray:
 
 
 def occurrences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """doc_id, row, start, n (windows), m, s (hash of the segment) and its words, for segments that pass the filter."""
+    """doc_id, row, start, n (windows), m, s (hash of the segment) and own, for segments that pass the filter."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(bits)  # at most 16 MB
-    schema = "doc_id long, row long, start long, n int, m long, s long, words binary"
+    schema = "doc_id long, row long, start long, n int, m long, s long, own boolean"
 
     def run(batches):
         import pandas as pd
+        import xxhash
 
-        bits, known = shared.value, WordHashes()
+        bits, known, digest = shared.value, WordHashes(), xxhash.xxh3_64_intdigest
         shift = np.uint64(64 - (len(bits).bit_length() - 1 + 6))
         for b in batches:
             out = []
             for i, row, text in zip(b["doc_id"], b["row"], b["text"], strict=True):
                 words = (text or "").encode().split()
-                hashes = known.of(words)
-                m, first, n = segments(hashes)
+                m, first, n, own = segments(known.of(words))
                 at = m >> shift
-                for k in np.flatnonzero(bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)):
-                    out.append((None if pd.isna(i) else int(i), row, int(first[k]), int(n[k]), int(m[k].view(np.int64)), b" ".join(words[first[k] : first[k] + n[k] + WINDOW - 1])))
-            import xxhash
-
-            frame = pd.DataFrame(out, columns=["doc_id", "row", "start", "n", "m", "words"])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            frame["s"] = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in frame["words"]), np.uint64, len(frame)).view(np.int64)
-            yield frame[["doc_id", "row", "start", "n", "m", "s", "words"]]
+                some = np.flatnonzero(bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1))
+                if len(some):
+                    first, n = first[some], n[some]
+                    s = np.fromiter((digest(b" ".join(words[p : p + k + WINDOW - 1])) for p, k in zip(first.tolist(), n.tolist(), strict=True)), np.uint64, len(some))
+                    frame = pd.DataFrame({"row": row, "start": first, "n": n, "m": m[some].view(np.int64), "s": s.view(np.int64), "own": own[some]})
+                    frame.insert(0, "doc_id", pd.array([None if pd.isna(i) else int(i)], dtype="Int64").repeat(len(some)))
+                    out.append(frame)
+                if sum(map(len, out)) > 50_000 or len(out) >= 2000:
+                    yield pd.concat(out)
+                    out = []
+            if out:
+                yield pd.concat(out)
 
     return docs.mapInPandas(run, schema)
 
 
+def with_words(firsts: DataFrame, docs: DataFrame, most_broadcast: int) -> DataFrame:
+    """firsts (doc_id, row, start, n, m, s; no null id) with their words, read from docs (doc_id, row, text)."""
+    # a document's segments are bounded by its length
+    wanted = materialize(firsts.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "n", "m", "s")).alias("found")))
+    count, size = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("found")), F.lit(0))).first()
+    small = count <= most_broadcast and size <= 5 * most_broadcast  # 32 bytes a segment; beyond that a shuffled join
+    texts = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), "row", "text")
+    joined = texts.join(F.broadcast(wanted) if small else wanted, ["doc_id", "row"])
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            for i, text, found in zip(b["doc_id"], b["text"], b["found"], strict=True):
+                words = text.encode().split()
+                yield pd.DataFrame([(i, x["start"], x["n"], x["m"], x["s"], b" ".join(words[x["start"] : x["start"] + x["n"] + WINDOW - 1])) for x in found], columns=["doc_id", "start", "n", "m", "s", "words"])
+
+    return joined.select("doc_id", "text", "found").mapInPandas(run, "doc_id long, start long, n int, m long, s long, words binary")
+
+
 def earlier_windows(frame, window: int = WINDOW):
     """m, s, mask for the segments of a shard (columns doc_id, start, n, m, s, words): the windows that start earlier elsewhere."""
     import pandas as pd
 
-    frame = frame.sort_values(["doc_id", "start"], na_position="first").reset_index(drop=True)
+    frame = frame.drop_duplicates(["m", "s"]).sort_values(["doc_id", "start"], na_position="first").reset_index(drop=True)
     parts = [w.split() for w in frame["words"]]
     lengths = np.array([len(p) for p in parts])
     codes: dict[bytes, int] = {}
@@ -147,13 +192,16 @@ def remove_repeats(docs: DataFrame, shard_words: int = 300_000, most_segments: i
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("row", F.xxhash64("text"))
     bits = bloom(materialize(repeated_minimizers(docs)))
     found = materialize(occurrences(docs.select("doc_id", "row", "text"), bits))
-    distinct = found.groupBy("m", "s").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), "start", "n", "words")).alias("first"), F.count(F.lit(1)).alias("times"))
-    distinct = materialize(distinct.select("m", "s", "first.*", "times"))
-    kinds = distinct.groupBy("m").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("n") + WINDOW).alias("size")).where("kinds > 1")
+    distinct = found.groupBy("m", "s").agg(
+        F.min(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), "start", "n", "row")).alias("first"), F.count(F.lit(1)).alias("times"), F.max("own").alias("own")
+    )
+    distinct = materialize(distinct.select("m", "s", "first.*", "times", "own"))
+    kinds = distinct.groupBy("m").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("n") + WINDOW).alias("size"), F.max("own").alias("own")).where("kinds > 1 or own")
     kinds = materialize(kinds)
     total = kinds.where(F.col("kinds") <= most_segments).agg(F.sum("size")).first()[0] or 0
     shards = max(1, -(-total // shard_words))
-    several = distinct.join(kinds.select("m", "kinds"), "m")
+    several = with_words(distinct.drop("own").join(kinds.select("m"), "m"), docs, most_broadcast)
+    several = materialize(several).join(kinds.select("m", "kinds"), "m")
     usual = several.where(F.col("kinds") <= most_segments).withColumn("shard", F.pmod(F.xxhash64("m"), F.lit(shards)))
     masks = usual.groupBy("shard").applyInPandas(lambda f: earlier_windows(f), "m long, s long, mask long")
     masks = materialize(masks.unionByName(hot_windows(several.where(F.col("kinds") > most_segments))))

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from streamlode.llm import exact_dedup, fingerprint, minhash, mixing, packing, quality, substring_dedup, toxicity, url_filter, warc
+from streamlode.llm.common import WordHashes
 from streamlode.llm.components import components
 from streamlode.llm.fm_index import FMIndex
 
@@ -133,6 +134,23 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(1, 41)}, 101: 100}
 
 
+def test_segments_tell_of_windows_that_they_hold_twice():
+    for base in ([b"a"] * 70, [b"a", b"b", b"c"] * 20, [b"%d" % i for i in range(60)], [b"%d" % (i % 33) for i in range(90)]):
+        m, first, n, own = substring_dedup.segments(WordHashes().of(base))
+        windows = [tuple(base[i : i + 20]) for i in range(len(base) - 19)]
+        assert n.sum() == len(windows) and n.max() <= 20
+        for a, k, flag in zip(first, n, own, strict=True):
+            assert flag or len(set(windows[a : a + k])) == k
+
+
+def test_substring_dedup_within_runs_of_one_word(spark):
+    rows = [(0, "a " * 60), (1, "b c " * 30), (2, " ".join(map(str, range(50))) + " a" * 25), (3, "x " + "a " * 200 + "y"), (4, "a " * 19)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for more in ({}, {"most_segments": 1}, {"most_broadcast": 0}):
+        got = substring_dedup.remove_repeats(docs, **more).collect()
+        assert {r.doc_id: (r.n_words, r.n_removed, r.text) for r in got} == brute_substrings(rows)
+
+
 def brute_substrings(rows, n=20):
     words = [(i, WORD.findall(t or "")) for i, t, *_ in rows]
     first = {}
