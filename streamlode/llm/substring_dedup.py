@@ -100,8 +100,14 @@ def occurrences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
 
         bits, known, digest = shared.value, WordHashes(), xxhash.xxh3_64_intdigest
         shift = np.uint64(64 - (len(bits).bit_length() - 1 + 6))
+        def frame(ids, rows, sizes, parts, s):
+            first, n, m, own = map(np.concatenate, zip(*parts, strict=True))
+            out = pd.DataFrame({"row": np.repeat(np.array(rows, np.int64), sizes), "start": first, "n": n, "m": m.view(np.int64), "s": np.array(s, np.uint64).view(np.int64), "own": own})
+            out.insert(0, "doc_id", pd.array(ids, dtype="Int64").repeat(sizes))
+            return out
+
         for b in batches:
-            out = []
+            ids, rows, sizes, parts, s = [], [], [], [], []
             for i, row, text in zip(b["doc_id"], b["row"], b["text"], strict=True):
                 words = (text or "").encode().split()
                 m, first, n, own = segments(known.of(words))
@@ -109,15 +115,16 @@ def occurrences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
                 some = np.flatnonzero(bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1))
                 if len(some):
                     first, n = first[some], n[some]
-                    s = np.fromiter((digest(b" ".join(words[p : p + k + WINDOW - 1])) for p, k in zip(first.tolist(), n.tolist(), strict=True)), np.uint64, len(some))
-                    frame = pd.DataFrame({"row": row, "start": first, "n": n, "m": m[some].view(np.int64), "s": s.view(np.int64), "own": own[some]})
-                    frame.insert(0, "doc_id", pd.array([None if pd.isna(i) else int(i)], dtype="Int64").repeat(len(some)))
-                    out.append(frame)
-                if sum(map(len, out)) > 50_000 or len(out) >= 2000:
-                    yield pd.concat(out)
-                    out = []
-            if out:
-                yield pd.concat(out)
+                    s += [digest(b" ".join(words[p : p + k + WINDOW - 1])) for p, k in zip(first.tolist(), n.tolist(), strict=True)]
+                    ids.append(None if pd.isna(i) else int(i))
+                    rows.append(row)
+                    sizes.append(len(some))
+                    parts.append((first, n, m[some], own[some]))
+                if len(s) > 50_000:
+                    yield frame(ids, rows, sizes, parts, s)
+                    ids, rows, sizes, parts, s = [], [], [], [], []
+            if s:
+                yield frame(ids, rows, sizes, parts, s)
 
     return docs.mapInPandas(run, schema)
 
@@ -134,10 +141,17 @@ def with_words(firsts: DataFrame, docs: DataFrame, most_broadcast: int) -> DataF
     def run(batches):
         import pandas as pd
 
+        frame = lambda rows: pd.DataFrame(rows, columns=["doc_id", "start", "n", "m", "s", "words"])
         for b in batches:
+            out = []
             for i, text, found in zip(b["doc_id"], b["text"], b["found"], strict=True):
                 words = text.encode().split()
-                yield pd.DataFrame([(i, x["start"], x["n"], x["m"], x["s"], b" ".join(words[x["start"] : x["start"] + x["n"] + WINDOW - 1])) for x in found], columns=["doc_id", "start", "n", "m", "s", "words"])
+                out += [(i, x["start"], x["n"], x["m"], x["s"], b" ".join(words[x["start"] : x["start"] + x["n"] + WINDOW - 1])) for x in found]
+                if len(out) > 20_000:
+                    yield frame(out)
+                    out = []
+            if out:
+                yield frame(out)
 
     return joined.select("doc_id", "text", "found").mapInPandas(run, "doc_id long, start long, n int, m long, s long, words binary")
 
