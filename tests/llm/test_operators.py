@@ -242,7 +242,7 @@ def test_packing(docs, empty):
     assert packing.pack(empty, path).count() == 0
 
 
-@pytest.mark.parametrize("text", ["", " ", "a  b", " a", "a ", "a \n b", "don't  stop", "<|endoftext|> x<|endoftext|>", "\n\n a\t b ", "a\x85 b", "a \x1c b", "\0a \0b  \0", "a \0b", "1 2　3 4"])
+@pytest.mark.parametrize("text", ["", " ", "a  b", " a", "a ", "a \n b", "don't  stop", "<|endoftext|> x<|endoftext|>", "\n\n a\t b ", "a\x85 b", "a \x1c b", "\0a \0b  \0", "a \0b", "a \1b\nc", "a.\nB\n\nc", "a\nb\r\nc \nd", "a\n", "1 2　3 4"])
 def test_pieces_have_the_ids_of_the_whole(text):
     import public_tokenizers
     from tokenizers import Tokenizer
