@@ -285,3 +285,17 @@ def test_quality(spark, empty):
     assert sum(r.predicted == r.quality for r in held) / len(held) > 0.95
     assert quality.scored(empty, labels).count() == 0 and quality.accepted(docs, labels).columns == docs.columns
     assert {r.score for r in quality.scored(docs.limit(5), labels.limit(0)).collect()} == {0.5}
+
+
+def test_packing_finds_neighbours_anywhere_in_the_input(spark):
+    import public_tokenizers
+
+    rng = random.Random(5)
+    topics = [[f"k{g}x{j}" for j in range(30)] for g in range(16)]
+    rows = [(i, " ".join(rng.choices(topics[i % 16], k=200))) for i in range(160)]  # a topic's documents lie 16 rows apart
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4, "doc_id")
+    by_seq = {}
+    for r in packing.pack(df, public_tokenizers.path("byte_bpe_50k.json"), shard=20).collect():
+        by_seq.setdefault(r.sequence_id, []).append(r)
+    pairs = [(a.doc_id % 16, b.doc_id % 16) for p in by_seq.values() for s in [sorted(p, key=lambda r: r.offset)] for a, b in zip(s, s[1:], strict=False)]
+    assert sum(a == b for a, b in pairs) / len(pairs) > 0.7
