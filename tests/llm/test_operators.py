@@ -299,3 +299,26 @@ def test_packing_finds_neighbours_anywhere_in_the_input(spark):
         by_seq.setdefault(r.sequence_id, []).append(r)
     pairs = [(a.doc_id % 16, b.doc_id % 16) for p in by_seq.values() for s in [sorted(p, key=lambda r: r.offset)] for a, b in zip(s, s[1:], strict=False)]
     assert sum(a == b for a, b in pairs) / len(pairs) > 0.7
+
+
+def test_packing_scores_all_terms_and_keeps_all_neighbours():
+    shared = np.arange(100, 200, dtype=np.uint64)
+    docs = [shared, *(np.concatenate([shared[k : k + 1], np.arange(1000 * k + 1000, 1000 * k + 1003, dtype=np.uint64)]) for k in range(100)), np.array([7, 8], np.uint64)]
+    n, df = len(docs), 2
+    mean = sum(map(len, docs)) / n
+    norm = 1.2 * (0.25 + 0.75 * 4 / mean)
+    expected = np.log1p((n - df + 0.5) / (df + 0.5)) * 2.2 / (1 + norm)
+    got = packing.Shard(docs).scores(0)
+    assert got[1:101] == pytest.approx(expected) and got[101] == 0
+    ids = [np.ones(20, np.uint32)] * n
+    docs.insert(1, docs.pop())  # the unrelated document stands next to the seed
+    order = [p[0] for p in packing.place(ids, docs, list(range(n)), packing.Windows(0, 20 * n))]
+    assert order[0] == 0 and order[-1] == 1
+
+
+def test_packing_takes_words_split_at_any_white_space():
+    import public_tokenizers
+
+    encoder = packing.PieceTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    a, b, c = encoder.encode(pa.array(["one two three", "one\ntwo\n\nthree", ""]))[1]
+    assert a.tolist() == b.tolist() and len(a) == 3 and len(c) == 0
