@@ -2,7 +2,9 @@
 
 Pages that an allow rule fits seed trust at their host, pages that a block rule fits seed distrust.
 Personalised PageRank carries trust along links and distrust against them; a host whose distrust exceeds
-its trust is blocked. Both ranks are shares of their seeds, so the test does not depend on the corpus size.
+its trust is blocked. Both ranks are shares of their seeds and compared by a relative margin, so the test does
+not depend on the corpus size. The ranks are carried on until none of them grows by more than a relative
+tolerance; the SQL stops after ``STEPS`` steps and rounds to 12 decimals.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r'href="(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^"/?#]*)'
 DAMPING, STEPS = 0.85, 10
+#: Steps between two tests of convergence, the relative growth over them that ends it, and by how much distrust must exceed trust.
+BLOCK, TOLERANCE, MARGIN = 5, 1e-7, 1e-6
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -53,10 +57,17 @@ def host_ranks(judged: DataFrame) -> DataFrame:
     totals = counts.groupBy("kind").agg(F.sum("n").alias("all"))  # two rows
     seeds = materialize(counts.join(F.broadcast(totals), "kind").select("host", "kind", (F.col("n") / F.col("all") * (1 - DAMPING)).alias("rank")))
     ranks = seeds
-    for _ in range(STEPS if not flow.isEmpty() else 0):
-        moved = flow.join(ranks.withColumnRenamed("host", "from"), ["from", "kind"]).groupBy(F.col("to").alias("host"), "kind").agg(F.sum(F.col("rank") * F.col("share") * DAMPING).alias("rank"))
-        ranks = materialize(seeds.unionByName(moved).groupBy("host", "kind").agg(F.sum("rank").alias("rank")))
-    of = lambda kind: F.round(F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0)), 12)
+    grows = not flow.isEmpty()
+    while grows:  # ranks never fall, and what is still to come shrinks by DAMPING a step
+        old = ranks
+        for _ in range(BLOCK):
+            moved = flow.join(ranks.withColumnRenamed("host", "from"), ["from", "kind"]).groupBy(F.col("to").alias("host"), "kind").agg(F.sum(F.col("rank") * F.col("share") * DAMPING).alias("rank"))
+            ranks = seeds.unionByName(moved).groupBy("host", "kind").agg(F.sum("rank").alias("rank"))
+        ranks = materialize(ranks)
+        both = ranks.withColumn("old", F.lit(0.0)).unionByName(old.select("host", "kind", F.lit(0.0).alias("rank"), F.col("rank").alias("old")))
+        growth = both.groupBy("host", "kind").agg(F.sum("rank").alias("rank"), F.sum("old").alias("old")).agg(F.max(F.when(F.col("rank") > 0, 1 - F.col("old") / F.col("rank")))).first()[0]
+        grows = (growth or 0.0) > TOLERANCE
+    of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0))
     return ranks.groupBy("host").agg(of("allow").alias("trust"), of("block").alias("distrust"))
 
 
@@ -72,7 +83,7 @@ def judge(pages: DataFrame, rules=RULES, most_broadcast: int = 500_000) -> DataF
     parsed = pages.withColumns({"host": host, "path": path})
     text, verdict = rule_of(F.col("host"), F.col("path"), rules)
     judged = parsed.withColumns({"rule": text, "rule_verdict": verdict})
-    blocked = materialize(host_ranks(judged).where("distrust > trust").select(F.col("host").alias("__host")))
+    blocked = materialize(host_ranks(judged).where(F.col("distrust") > F.col("trust") * (1 + MARGIN)).select(F.col("host").alias("__host")))
     small = blocked.count() <= most_broadcast  # tens of bytes a host; beyond that a shuffled join, whose hot keys AQE splits
     joined = judged.join(F.broadcast(blocked) if small else blocked, F.col("host") == F.col("__host"), "left")
     method = F.when(F.col("__host").isNotNull(), "block").otherwise("allow")

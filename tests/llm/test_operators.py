@@ -322,3 +322,11 @@ def test_packing_takes_words_split_at_any_white_space():
     encoder = packing.PieceTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
     a, b, c = encoder.encode(pa.array(["one two three", "one\ntwo\n\nthree", ""]))[1]
     assert a.tolist() == b.tolist() and len(a) == 3 and len(c) == 0
+
+
+def test_url_ranks_reach_hosts_of_any_distance(spark):
+    pages = [(0, "http://bad.com/en/", "")] + [(k, f"http://h{k}.info/", f'<a href="http://{"bad.com" if k == 1 else f"h{k - 1}.info"}/">') for k in range(1, 15)]
+    pages += [(100 + k, f"http://many.org/es/{k}", "") for k in range(50)]  # most of the distrust is elsewhere
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in url_filter.judge(df).collect()}
+    assert {got[k] for k in range(15)} == {"block"}
