@@ -17,6 +17,7 @@ their ids), so the tables that are broadcast are bounded too; the backoff counts
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -118,30 +119,71 @@ def counted(rows: DataFrame) -> DataFrame:
     return contexts.groupBy("w").agg(F.sum(1 - F.col("y")).alias("n0"), F.sum("y").alias("n1"))
 
 
-def continuations(docs: DataFrame) -> DataFrame:
-    """w and shared: over all documents, how many different words stand before w in each, summed. Aggregated by task first."""
+def continuations(docs: DataFrame, vocabulary: np.ndarray, bucket_bytes: int = 12_000_000) -> tuple[np.ndarray, int]:
+    """How many different words stand before each word of the vocabulary (sorted hashes) in the corpus, and before all words in sum.
+
+    A task drops its repeats and deals its pairs to buckets by their keys; a bucket, whose pairs come from about
+    ``bucket_bytes`` of text, drops the repeats of all tasks. Pairs travel as arrays: their codes as compressed
+    differences, and the upper 48 bits of their keys, which tell the few million pairs of a bucket apart.
+    """
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(12, -(-size // bucket_bytes))
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # bounded by max_rows
+
+    def distinct(keys: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys, first = np.unique(keys, return_index=True)
+        return keys, codes[first]
 
     def run(batches):
         import pandas as pd
 
-        known = WordHashes()
-        total = pd.Series(dtype="int64")
+        known, vocabulary = WordHashes(), shared.value
+
+        def flush(held):
+            keys, words = distinct(np.concatenate([pair_keys(x)[1:] for x in held]), np.concatenate([x[1:] for x in held]))
+            codes = np.full(len(words), -1, np.int32)
+            if len(vocabulary):
+                at = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
+                codes = np.where(vocabulary[at] == words, at, -1).astype(np.int32)
+            bucket = (keys % np.uint64(buckets)).astype(np.int32)
+            order = np.lexsort((codes, bucket))
+            keys, codes = keys[order], codes[order]
+            ends = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
+            some = [k for k in range(buckets) if ends[k] < ends[k + 1]]
+            upper = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]
+            steps = [zlib.compress(np.diff(codes[ends[k] : ends[k + 1]], prepend=np.int32(0)).astype("<i4").tobytes(), 1) for k in some]
+            return pd.DataFrame({"bucket": some, "keys": [upper[ends[k] : ends[k + 1]].tobytes() for k in some], "codes": steps})
+
+        held, n = [], 0
         for b in batches:
-            parts = []
             for text in b.iloc[:, 0]:
                 words = tokens(text, known)
                 if len(words) > 1:
-                    parts.append(words[1:][np.unique(pair_keys(words)[1:], return_index=True)[1]])
-            if parts:
-                w, n = np.unique(np.concatenate(parts), return_counts=True)
-                total = total.add(pd.Series(n, index=w.view(np.int64)), fill_value=0)
-                if len(total) > 500_000:
-                    yield pd.DataFrame({"w": total.index.astype("int64"), "shared": total.to_numpy("int64")})
-                    total = total.iloc[:0]
-        if len(total):
-            yield pd.DataFrame({"w": total.index.astype("int64"), "shared": total.to_numpy("int64")})
+                    held.append(words)
+                    n += len(words)
+                if n > 2_000_000:
+                    yield flush(held)
+                    held, n = [], 0
+        if held:
+            yield flush(held)
+
+    def count(frame):
+        import pandas as pd
+
+        upper = np.concatenate([np.frombuffer(x, np.uint8) for x in frame["keys"]]).reshape(-1, 6)
+        keys = np.zeros((len(upper), 8), np.uint8)
+        keys[:, :6] = upper
+        codes = np.concatenate([np.cumsum(np.frombuffer(zlib.decompress(x), "<i4"), dtype=np.int32) for x in frame["codes"]])
+        _, codes = distinct(keys.view("<u8").reshape(-1), codes)
+        code, n = np.unique(codes, return_counts=True)
+        return pd.DataFrame({"code": code, "n": n})
 
-    return docs.select("text").mapInPandas(run, "w long, shared long").groupBy("w").agg(F.sum("shared").alias("shared"))
+    dealt = docs.select("text").mapInPandas(run, "bucket int, keys binary, codes binary")
+    found = dealt.groupBy("bucket").applyInPandas(count, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
+    code, n = found["code"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
+    counts = np.zeros(len(vocabulary), np.int64)
+    counts[code[code >= 0]] = n[code >= 0]
+    return counts, int(n.sum())
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> Model:
@@ -149,10 +191,10 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> Model:
     ids = training_rows(docs.select("doc_id"), labels, "toxic", 3, 1).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     ids = materialize(ids)  # at most max_rows rows
     sample = materialize(docs.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).withColumn("calibrates", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(4)) == 0))
-    words = counted(sample.where("not calibrates"))
-    corpus = materialize(continuations(docs))
-    total = corpus.agg(F.sum("shared")).first()[0] or 0
-    model = estimate(words.join(corpus, "w", "left").na.fill(0).toPandas(), float(total))
+    words = counted(sample.where("not calibrates")).toPandas()
+    words = words.iloc[np.argsort(words["w"].to_numpy(np.int64).view(np.uint64))]
+    words["shared"], total = continuations(docs, words["w"].to_numpy(np.int64).view(np.uint64))
+    model = estimate(words, float(total))
     rest = sample.where("calibrates").select("doc_id", "text", "y")
     known = rest.select(F.col("doc_id"), F.col("text")).mapInPandas(measuring(model), MEASURED).join(rest.select("doc_id", "y"), "doc_id").toPandas()
     return calibrate(model, known[["span", "whole"]].to_numpy(float).reshape(-1, 2), known["y"].to_numpy(float))

@@ -324,6 +324,17 @@ def test_packing_takes_words_split_at_any_white_space():
     assert a.tolist() == b.tolist() and len(a) == 3 and len(c) == 0
 
 
+def test_shared_counts_are_of_different_contexts_of_the_whole_corpus(spark):
+    texts = ["a b c a b", "a b", "A, b!", "x b c", None, "", "one", *["k l m"] * 50]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    pairs = {p for t in texts for w in [re.sub(r"[^a-z ]", "", (t or "").lower()).split()] for p in zip(w, w[1:], strict=False)}
+    words = sorted("abcklm", key=lambda w: int(WordHashes().of([w.encode()])[0]))
+    for vocabulary in (words, words[:3], []):
+        hashes = WordHashes().of([w.encode() for w in vocabulary])
+        counts, total = toxicity.continuations(df, hashes)
+        assert counts.tolist() == [sum(b == w for _, b in pairs) for w in vocabulary] and total == len(pairs)
+
+
 def test_url_ranks_reach_hosts_of_any_distance(spark):
     pages = [(0, "http://bad.com/en/", "")] + [(k, f"http://h{k}.info/", f'<a href="http://{"bad.com" if k == 1 else f"h{k - 1}.info"}/">') for k in range(1, 15)]
     pages += [(100 + k, f"http://many.org/es/{k}", "") for k in range(50)]  # most of the distrust is elsewhere
