@@ -17,6 +17,8 @@ from .common import materialize
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r'href="(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^"/?#]*)'
+#: Links of any case, with single, double or no quotes and blanks around the sign; LINK is what the SQL finds.
+ANY_LINK = r"""(?i)href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^"'/?#\s>]*)"""
 DAMPING, STEPS = 0.85, 10
 #: Steps between two tests of convergence, the relative growth over them that ends it, and by how much distrust must exceed trust.
 BLOCK, TOLERANCE, MARGIN = 5, 1e-7, 1e-6
@@ -42,7 +44,7 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 def host_edges(pages: DataFrame) -> DataFrame:
     """src, dst, links: how often pages of one host link to another. pages: host, html."""
-    found = pages.select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINK), 1)).alias("to"))
+    found = pages.select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(ANY_LINK), 1)).alias("to"))
     found = found.select("src", F.translate("to", UPPER, LOWER).alias("dst")).where("src <> '' and dst <> '' and src <> dst")
     return found.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("links"))
 

@@ -341,3 +341,9 @@ def test_url_ranks_reach_hosts_of_any_distance(spark):
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     got = {r.page_id: r.verdict for r in url_filter.judge(df).collect()}
     assert {got[k] for k in range(15)} == {"block"}
+
+
+def test_links_of_any_spelling(spark):
+    links = ['href="http://B.org/x"', "href='https://b.org?q'", "HREF=//b.org>", 'href = "http://b.org"', "href=http://b.org class=x", 'href="/local"']
+    df = spark.createDataFrame([("a.org", f"<a {x}>") for x in links], "host string, html string")
+    assert [tuple(r) for r in url_filter.host_edges(df).collect()] == [("a.org", "b.org", 5)]
