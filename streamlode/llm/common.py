@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,12 +15,16 @@ from pyspark.sql import functions as F
 #: Bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: While a table is written: drop the shuffle files behind it at the end, and hand Python workers small batches, since texts may be long.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, else (in local tests) a temporary one."""
+    """The folder that all executors share: spark.checkpoint.dir. Local sessions without one get a temporary folder; others fail."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="streamlode-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -27,8 +34,44 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = {k: spark.conf.get(k, None) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
+    try:
+        df.write.parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.written_to = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that no later action reads."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, salt: Column) -> DataFrame:
+    """rows with the other columns of groups (one row for each value of the long ``keys``), null where there is none.
+
+    ``size`` bounds the rows of a key from above, and ``total`` their sum. Keys of more than total / 2000 rows number under
+    2000 and are broadcast; their rows are dealt by ``salt``, so that none of them meet in one task.
+    """
+    values = [c for c in groups.columns if c not in keys]
+    often = F.col(size) > max(1000, total // 2000)
+    hot = groups.where(often).select(*keys, F.struct(*values).alias("__hot"))
+    usual = groups.where(~often).select(*(F.col(k).alias(f"__{k}") for k in keys), F.struct(*values).alias("__usual"), F.lit(False).alias("__no"))
+    marked = rows.join(F.broadcast(hot), keys, "left").withColumn("__is", F.col("__hot").isNotNull())
+    first = F.when(F.col("__is"), salt).otherwise(F.col(keys[0]))
+    on = (first == F.col(f"__{keys[0]}")) & (F.col("__is") == F.col("__no"))
+    for k in keys[1:]:
+        on &= F.col(k) == F.col(f"__{k}")
+    joined = marked.join(usual, on, "left").withColumn("__found", F.coalesce("__hot", "__usual"))
+    return joined.select(*rows.columns, *(F.col(f"__found.{c}").alias(c) for c in values))
 
 
 def positions(df: DataFrame, *order: Column, name: str = "position") -> DataFrame:
@@ -51,25 +94,6 @@ def unit_hash(col: Column) -> Column:
     return F.conv(F.substring(F.md5(col), 1, 8), 16, 10).cast("long")
 
 
-class WordHashes(dict):
-    """Word (bytes) to a 64-bit hash; forgets all when it holds ``most`` words, so memory stays bounded."""
-
-    def __init__(self, most: int = 400_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.most:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values (multiply and fold the high bits down)."""
     x = x ^ (x >> np.uint64(32))
@@ -79,6 +103,98 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+#: A value for each byte.
+BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+BASE = 0x9E3779B97F4A7C13
+
+
+@functools.cache
+def powers(bits: int, base: int) -> np.ndarray:
+    """The first 2**bits powers of an odd base, mod 2**64."""
+    out = np.full(1 << bits, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def run_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each run from starts to ends (not empty) the sum of its values times powers of BASE, from the first power on: a rolling hash."""
+    bits = max(16, len(values).bit_length())
+    total = np.cumsum(values * powers(bits, BASE)[: len(values)], dtype=np.uint64)
+    sums = total[ends - 1] - np.where(starts > 0, total[starts - 1], np.uint64(0))
+    return sums * powers(bits, pow(BASE, -1, 1 << 64))[starts]
+
+
+def byte_values(lower: bool = False, separators: bytes = b" \t\n\v\f\r") -> np.ndarray:
+    """The value of each byte in word hashes: 0 separates words; ``lower`` gives A-Z the values of a-z."""
+    values = BYTES.copy()
+    if lower:
+        values[65:91] = values[97:123]
+    values[list(separators)] = 0
+    return values
+
+
+@dataclass
+class Words:
+    """Words of consecutive texts: 64-bit hashes, first bytes and lengths in ``data``, and the first word of each text (and one past the last)."""
+
+    data: np.ndarray
+    hashes: np.ndarray
+    starts: np.ndarray
+    lengths: np.ndarray
+    first: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.first) - 1
+
+    def of(self, k: int) -> np.ndarray:
+        """Hashes of the words of text k."""
+        return self.hashes[self.first[k] : self.first[k + 1]]
+
+    def bytes_of(self, a: int, b: int) -> bytes:
+        """Words a to b - 1, joined by one space."""
+        data, starts, ends = self.data, self.starts[a:b].tolist(), (self.starts[a:b] + self.lengths[a:b]).tolist()
+        return b" ".join([data[s:e].tobytes() for s, e in zip(starts, ends, strict=True)])
+
+
+def find_words(data: np.ndarray, offsets: np.ndarray, values: np.ndarray, most: int = 1 << 20) -> Words:
+    """Words of the texts that lie in ``data`` (bytes) between consecutive ``offsets``. A text of over ``most`` bytes is gone through in pieces."""
+    if len(offsets) == 2 and len(data) > most:
+        gaps = np.flatnonzero(values[data] == 0)
+        cut = gaps[np.unique(np.searchsorted(gaps, np.arange(most, len(data), most))).clip(max=len(gaps) - 1)] if len(gaps) else gaps
+        ends = np.unique(np.concatenate([cut, [len(data)]]))
+        parts = [(a, find_words(data[a:b], np.array([0, b - a]), values, len(data))) for a, b in zip([0, *ends[:-1]], ends, strict=True) if a < b]
+        join = lambda f: np.concatenate([f(a, w) for a, w in parts])
+        hashes = join(lambda a, w: w.hashes)
+        return Words(data, hashes, join(lambda a, w: w.starts + a), join(lambda a, w: w.lengths), np.array([0, len(hashes)]))
+    solid = np.take(values != 0, data)
+    begins, ends = solid.copy(), solid.copy()
+    begins[1:] &= ~solid[:-1]
+    ends[:-1] &= ~solid[1:]
+    heads = offsets[:-1][offsets[:-1] < offsets[1:]]
+    begins[heads] = solid[heads]
+    ends[offsets[1:][offsets[:-1] < offsets[1:]] - 1] = solid[offsets[1:][offsets[:-1] < offsets[1:]] - 1]
+    starts, ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    hashes = run_sums(np.take(values, data), starts, ends) if len(starts) else np.empty(0, np.uint64)
+    lengths = ends - starts
+    return Words(data, mix64(hashes + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), starts, lengths, np.searchsorted(starts, offsets))
+
+
+def tokenized(texts, values: np.ndarray, most_bytes: int = 1 << 16) -> Iterator[tuple[int, Words]]:
+    """The words of an Arrow array of strings (null: none) as (index of the first text, Words), ``most_bytes`` of text or one text at a time."""
+    import pyarrow as pa
+
+    texts = texts.cast(pa.large_string()).fill_null("")
+    if not len(texts):
+        return
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    k = 0
+    while k < len(texts):
+        end = max(int(np.searchsorted(offsets, offsets[k] + most_bytes, side="right")) - 1, k + 1)
+        yield k, find_words(data[offsets[k] : offsets[end]], offsets[k : end + 1] - offsets[k], values)
+        k = end
+
+
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hash of each run of n consecutive word hashes; empty if there are fewer words."""
     if len(words) < n:

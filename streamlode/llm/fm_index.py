@@ -32,15 +32,18 @@ class WaveletMatrix:
             self.zeros.append(int(len(bit) - bit.sum()))
             symbols = np.concatenate([symbols[bit == 0], symbols[bit == 1]])
 
-    def narrow(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """How often each symbol stands before low and before high, as positions below its bucket."""
-        start = np.zeros_like(low)
+        self.bucket = self.descend(np.arange(n_symbols), np.zeros(n_symbols, np.int64))
+
+    def descend(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where position ``at`` comes in the order of the last level, along the bits of each symbol."""
         for k, (level, zeros) in enumerate(zip(self.levels, self.zeros, strict=True)):
-            one = symbol >> (self.depth - 1 - k) & 1 == 1
-            rs, rl, rh = level.rank(start), level.rank(low), level.rank(high)
-            start = np.where(one, zeros + rs, start - rs)
-            low, high = np.where(one, zeros + rl, low - rl), np.where(one, zeros + rh, high - rh)
-        return low - start, high - start
+            ones = level.rank(at)
+            at = np.where(symbol >> (self.depth - 1 - k) & 1, zeros + ones, at - ones)
+        return at
+
+    def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """How often each symbol stands before each position."""
+        return self.descend(symbol, at) - self.bucket[symbol]
 
 
 def suffix_order(text: np.ndarray, least: int) -> np.ndarray:
@@ -70,12 +73,32 @@ class FMIndex:
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=self.n_symbols))])[:-1]
         self.matrix = WaveletMatrix(text[self.order - 1], self.n_symbols)
 
+    def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Intervals of the patterns of low and high with a symbol put before each."""
+        both = self.matrix.rank(np.concatenate([symbol, symbol]), np.concatenate([low, high])) + np.tile(self.starts[symbol], 2)
+        return both[: len(symbol)], both[len(symbol) :]
+
     def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Suffix intervals of the rows of ``patterns`` (equally long), searched in step from the right."""
         low = np.zeros(len(patterns), np.int64)
         high = np.full(len(patterns), len(self.order), np.int64)
         for k in reversed(range(patterns.shape[1])):
-            symbol = patterns[:, k]
-            a, b = self.matrix.narrow(symbol, low, high)
-            low, high = self.starts[symbol] + a, self.starts[symbol] + b
+            low, high = self.extend(patterns[:, k], low, high)
         return low, high
+
+    def matching_statistics(self, stream: np.ndarray, ends: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each end in a stream that is itself indexed: the length, at most ``longest``, of the longest run up to it
+        that stands more than once in the index, and that run's suffix interval. Runs do not pass separators."""
+        low, high = np.zeros(len(ends), np.int64), np.full(len(ends), len(self.order), np.int64)
+        length, alive = np.zeros(len(ends), np.int64), np.arange(len(ends))
+        for k in range(longest):
+            alive = alive[ends[alive] >= k]
+            symbol = stream[ends[alive] - k]
+            alive, symbol = alive[symbol > 0], symbol[symbol > 0]
+            if not len(alive):
+                break
+            a, b = self.extend(symbol, low[alive], high[alive])
+            more = b - a > 1
+            alive = alive[more]
+            low[alive], high[alive], length[alive] = a[more], b[more], k + 1
+        return length, low, high

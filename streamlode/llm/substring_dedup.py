@@ -1,31 +1,35 @@
 """Substring deduplication: words in windows that also start earlier in the corpus are removed.
 
 Every window of 20 words has one minimizer, the least hash among its 8-word grams, and up to 20 consecutive
-windows with the same one make a segment. Equal windows have equal minimizers, so only segments whose minimizer
-is found twice can hold a repeated window: a first pass counts minimizers, and a bounded Bloom filter of those
-found twice lets a second pass write the places of possibly repeated segments, without their words. (Its size
-is bounded, so a larger corpus lets more segments through; none is lost.)
-
-Equal segments are collapsed to their first occurrence: all later ones repeat it. Where distinct segments
-share a minimizer, or a segment may repeat itself, a third pass fetches the words of the first occurrences, and
-they go to the shard of that minimizer. A shard builds an FM-index over its segments, streams
-their windows through backward search over the wavelet matrix, and takes the earliest occurrence in each
-suffix interval. Minimizers with more distinct segments than a shard may hold have their windows grouped
-by hash instead, which is exact as well.
+windows with the same one make a segment. Equal windows have equal minimizers, so a repeated window lies in
+segments of one minimizer. One pass over the texts writes the places of all segments, without their words.
+
+Equal segments (by 128 bits of two hashes) are collapsed to their first occurrence: all later ones repeat it.
+Where distinct segments share a minimizer, or a segment may repeat itself, the words of the first occurrences are
+fetched and go to the shard of that minimizer. A shard builds an FM-index over its segments and streams each of them
+through backward search over the wavelet matrix. That gives matching statistics: for each word the length of the longest run up
+to it, of at most 20 words, that stands elsewhere in the shard. Where it reaches the window, the suffix interval tells the
+earliest occurrence, and the window is reported if that is another, earlier one.
+
+A minimizer of more segments than a shard should hold is split by the next smaller hashes among the grams of each
+window, level by level, until its parts fit: equal windows have equal parts.
 """
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, gram_hashes, materialize
+from .common import byte_values, discard, gram_hashes, materialize, mix64, run_sums, spread_join, tokenized
 from .fm_index import FMIndex
 
 WINDOW, GRAM = 20, 8
+PLAIN = byte_values()
+#: Stands for a null id, which comes before all others.
+FIRST = -(2**63)
 
 
 def extreme(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
@@ -59,83 +63,37 @@ def segments(words: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple
     return least[first], first, n, own
 
 
-def repeated_minimizers(docs: DataFrame) -> DataFrame:
-    """The minimizers (column m) of two or more segments, or of one that may repeat itself."""
-
-    def run(batches):
-        import pandas as pd
-
-        known = WordHashes()
-        for b in batches:
-            found = [segments(known.of((t or "").encode().split())) for t in b["text"]]
-            if found:
-                # a segment that may repeat itself counts twice
-                m, n = np.unique(np.concatenate([x for m, _, _, own in found for x in (m, m[own])]), return_counts=True)
-                yield pd.DataFrame({"m": m.view(np.int64), "n": n})
-
-    return docs.select("text").mapInPandas(run, "m long, n long").groupBy("m").agg(F.sum("n").alias("n")).where("n > 1").select("m")
-
-
-def bloom(keys: DataFrame, most_bits: int = 27) -> np.ndarray:
-    """Packed bits, 16 for each key but at most 2**most_bits, set where a key's high bits point."""
-    n = keys.count()
-    p = min(max(int(16 * n).bit_length(), 6), most_bits)
-    at = F.shiftrightunsigned("m", 64 - p)
-    word = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
-    found = keys.groupBy(F.shiftrightunsigned(at, 6).alias("k")).agg(F.bit_or(word).alias("bits")).toPandas()
-    out = np.zeros(1 << (p - 6), np.uint64)
-    out[found["k"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
-    return out
-
-
-def occurrences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """doc_id, row, start, n (windows), m, s (hash of the segment) and own, for segments that pass the filter."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(bits)  # at most 16 MB
+def occurrences(docs: DataFrame) -> DataFrame:
+    """doc_id (FIRST for null), row, start, n (windows), m, s (hash of the segment) and own, for all segments of docs (doc_id, row, text)."""
     schema = "doc_id long, row long, start long, n int, m long, s long, own boolean"
 
     def run(batches):
-        import pandas as pd
-        import xxhash
+        import pyarrow as pa
+
+        names = [c.split()[0] for c in schema.split(", ")]
+        for batch in batches:
+            ids, rows = batch.column(0).fill_null(FIRST).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            for k, words in tokenized(batch.column(2), PLAIN):
+                found = [segments(words.of(j)) for j in range(len(words))]
+                sizes = [len(m) for m, _, _, _ in found]
+                if not sum(sizes):
+                    continue
+                m, first, n, own = map(np.concatenate, zip(*found, strict=True))
+                start = first + np.repeat(words.first[:-1], sizes)
+                s = mix64(run_sums(words.hashes, start, start + n + WINDOW - 1) + n.astype(np.uint64))
+                columns = (np.repeat(ids[k : k + len(words)], sizes), np.repeat(rows[k : k + len(words)], sizes), first, n.astype(np.int32), m.view(np.int64), s.view(np.int64), own)
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names)
 
-        bits, known, digest = shared.value, WordHashes(), xxhash.xxh3_64_intdigest
-        shift = np.uint64(64 - (len(bits).bit_length() - 1 + 6))
-        def frame(ids, rows, sizes, parts, s):
-            first, n, m, own = map(np.concatenate, zip(*parts, strict=True))
-            out = pd.DataFrame({"row": np.repeat(np.array(rows, np.int64), sizes), "start": first, "n": n, "m": m.view(np.int64), "s": np.array(s, np.uint64).view(np.int64), "own": own})
-            out.insert(0, "doc_id", pd.array(ids, dtype="Int64").repeat(sizes))
-            return out
-
-        for b in batches:
-            ids, rows, sizes, parts, s = [], [], [], [], []
-            for i, row, text in zip(b["doc_id"], b["row"], b["text"], strict=True):
-                words = (text or "").encode().split()
-                m, first, n, own = segments(known.of(words))
-                at = m >> shift
-                some = np.flatnonzero(bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1))
-                if len(some):
-                    first, n = first[some], n[some]
-                    s += [digest(b" ".join(words[p : p + k + WINDOW - 1])) for p, k in zip(first.tolist(), n.tolist(), strict=True)]
-                    ids.append(None if pd.isna(i) else int(i))
-                    rows.append(row)
-                    sizes.append(len(some))
-                    parts.append((first, n, m[some], own[some]))
-                if len(s) > 50_000:
-                    yield frame(ids, rows, sizes, parts, s)
-                    ids, rows, sizes, parts, s = [], [], [], [], []
-            if s:
-                yield frame(ids, rows, sizes, parts, s)
-
-    return docs.mapInPandas(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def with_words(firsts: DataFrame, docs: DataFrame, most_broadcast: int) -> DataFrame:
-    """firsts (doc_id, row, start, n, m, s; no null id) with their words, read from docs (doc_id, row, text)."""
+    """firsts (doc_id, row, start, n, m, s) with their words, read from docs (doc_id, row, text)."""
     # a document's segments are bounded by its length
     wanted = materialize(firsts.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "n", "m", "s")).alias("found")))
     count, size = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("found")), F.lit(0))).first()
     small = count <= most_broadcast and size <= 5 * most_broadcast  # 32 bytes a segment; beyond that a shuffled join
-    texts = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), "row", "text")
+    texts = docs.select(F.coalesce("doc_id", F.lit(FIRST)).alias("doc_id"), "row", "text")
     joined = texts.join(F.broadcast(wanted) if small else wanted, ["doc_id", "row"])
 
     def run(batches):
@@ -153,18 +111,81 @@ def with_words(firsts: DataFrame, docs: DataFrame, most_broadcast: int) -> DataF
             if out:
                 yield frame(out)
 
-    return joined.select("doc_id", "text", "found").mapInPandas(run, "doc_id long, start long, n int, m long, s long, words binary")
+    found = joined.select("doc_id", "text", "found").mapInPandas(run, "doc_id long, start long, n int, m long, s long, words binary")
+    return found.dropDuplicates(["m", "s"])  # repeated rows
+
+
+def pieces(rows: DataFrame, level: int) -> DataFrame:
+    """Segments (see ``split_hot``) cut into runs of windows whose ``level`` + 1 least gram hashes agree; at the last level the windows agree."""
+    last = level == WINDOW - GRAM + 1
+
+    def cut(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = []
+            for k, words in tokenized(batch.column(batch.schema.get_field_index("words")).cast(pa.string()), PLAIN):
+                for j in range(len(words)):
+                    hashes = words.of(j)
+                    count = len(hashes) - WINDOW + 1
+                    key = whole = mix64(run_sums(hashes, np.arange(count), np.arange(count) + WINDOW))
+                    if not last:
+                        grams = np.sort(np.lib.stride_tricks.sliding_window_view(gram_hashes(hashes, GRAM), WINDOW - GRAM + 1), axis=1)
+                        key = np.zeros(count, np.uint64)
+                        for column in grams[:, : level + 1].T:
+                            key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + column)
+                    begins = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+                    ends = np.append(begins[1:], count)
+                    at = words.first[j]
+                    for x, y, part, same in zip(begins.tolist(), ends.tolist(), key[begins].view(np.int64).tolist(), run_sums(whole, begins, ends).view(np.int64).tolist(), strict=True):
+                        found.append((k + j, x, y - x, part, same, words.bytes_of(at + x, at + y + WINDOW - 1)))
+            take, skip, n, part, same, text = zip(*found, strict=True) if found else [()] * 6
+            out = batch.take(pa.array(take, pa.int64())).to_pydict()
+            out["start"] = [x + a for x, a in zip(out["start"], skip, strict=True)]
+            out["skip"] = [x + a for x, a in zip(out["skip"], skip, strict=True)]
+            out |= {"n": n, "part": part, "same": same, "words": text}
+            yield pa.RecordBatch.from_pydict(out, schema=batch.schema)
+
+    return rows.mapInArrow(cut, rows.schema)
+
+
+def split_hot(several: DataFrame, most_segments: int) -> tuple[DataFrame, DataFrame | None]:
+    """several (doc_id, start, n, m, s, words) dealt to parts, and marks (m, s, mask) of windows that are known to be repeats.
+
+    A part is a minimizer, or for one of over ``most_segments`` segments the windows that agree in their next least gram hashes too.
+    Pieces of segments start at a later window (``skip`` counts those before). Of equal pieces the first stays, the others are marked.
+    """
+    rows = materialize(several.select("*", F.col("m").alias("part"), F.lit(0).alias("skip"), F.lit(0).cast("long").alias("same")))
+    done, marks = [], None
+    for level in range(1, WINDOW - GRAM + 2):
+        hot = materialize(rows.groupBy("part").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > most_segments).select("part"))
+        if hot.isEmpty():
+            break
+        # fewer hot parts than one in ``most_segments`` rows
+        done.append(rows.join(F.broadcast(hot), "part", "left_anti").select(rows.columns))
+        cut = materialize(pieces(rows.join(F.broadcast(hot), "part", "left_semi").select(rows.columns), level))
+        first = cut.groupBy("part", "same").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("times"))
+        placed = spread_join(cut, first, ["part", "same"], "times", cut.count(), F.xxhash64("doc_id", "start"))
+        leads = F.struct("doc_id", "start") == F.col("first")
+        whole = F.call_function("shiftleft", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("n")) - 1, F.col("skip"))
+        later = materialize(placed.where(~leads).select("m", "s", whole.alias("mask")))
+        marks = later if marks is None else marks.unionByName(later)
+        rows = materialize(placed.where(leads).select(rows.columns))
+        discard(cut)
+    for cool in done:
+        rows = rows.unionByName(cool)
+    return rows, marks
 
 
 def earlier_windows(frame, window: int = WINDOW):
-    """m, s, mask for the segments of a shard (columns doc_id, start, n, m, s, words): the windows that start earlier elsewhere."""
+    """m, s, mask for the segments of a shard (see ``split_hot``): the windows that start earlier elsewhere."""
     import pandas as pd
 
-    frame = frame.drop_duplicates(["m", "s"]).sort_values(["doc_id", "start"], na_position="first").reset_index(drop=True)
+    frame = frame.drop_duplicates(["m", "s", "skip"]).sort_values(["doc_id", "start"]).reset_index(drop=True)
+    codes: dict[bytes, int] = {}
     parts = [w.split() for w in frame["words"]]
     lengths = np.array([len(p) for p in parts])
-    codes: dict[bytes, int] = {}
-    flat = np.fromiter((codes.setdefault(w, len(codes) + 1) for p in parts for w in (*p, None) if w is not None), np.int64, lengths.sum())
+    flat = np.fromiter((codes.setdefault(w, len(codes) + 1) for p in parts for w in p), np.int64, lengths.sum())
     begin = np.concatenate([[0], np.cumsum(lengths + 1)])[:-1]  # of each segment, with a separator after each
     text = np.zeros(int((lengths + 1).sum()), np.int64)
     owner = np.repeat(np.arange(len(parts)), lengths)
@@ -175,25 +196,25 @@ def earlier_windows(frame, window: int = WINDOW):
     inside = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
     index = FMIndex(text, window)
     # when each text position comes in the corpus: by document, then by place in it
-    doc = np.unique(frame["doc_id"].fillna(-(2**63)).to_numpy(np.int64), return_inverse=True)[1]
-    place = np.zeros(len(text), np.int64)
+    place, whose = np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
     place[begin[owner] + offset] = frame["start"].to_numpy()[owner] + offset
-    whose = np.zeros(len(text), np.int64)
-    whose[begin[owner] + offset] = doc[owner]
-    when = np.unique(np.stack([whose, place], axis=1), axis=0, return_inverse=True)[1].reshape(-1)
-    by_suffix = when[index.order]
+    whose[begin[owner] + offset] = np.unique(frame["doc_id"].to_numpy(np.int64), return_inverse=True)[1][owner]
+    when = np.unique(whose << 40 | place, return_inverse=True)[1].reshape(-1)
+    by_suffix = np.append(when[index.order], np.iinfo(np.int64).max)
     at = begin[of] + inside
     early = np.zeros(len(at), bool)
     for a in range(0, len(at), 50_000):
         some = at[a : a + 50_000]
-        low, high = index.search(text[some[:, None] + np.arange(window)])
-        cut, back = np.unique(np.stack([low, high], axis=1), axis=0, return_inverse=True)
-        ends = np.append(by_suffix, np.iinfo(np.int64).max)
-        least = np.minimum.reduceat(ends, cut.reshape(-1))[::2]
-        early[a : a + 50_000] = least[back.reshape(-1)] < when[some]
+        length, low, high = index.matching_statistics(text, some + window - 1, window)
+        long = np.flatnonzero(length == window)
+        if len(long):
+            cut, back = np.unique(low[long] << 32 | high[long], return_inverse=True)
+            ends = np.stack([cut >> 32, cut & 0xFFFFFFFF], axis=1).reshape(-1)
+            least = np.minimum.reduceat(by_suffix, ends)[::2]
+            early[a + long] = least[back.reshape(-1)] < when[some[long]]
     mask = np.zeros(len(parts), np.int64)
-    np.bitwise_or.at(mask, of, early.astype(np.int64) << inside)
-    out = pd.DataFrame({"m": frame["m"], "s": frame["s"], "mask": mask})
+    np.bitwise_or.at(mask, of[early], np.int64(1) << inside[early])
+    out = pd.DataFrame({"m": frame["m"], "s": frame["s"], "mask": mask << frame["skip"].to_numpy(np.int64)})
     return out[out["mask"] != 0]
 
 
@@ -204,32 +225,30 @@ def remove_repeats(docs: DataFrame, shard_words: int = 300_000, most_segments: i
     place in the text alone: at one id and start neither is earlier. No rows give no rows.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("row", F.xxhash64("text"))
-    bits = bloom(materialize(repeated_minimizers(docs)))
-    found = materialize(occurrences(docs.select("doc_id", "row", "text"), bits))
-    distinct = found.groupBy("m", "s").agg(
-        F.min(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), "start", "n", "row")).alias("first"), F.count(F.lit(1)).alias("times"), F.max("own").alias("own")
-    )
-    distinct = materialize(distinct.select("m", "s", "first.*", "times", "own"))
-    kinds = distinct.groupBy("m").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("n") + WINDOW).alias("size"), F.max("own").alias("own")).where("kinds > 1 or own")
-    kinds = materialize(kinds)
-    total = kinds.where(F.col("kinds") <= most_segments).agg(F.sum("size")).first()[0] or 0
+    found = materialize(occurrences(docs.select("doc_id", "row", "text")))
+    twice = found.groupBy("m").agg(F.count(F.lit(1)).alias("k"), F.min("s").alias("x"), F.max("s").alias("y"), F.max("own").alias("z"))
+    twice = materialize(twice.where("k > 1 or z").select("m", "k", F.expr("x <> y or z").alias("several")))
+    near = spread_join(found.drop("own"), twice, ["m"], "k", found.count(), F.col("s")).where("k is not null").drop("k")
+    near = materialize(near)
+    discard(found, twice)
+    distinct = near.groupBy("m", "s").agg(F.min(F.struct("doc_id", "start", "n", "row")).alias("first"), F.count(F.lit(1)).alias("times"), F.max("several").alias("several"))
+    distinct = materialize(distinct.where("times > 1 or several").select("m", "s", "first.*", "times", "several"))
+    rows, marks = split_hot(with_words(distinct.where("several").drop("times", "several"), docs, most_broadcast), most_segments)
+    total = rows.agg(F.sum(F.col("n") + WINDOW)).first()[0] or 0
     shards = max(1, -(-total // shard_words))
-    several = with_words(distinct.drop("own").join(kinds.select("m"), "m"), docs, most_broadcast)
-    several = materialize(several).join(kinds.select("m", "kinds"), "m")
-    usual = several.where(F.col("kinds") <= most_segments).withColumn("shard", F.pmod(F.xxhash64("m"), F.lit(shards)))
-    masks = usual.groupBy("shard").applyInPandas(lambda f: earlier_windows(f), "m long, s long, mask long")
-    masks = materialize(masks.unionByName(hot_windows(several.where(F.col("kinds") > most_segments))))
+    masks = rows.withColumn("shard", F.pmod(F.xxhash64("part"), F.lit(shards))).groupBy("shard").applyInPandas(lambda f: earlier_windows(f), "m long, s long, mask long")
+    masks = materialize(masks if marks is None else masks.unionByName(marks)).groupBy("m", "s").agg(F.bit_or("mask").alias("mask"))
     known = distinct.select("m", "s", F.col("doc_id").alias("d0"), F.col("start").alias("p0"), "times").join(masks, ["m", "s"], "left").where("times > 1 or mask is not null")
-    placed = found.select("doc_id", "row", "start", "n", "m", "s").join(known, ["m", "s"])
-    first = (F.coalesce("doc_id", F.lit(-(2**63))) == F.col("d0")) & (F.col("start") == F.col("p0"))
+    placed = spread_join(near.select("doc_id", "row", "start", "n", "m", "s"), known, ["m", "s"], "times", near.count(), F.xxhash64("doc_id", "start")).where("times is not null")
+    first = (F.col("doc_id") == F.col("d0")) & (F.col("start") == F.col("p0"))
     whole = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("n")) - 1
     marked = placed.select("doc_id", "row", "start", F.when(first, F.coalesce("mask", F.lit(0))).otherwise(whole).alias("mask")).where("mask <> 0")
     # a document's spans are bounded by its length
     spans = materialize(marked.groupBy("doc_id", "row").agg(F.collect_list("start").alias("starts"), F.collect_list("mask").alias("masks")))
-    count, size = spans.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()
-    small = count <= most_broadcast and size <= 10 * most_broadcast  # 16 bytes a span; beyond that a shuffled join
-    spans = spans.withColumnRenamed("doc_id", "d").withColumnRenamed("row", "r")
-    joined = docs.join(F.broadcast(spans) if small else spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")), "left")
+    discard(near, distinct)
+    # spans grow with the corpus: always a shuffled join
+    spans = spans.withColumnRenamed("doc_id", "d").withColumnRenamed("row", "r").hint("merge")
+    joined = docs.join(spans, (F.coalesce("doc_id", F.lit(FIRST)) == F.col("d")) & (F.col("row") == F.col("r")), "left")
 
     def run(batches):
         import pandas as pd
@@ -241,15 +260,13 @@ def remove_repeats(docs: DataFrame, shard_words: int = 300_000, most_segments: i
                 if starts is None:
                     out.append((b" ".join(words), len(words), 0))
                     continue
-                gone = np.zeros(len(words) + 1, np.int64)
-                for p, m in zip(starts, masks, strict=True):
-                    ones = p + np.flatnonzero(int(m) >> np.arange(WINDOW) & 1)
-                    np.add.at(gone, ones, 1)
-                    np.add.at(gone, ones + WINDOW, -1)
-                keep = np.cumsum(gone)[:-1] == 0
-                out.append((b" ".join([w for w, k in zip(words, keep, strict=True) if k]), len(words), int((~keep).sum())))
+                bits = np.asarray(masks, np.int64)[:, None] >> np.arange(WINDOW) & 1
+                ones = (np.asarray(starts, np.int64)[:, None] + np.arange(WINDOW))[bits == 1]
+                gone = np.bincount(ones, minlength=len(words) + WINDOW + 1)
+                gone = np.cumsum(gone - np.concatenate([np.zeros(WINDOW, np.int64), gone[:-WINDOW]]))[: len(words)] > 0
+                out.append((b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]), len(words), int(gone.sum())))
             frame = pd.DataFrame(out, columns=["text", "n_words", "n_removed"])
-            frame["text"] = frame["text"].map(lambda t: t.decode())
+            frame["text"] = frame["text"].map(bytes.decode)
             frame.insert(0, "doc_id", b["doc_id"].to_numpy())
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame
@@ -257,27 +274,6 @@ def remove_repeats(docs: DataFrame, shard_words: int = 300_000, most_segments: i
     return joined.select("doc_id", "text", "starts", "masks").mapInPandas(run, "doc_id long, text string, n_words long, n_removed long")
 
 
-def hot_windows(several: DataFrame) -> DataFrame:
-    """m, s, mask for segments of minimizers that too many segments share: their windows are grouped by hash."""
-
-    def run(batches):
-        import pandas as pd
-
-        known = WordHashes()
-        for b in batches:
-            out = []
-            for m, s, i, p, w in zip(b["m"], b["s"], b["doc_id"], b["start"], b["words"], strict=True):
-                for k, h in enumerate(gram_hashes(known.of(w.split()), WINDOW).view(np.int64).tolist()):
-                    out.append((m, s, i, p + k, k, h))
-            yield pd.DataFrame(out, columns=["m", "s", "doc_id", "place", "k", "h"], dtype="int64")
-
-    windows = several.select("m", "s", "doc_id", "start", "words").mapInPandas(run, "m long, s long, doc_id long, place long, k int, h long")
-    first = windows.groupBy("h").agg(F.min(F.struct("doc_id", "place")).alias("first"))
-    later = windows.join(first, "h").where("struct(doc_id, place) > first")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("k"))
-    return later.groupBy("m", "s").agg(F.bit_or(bit).alias("mask"))
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
