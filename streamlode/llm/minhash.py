@@ -15,32 +15,39 @@ link between components is lost. A pair at the threshold shares a band with prob
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, gram_hashes, materialize, mix64
+from .common import Words, byte_values, find_words, gram_hashes, materialize, mix64, run_sums, spread_join, tokenized
 from .components import components
 
 N_HASHES, N_BANDS, LOW_BITS, SHINGLE = 128, 32, 4, 5
 #: Buckets of up to so many documents are compared pair by pair, larger ones in blocks.
 SMALL = 64
-FEATURES = "doc_id long, n_shingles long, digest binary, signature array<long>, bands array<long>"
+#: Words of texts with A-Z lower-cased.
+LOWER = byte_values(lower=True)
+FEATURES = "doc_id long, n_shingles long, d1 long, d2 long, signature array<long>, bands array<long>"
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words of a text, A-Z lower-cased; bytes.split() parts at exactly the six ASCII spaces."""
-    return [] if text is None else text.encode().lower().split()
+def shingle_sets(words: Words, n: int = SHINGLE) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its shingles; shorter texts are one shingle, those without words none."""
+    grams = gram_hashes(words.hashes, n)
+    for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
+        if b - a >= n:
+            found = np.sort(grams[a : b - n + 1])
+            yield found[np.append(True, found[1:] != found[:-1])]
+        elif b > a:
+            yield gram_hashes(np.append(words.hashes[a:b], np.uint64(b - a)), b - a + 1)
+        else:
+            yield np.empty(0, np.uint64)
 
 
-def shingles(words: list[bytes], known: WordHashes, n: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles; shorter texts are one shingle."""
-    if not words:
-        return np.empty(0, np.uint64)
-    hashes = known.of(words)
-    grams = gram_hashes(hashes, n) if len(words) >= n else gram_hashes(np.append(hashes, np.uint64(len(words))), len(words) + 1)
-    grams.sort()
-    return grams[np.append(True, grams[1:] != grams[:-1])]
+def shingles(text: str) -> np.ndarray:
+    data = np.frombuffer(text.encode(), np.uint8)
+    return next(shingle_sets(find_words(data, np.array([0, len(data)]), LOWER)))
 
 
 def coefficients(k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -49,14 +56,19 @@ def coefficients(k: int) -> tuple[np.ndarray, np.ndarray]:
     return (x[:k] | np.uint64(1)).astype(np.uint32), x[k:].astype(np.uint32)
 
 
-def minima(sets: list[np.ndarray], k: int = N_HASHES) -> np.ndarray:
+def minima(sets: list[np.ndarray], k: int = N_HASHES, rows: int = 1024) -> np.ndarray:
     """For non-empty sets: an array (sets, k) of 32-bit minima."""
-    starts = np.cumsum([0, *map(len, sets[:-1])])
-    x = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((k, len(sets)), np.uint32)
-    for i, (a, b) in enumerate(zip(*coefficients(k), strict=True)):
-        out[i] = np.minimum.reduceat(x * a + b, starts)
-    return out.T.copy()
+    mul, add = coefficients(k)
+    out, held = np.empty((len(sets), k), np.uint32), np.empty((rows, k), np.uint32)
+    for i, s in enumerate(sets):
+        x = (s >> np.uint64(32)).astype(np.uint32)[:, None]
+        for at in range(0, len(x), rows):
+            some = x[at : at + rows]
+            part = np.multiply(some, mul, out=held[: len(some)])
+            part += add
+            low = part.min(axis=0)
+            out[i] = low if not at else np.minimum(out[i], low)
+    return out
 
 
 def packed(mins: np.ndarray, bits: int = LOW_BITS) -> np.ndarray:
@@ -75,39 +87,28 @@ def band_keys(mins: np.ndarray, bands: int = N_BANDS) -> np.ndarray:
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row of FEATURES for each row of docs; without words: 0 shingles and nulls."""
-
-    def make(batches):
-        import pandas as pd
-        import xxhash
-
-        known = WordHashes()
-
-        def block(rows):
-            out = [(i, 0, None, None, None) if not len(s) else (i, len(s), d, None, None) for i, d, s in rows]
-            full = [s for _, _, s in rows if len(s)]
-            if full:
-                mins = minima(full)
-                more = iter(zip(packed(mins).tolist(), band_keys(mins).tolist(), strict=True))
-                out = [r if r[2] is None else (*r[:3], *next(more)) for r in out]
-            frame = pd.DataFrame(out, columns=["doc_id", "n_shingles", "digest", "signature", "bands"])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            return frame
-
-        for frame in batches:
-            rows, total = [], 0
-            for i, text in zip(frame.iloc[:, 0], frame.iloc[:, 1], strict=True):
-                words = words_of(text)
-                found = shingles(words, known)
-                rows.append((None if pd.isna(i) else int(i), xxhash.xxh3_128_digest(b" ".join(words)), found))
-                total += len(found)
-                if total > 200_000 or len(rows) >= 2000:
-                    yield block(rows)
-                    rows, total = [], 0
-            if rows:
-                yield block(rows)
-
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInPandas(make, FEATURES)
+    """A row of FEATURES for each row of docs: d1 and d2 are a 128-bit digest of the words; without words: 0 shingles and nulls."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for k, words in tokenized(batch.column(1), LOWER):
+                sets = list(shingle_sets(words))
+                sizes = np.array([len(s) for s in sets])
+                full = np.flatnonzero(sizes)
+                lists, digests, none = [], [], sizes == 0
+                mins = minima([sets[i] for i in full])
+                for found in (packed(mins), band_keys(mins)):
+                    ends = np.concatenate([[0], np.cumsum(~none) * found.shape[1]]).astype(np.int32)
+                    lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(found.reshape(-1)), mask=pa.array(none)))
+                for values in (words.hashes, mix64(words.hashes)):
+                    made = np.zeros(len(sets), np.int64)
+                    made[full] = mix64(run_sums(values, words.first[full], words.first[full + 1])).view(np.int64) if len(full) else 0
+                    digests.append(pa.array(made, mask=none))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[k : k + len(sets)], pa.array(sizes, pa.int64()), *digests, *lists], [c.split()[0] for c in FEATURES.split(", ")])
+
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, FEATURES)
 
 
 def estimate(a: Column, b: Column, k: int = N_HASHES, bits: int = LOW_BITS) -> Column:
@@ -124,27 +125,42 @@ def estimate(a: Column, b: Column, k: int = N_HASHES, bits: int = LOW_BITS) -> C
     return (equal - chance) / (1 - chance)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, most_broadcast: int = 500_000) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have 100 * shared >= percent * united. docs: doc_id, text."""
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, most_broadcast: int = 500_000, span: int = 1000) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets have 100 * shared >= percent * united. docs: doc_id, text.
+
+    Pairs of one a are dealt to parts of about ``span``, each with a copy of its text.
+    """
     wanted = materialize(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    small = wanted.count() <= most_broadcast  # 8 bytes a row; beyond that a shuffled join
-    texts = docs.join(F.broadcast(wanted) if small else wanted, "doc_id", "left_semi")
-    side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
-    joined = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
+    bounded = lambda rows: F.broadcast(rows) if rows.count() <= most_broadcast else rows  # noqa: E731  tens of bytes a row; beyond that a shuffled join
+    texts = docs.join(bounded(wanted), "doc_id", "left_semi")
+    often = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > span).select("a", F.ceil(F.col("n") / span).alias("parts"))
+    often = bounded(materialize(often))  # fewer than one in ``span`` pairs
+    dealt = pairs.select("a", "b").join(often, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")), F.lit(0)).alias("part"))
+    side_a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).join(often, "a", "left")
+    side_a = side_a.select("a", "text_a", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    side_b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    joined = dealt.join(side_b, "b").join(side_a, ["a", "part"]).select("a", "b", "text_a", "text_b")
 
     def test(batches):
-        known, last = WordHashes(), (None, None)
-        for frame in batches:
-            keep = []
-            for a, x, y in zip(frame["a"], frame["text_a"], frame["text_b"], strict=True):
-                if last[0] != a:
-                    last = (a, shingles(words_of(x), known))
-                other = shingles(words_of(y), known)
-                shared = len(np.intersect1d(last[1], other, assume_unique=True))
-                keep.append(100 * shared >= percent * (len(last[1]) + len(other) - shared))
-            yield frame.loc[keep, ["a", "b"]]
+        last: tuple = (None, None)
+        import pyarrow as pa
+
+        for batch in batches:
+            keep, ids, texts = [], batch.column(0).to_pylist(), batch.column(2)
+            for k, words in tokenized(batch.column(3), LOWER):
+                for i, other in enumerate(shingle_sets(words), k):
+                    text = texts[i].as_py() or ""
+                    if last[0] != (ids[i], text):
+                        last = (ids[i], text), shingles(text)
+                    keep.append(similar(last[1], other, percent))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.mapInPandas(test, "a long, b long")
+    return joined.mapInArrow(test, "a long, b long")
 
 
 def floor_of(percent: int) -> float:
@@ -152,18 +168,21 @@ def floor_of(percent: int) -> float:
     return percent / 100 - 0.22
 
 
-def in_blocks(rows: DataFrame, held: DataFrame, docs: DataFrame, percent: int, block: int = 1000) -> DataFrame:
+def in_blocks(rows: DataFrame, held: DataFrame, docs: DataFrame, percent: int, block: int = 1000, most_shingles: int = 400_000) -> DataFrame:
     """Links (a, b) across components within large buckets. rows: doc_id, a (the bucket's smallest id), c (component).
 
     Buckets that share documents make one cluster. In each, the documents outside of the largest component
-    are queries against all; both sides are cut into blocks, and a task compares one block with another.
+    are queries against all; both sides are cut into blocks, and a task compares one block with another. A block
+    has about ``block`` documents or ``most_shingles`` shingles, whichever is less.
     """
     coarse = components(rows.select("a", F.col("doc_id").alias("b"))).withColumnRenamed("id", "doc_id")
     members = rows.select("doc_id", "c").distinct().join(coarse, "doc_id", "left").select("doc_id", "c", F.coalesce("component", "doc_id").alias("g"))
-    members = materialize(members)
-    counts = members.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("g").agg(F.max_by("c", "n").alias("largest"), F.sum("n").alias("n"), F.max("n").alias("m"))
-    cuts = counts.select("g", "largest", F.ceil(F.col("n") / block).alias("tn"), F.greatest(F.ceil((F.col("n") - F.col("m")) / block), F.lit(1)).alias("qn"))
-    full = members.join(held, "doc_id").join(docs, "doc_id").join(cuts, "g")
+    members = materialize(members.join(held.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")), "doc_id"))
+    sums = members.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"))
+    sums = sums.groupBy("g").agg(F.max_by("c", F.struct("n", "c")).alias("largest"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.max(F.struct("n", "c", "w")).alias("m"))
+    parts = lambda n, w: F.greatest(F.ceil(n / block), F.ceil(w / most_shingles), F.lit(1))
+    cuts = sums.select("g", "largest", parts(F.col("n"), F.col("w")).alias("tn"), parts(F.col("n") - F.col("m.n"), F.col("w") - F.col("m.w")).alias("qn"))
+    full = members.drop("n_shingles").join(held.drop("n_shingles"), "doc_id").join(docs, "doc_id").join(cuts, "g")
     spot = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     columns = ["g", "doc_id", "c", "signature", "bands", "text"]
@@ -174,7 +193,6 @@ def in_blocks(rows: DataFrame, held: DataFrame, docs: DataFrame, percent: int, b
     def compare(frame):
         import pandas as pd
 
-        known = WordHashes()
         ask, rest = frame[frame["asks"]], frame[~frame["asks"]].reset_index(drop=True)
         out: list[tuple[int, int]] = []
         if len(ask) and len(rest):
@@ -186,14 +204,13 @@ def in_blocks(rows: DataFrame, held: DataFrame, docs: DataFrame, percent: int, b
                 d |= d >> np.uint64(2)
                 equal = 1 - np.bitwise_count(d & np.uint64(0x1111111111111111)).sum(axis=1) / lanes
                 fit = ((equal - chance) / (1 - chance) >= floor) & (groups != c) & (bands == np.asarray(b)).any(axis=1)
-                own, linked = shingles(words_of(text), known), set()
+                own, linked = shingles(text or ""), set()
                 for k in np.flatnonzero(fit):
                     if groups[k] in linked:  # one link joins the components
                         continue
                     if k not in sets:
-                        sets[k] = shingles(words_of(rest["text"][k]), known)
-                    shared = len(np.intersect1d(own, sets[k], assume_unique=True))
-                    if 100 * shared >= percent * (len(own) + len(sets[k]) - shared):
+                        sets[k] = shingles(rest["text"][k] or "")
+                    if similar(own, sets[k], percent):
                         linked.add(groups[k])
                         out.append((min(x, ids[k]), max(x, ids[k])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
@@ -201,49 +218,61 @@ def in_blocks(rows: DataFrame, held: DataFrame, docs: DataFrame, percent: int, b
     return asked.unionByName(present).groupBy("g", "q", "t").applyInPandas(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", most_broadcast: int = 500_000) -> DataFrame:
     """For each row of docs: doc_id, n_shingles, component_id (the smallest id reachable over links) and kept.
 
     Documents without words have 0 shingles and are linked with nothing, as are rows with a null id
-    (component null, kept). Rows with equal ids count as one document. Other columns are left out; no rows give no rows.
+    (component null, kept). Rows with equal ids count as one document: whatever any of their texts is linked
+    with is linked, in any order of the rows. Other columns are left out; no rows give no rows.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     made = materialize(features(docs))
-    usable = made.where("digest is not null and doc_id is not null")
-    classes = usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    copied = materialize(classes.where("n > 1").select("digest", "rep"))
-    placed = made.join(copied, "digest", "left").select("doc_id", "n_shingles", "signature", "bands", F.coalesce("rep", "doc_id").alias("rep"))
-    reps = placed.where("doc_id = rep and bands is not null").dropDuplicates(["doc_id"])
+    usable = made.where("d1 is not null and doc_id is not null")
+    classes = usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    copied = materialize(classes.where("n > 1"))
+    total = made.count()
+    placed = spread_join(made, copied, ["d1", "d2"], "n", total, F.xxhash64("doc_id")).withColumn("rep", F.coalesce("rep", "doc_id"))
+    # ids of several texts: their classes are linked
+    several = usable.groupBy("doc_id").agg(F.min("d1").alias("x"), F.max("d1").alias("y")).where("x <> y")
+    same_id = placed.where("rep <> doc_id").join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    reps = placed.where("doc_id = rep and bands is not null").dropDuplicates(["doc_id", "d1", "d2"])
     cells = reps.select("doc_id", F.explode("bands").alias("band"))
     shared = cells.groupBy("band").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    buckets = materialize(cells.join(shared, "band"))
-    held = materialize(reps.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "signature", "bands"))
+    buckets = materialize(spread_join(cells, shared, ["band"], "size", N_BANDS * total, F.xxhash64("doc_id")).where("size is not null"))
+    held = materialize(reps.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n_shingles", "signature", "bands"))
     of = lambda x: held.select(F.col("doc_id").alias(x), F.col("signature").alias(f"s_{x}"))
     near = estimate(F.col("s_a"), F.col("s_b")) >= floor_of(percent)
-    star = buckets.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
-    tried = materialize(star.join(of("b"), "b").join(of("a"), "a").where(near).select("a", "b"))
-    links = materialize(confirmed(tried, docs, percent))
+    star = materialize(buckets.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct())
+    centres = of("a").join(star.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "a")
+    tried = materialize(spread_join(star.join(of("b"), "b"), centres, ["a"], "n", star.count(), F.xxhash64("b")).where(near).select("a", "b").distinct())
+    links = materialize(confirmed(tried, docs, percent).unionByName(same_id))
     first = components(links).withColumnRenamed("id", "doc_id")
     labelled = buckets.join(first, "doc_id", "left").select("band", "doc_id", "size", "a", F.coalesce("component", "doc_id").alias("c"))
     parts = labelled.groupBy("band", "c").agg(F.count(F.lit(1)).alias("n"))
-    several = parts.groupBy("band").agg(F.count(F.lit(1)).alias("k"), F.max_by("c", "n").alias("largest")).where("k > 1").select("band", "largest")
-    rest = materialize(labelled.where("size > 2").join(several, "band"))
+    mixed = parts.groupBy("band").agg(F.count(F.lit(1)).alias("k"), F.max_by("c", F.struct("n", "c")).alias("largest"), F.sum("n").alias("n")).where("k > 1").drop("k")
+    rest = spread_join(labelled.where("size > 2"), mixed, ["band"], "n", N_BANDS * total, F.xxhash64("doc_id")).where("largest is not null")
+    rest = materialize(rest.drop("n"))
     small = rest.where(F.col("size") <= SMALL)
     one = small.where("c <> largest").select("band", F.col("doc_id").alias("x"), F.col("c").alias("cx"))
     other = small.select("band", F.col("doc_id").alias("y"), F.col("c").alias("cy"), "largest")
     across = one.join(other, "band").where(((F.col("cy") == F.col("largest")) | (F.col("x") < F.col("y"))) & (F.col("cx") != F.col("cy")))
     pairs = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = pairs.join(of("b"), "b").join(of("a"), "a").where(near).select("a", "b").join(tried, ["a", "b"], "left_anti")
+    more = pairs.join(of("b"), "b").join(of("a"), "a").where(near).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
     found = links.unionByName(confirmed(materialize(more), docs, percent)).unionByName(in_blocks(rest.where(F.col("size") > SMALL), held, docs, percent))
-    found = components(found)
-    final = placed.select("doc_id", "n_shingles", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left")
+    found = materialize(components(found))
+    placed, found = placed.select("doc_id", "n_shingles", "rep"), found.withColumnRenamed("id", "rep")
+    if found.count() <= most_broadcast:  # 16 bytes a row
+        final = placed.join(F.broadcast(found), "rep", "left")
+    else:
+        final = spread_join(placed, found.join(placed.groupBy("rep").agg(F.count(F.lit(1)).alias("n")), "rep"), ["rep"], "n", total, F.xxhash64("doc_id"))
     return final.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def near_deduplicated(docs: DataFrame, percent: int = 75) -> DataFrame:
+def near_deduplicated(docs: DataFrame, percent: int = 75, most_broadcast: int = 2_000_000) -> DataFrame:
     """The rows of docs that stay: of each component the document with the smallest id; columns as in docs."""
-    gone = near_duplicates(docs, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = materialize(near_duplicates(docs, percent).where("not kept").select("doc_id").distinct())
+    small = gone.count() <= most_broadcast  # 8 bytes a row; beyond that a shuffled join
+    return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
