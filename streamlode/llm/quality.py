@@ -10,13 +10,14 @@ of their ids); texts, features and scores cover all rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 NAMES = (
     "log_words", "word_length", "distinct_words", "top_word", "upper", "digits", "symbols", "bangs", "high_bytes",
@@ -50,6 +51,12 @@ def measure(text: str | None) -> list[float]:
     ]
 
 
+def measured(texts, rows: int = 250) -> Iterator[np.ndarray]:
+    """The features of an Arrow array of texts, some rows at a time."""
+    for at in range(0, max(len(texts), 1), rows):
+        yield np.array([measure(t) for t in texts.slice(at, rows).to_pylist()], float).reshape(-1, len(NAMES))
+
+
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and x (array of the features) for each row of docs."""
 
@@ -169,10 +176,23 @@ def held_out(id_col: str, modulus: int, remainder: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(modulus)) == remainder
 
 
-def training_rows(rows: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int) -> DataFrame:
-    """The rows with a label that are not held out, with y; a document that is labelled twice takes the larger label."""
+def training_ids(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, max_rows: int) -> DataFrame:
+    """doc_id and y of at most max_rows documents with a label that are not held out, those with the smallest hashes of their ids.
+
+    A document that is labelled twice takes the larger label; ids without a label or null ids are left out.
+    """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    return rows.where(~held_out("doc_id", modulus, remainder)).join(known, "doc_id")
+    ids = docs.select("doc_id").where(~held_out("doc_id", modulus, remainder)).join(known, "doc_id").distinct()
+    return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+
+
+def learn(docs: DataFrame, labels: DataFrame, max_rows: int) -> Model:
+    """The model fitted on the sampled labelled rows; of rows that share an id, the one with the least features counts."""
+    ids = materialize(training_ids(docs, labels, "quality", 4, 2, max_rows))
+    sample = features(docs.join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi")).groupBy("doc_id").agg(F.min("x").alias("x"))
+    sample = sample.join(F.broadcast(ids), "doc_id").orderBy("doc_id").toPandas()  # max_rows rows of fixed width
+    discard(ids)
+    return fit(np.array(sample["x"].tolist(), float).reshape(-1, len(NAMES)), sample["y"].to_numpy(float))
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_rows: int = 20_000) -> DataFrame:
@@ -181,25 +201,36 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_rows:
     Null and empty texts have zeros as features and get a score like others. Repeated rows get equal
     scores. Without labels every score is 0.5. No rows give no rows.
     """
-    made = materialize(features(docs))
-    sample = training_rows(made, labels, "quality", 4, 2).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).toPandas()
-    x = np.array(sample["x"].tolist(), float).reshape(-1, len(NAMES))
-    model = fit(x, sample["y"].to_numpy(float))
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    model = learn(docs, labels, max_rows)
 
     def run(batches):
+        import pyarrow as pa
+
         for b in batches:
-            x = np.array(b["x"].tolist(), float).reshape(-1, len(NAMES))
-            b["score"] = model.score(x)
-            yield b[["doc_id", "held_out", "score"]]
+            score = np.concatenate([model.score(x) for x in measured(b.column(2))])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score)], ["doc_id", "held_out", "score"])
 
-    rows = made.withColumn("held_out", held_out("doc_id", 4, 2)).mapInPandas(run, "doc_id long, held_out boolean, score double")
+    rows = docs.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double")
     return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of docs whose score reaches the threshold; columns as in docs. Rejected ids are the smaller side of the join."""
-    gone = scored(docs, labels, threshold).where("predicted = 0").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_rows: int = 20_000) -> DataFrame:
+    """The rows of docs whose score reaches the threshold; columns as in docs.
+
+    Each row is judged by its own text in the pass that scores it: null and repeated ids make no difference.
+    """
+    model = learn(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), labels, max_rows)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            score = np.concatenate([model.score(x) for x in measured(b.column(at))])
+            yield b.filter(pa.array(score >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
