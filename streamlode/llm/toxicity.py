@@ -2,44 +2,40 @@
 
 Two models, one of toxic and one of ordinary labelled documents, count in how many different left contexts
 each word stands (continuation counts), discount these, and share what they back off to: the continuation
-counts over all documents, labelled or not. A rare expression, which one class alone saw by chance, is
-discounted in full and falls back to the same shared probability in both; so do words that the classes tell
-apart by less than ``CLEAR``. Such words say nothing. (A bigram order above this one, which the method allows,
-made held-out errors more frequent: few bigrams recur, and their ratios are noise.)
+counts over all documents, labelled or not, in which words that no sampled document has are one word. A rare
+expression, which one class alone saw by chance, is discounted in full and falls back to the same shared probability
+in both; so do words that the classes tell apart by too little, which are tied to the shared counts in both models.
+(Left untied, or with a bigram order above, the models caught far fewer toxic documents; the README has the figures.)
 
-A document is scored by the ratio of the two likelihoods, normalised by length: over the whole text and
+A document is scored by the difference of its two log-likelihoods, normalised by length: over the whole text and
 over its most toxic stretch of ``SPAN`` words, so that a long text does not dilute a short insult. A logistic
 function of both, fitted on labelled documents that the counts have not seen, gives the score.
 
-Class counts come from a bounded sample of labelled rows (``max_rows``, those with the smallest hashes of
+Class counts come from a bounded sample of labelled rows (``max_rows`` and ``max_bytes``, those with the smallest hashes of
 their ids), so the tables that are broadcast are bounded too; the backoff counts come from every document.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, materialize, mix64
-from .quality import held_out, training_rows
+from .common import Words, byte_values, discard, materialize, mix64, tokenized
+from .quality import held_out, training_ids
 
-SPAN = 24
-#: Log-ratios below this are taken as 0.
-CLEAR = 3.0
-#: A-Z to a-z, ASCII punctuation to spaces.
-FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
+SPAN = 12
+#: Log-ratios below one of these are taken as 0: the one under which the calibrating documents are likeliest (0: none are).
+CLEAR = (0.0, 1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0)
+#: Words without case; ASCII punctuation separates them.
+FOLDED = byte_values(lower=True, separators=bytes(c for c in range(128) if not chr(c).isalnum()))
 DISCOUNT = 1.0
 
 
-def tokens(text: str | None, known: WordHashes) -> np.ndarray:
-    """Hashes of the words of a whole text, without case and punctuation."""
-    return known.of((text or "").encode().translate(FOLD).split())
-
-
 def pair_keys(words: np.ndarray) -> np.ndarray:
     """Keys of the bigrams; the first word follows a start mark."""
     left = np.empty_like(words)
@@ -55,15 +51,23 @@ class Model:
     ratio: np.ndarray
     calibration: tuple[float, ...] = (0.0, 0.0, 0.0)
 
-    def measures(self, words: np.ndarray) -> tuple[float, float]:
-        """Ratio per word over the most toxic span, and over the whole text times the root of its length in spans."""
-        n = len(words)
-        if not n or not len(self.words):
-            return 0.0, 0.0
-        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        sums = np.concatenate([[0.0], np.cumsum(np.where(self.words[at] == words, self.ratio[at], 0.0))])
-        span = min(SPAN, n)
-        return float((sums[span:] - sums[:-span]).max() / SPAN), float(sums[-1] / n * np.sqrt(max(n / SPAN, 1.0)))
+    def measures(self, words: Words) -> np.ndarray:
+        """For each text: the ratio per word over its most toxic span, and over the whole text times the root of its length in spans."""
+        out = np.zeros((len(words), 2))
+        if not len(self.words) or not len(words.hashes):
+            return out
+        at = np.minimum(np.searchsorted(self.words, words.hashes), len(self.words) - 1)
+        sums = np.concatenate([[0.0], np.cumsum(np.where(self.words[at] == words.hashes, self.ratio[at], 0.0))])
+        for k, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)):
+            if a < b:
+                own, span = sums[a : b + 1] - sums[a], min(SPAN, b - a)
+                out[k] = (own[span:] - own[:-span]).max() / SPAN, own[-1] / (b - a) * np.sqrt(max((b - a) / SPAN, 1.0))
+        return out
+
+    def clear(self, least: float) -> Model:
+        """The model with the words alone whose ratio is at least ``least`` in size."""
+        keep = np.abs(self.ratio) >= least
+        return Model(self.words[keep], self.ratio[keep])
 
     def scores(self, measures: np.ndarray) -> np.ndarray:
         a, b, c = self.calibration
@@ -78,11 +82,9 @@ def estimate(words, shared_total: float) -> Model:
         n = words[c].to_numpy(float)
         total = max(n.sum(), 1)
         chance.append(np.maximum(n - DISCOUNT, 0) / total + DISCOUNT * max((n > 0).sum(), 1) / total * base)
-    ratio = np.log(chance[1] / chance[0])
-    keep = np.abs(ratio) >= CLEAR
-    ids = words["w"].to_numpy(np.int64).view(np.uint64)[keep]
+    ids, ratio = words["w"].to_numpy(np.int64).view(np.uint64), np.log(chance[1] / chance[0])
     order = np.argsort(ids)
-    return Model(ids[order], ratio[keep][order])
+    return Model(ids[order], ratio[order])
 
 
 def calibrate(model: Model, measures: np.ndarray, y: np.ndarray) -> Model:
@@ -99,69 +101,81 @@ def calibrate(model: Model, measures: np.ndarray, y: np.ndarray) -> Model:
     return model
 
 
+def loss(model: Model, measures: np.ndarray, y: np.ndarray) -> float:
+    p = np.clip(model.scores(measures), 1e-9, 1 - 1e-9)
+    return float(-np.where(y == 1, np.log(p), np.log(1 - p)).sum())
+
+
 def counted(rows: DataFrame) -> DataFrame:
     """w, n0 and n1: in how many different left contexts a word stands in the documents of each class (rows: text, y)."""
 
     def run(batches):
-        import pandas as pd
-
-        known = WordHashes()
-        for b in batches:
-            for y in (0, 1):
-                found = [tokens(t, known) for t, k in zip(b["text"], b["y"], strict=True) if k == y]
-                found = [x for x in found if len(x) > 1]
-                if found:
-                    keys, first = np.unique(np.concatenate([pair_keys(x)[1:] for x in found]), return_index=True)
-                    w = np.concatenate([x[1:] for x in found])[first]
-                    yield pd.DataFrame({"w": w.view(np.int64), "key": keys.view(np.int64), "y": y})
-
-    contexts = rows.select("text", "y").mapInPandas(run, "w long, key long, y long").distinct()
+        import pyarrow as pa
+
+        for batch in batches:
+            y = batch.column(1).to_numpy(zero_copy_only=False)
+            for k, words in tokenized(batch.column(0), FOLDED):
+                sizes = np.diff(words.first)
+                keys, inside = pair_keys(words.hashes), np.ones(len(words.hashes), bool)
+                inside[words.first[:-1][sizes > 0]] = False
+                of = np.repeat(y[k : k + len(words)], sizes)
+                for c in (0, 1):
+                    some = inside & (of == c)
+                    found, at = np.unique(keys[some], return_index=True)
+                    columns = (words.hashes[some][at].view(np.int64), found.view(np.int64), np.full(len(found), c, np.int32))
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["w", "key", "y"])
+
+    contexts = rows.select("text", "y").mapInArrow(run, "w long, key long, y int").distinct()
     return contexts.groupBy("w").agg(F.sum(1 - F.col("y")).alias("n0"), F.sum("y").alias("n1"))
 
 
-def continuations(docs: DataFrame, vocabulary: np.ndarray, bucket_bytes: int = 12_000_000) -> tuple[np.ndarray, int]:
+def packed(values: np.ndarray) -> bytes:
+    """Sorted integers as compressed differences, byte by byte from the lowest."""
+    return zlib.compress(np.diff(values, prepend=0).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1).astype(np.int64))
+
+
+def continuations(docs: DataFrame, vocabulary: np.ndarray, bucket_bytes: int = 12_000_000, most_words: int = 2_000_000) -> tuple[np.ndarray, int]:
     """How many different words stand before each word of the vocabulary (sorted hashes) in the corpus, and before all words in sum.
 
-    A task drops its repeats and deals its pairs to buckets by their keys; a bucket, whose pairs come from about
-    ``bucket_bytes`` of text, drops the repeats of all tasks. Pairs travel as arrays: their codes as compressed
-    differences, and the upper 48 bits of their keys, which tell the few million pairs of a bucket apart.
+    After a word, all words outside the vocabulary are one word. A task drops the repeats of every ``most_words`` pairs and deals the pairs
+    to buckets; a bucket, whose pairs come from about ``bucket_bytes`` of text, drops the repeats of all tasks.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(12, -(-size // bucket_bytes))
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # bounded by max_rows
+    buckets, width = max(12, -(-size // bucket_bytes)), len(vocabulary) + 1  # below 2**31: pairs fit in 64 bits
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # bounded by max_rows and max_bytes
 
-    def distinct(keys: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys, first = np.unique(keys, return_index=True)
-        return keys, codes[first]
+    def run(batches) -> Iterator:
+        import pyarrow as pa
 
-    def run(batches):
-        import pandas as pd
-
-        known, vocabulary = WordHashes(), shared.value
+        vocabulary = shared.value
 
         def flush(held):
-            keys, words = distinct(np.concatenate([pair_keys(x)[1:] for x in held]), np.concatenate([x[1:] for x in held]))
-            codes = np.full(len(words), -1, np.int32)
-            if len(vocabulary):
-                at = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
-                codes = np.where(vocabulary[at] == words, at, -1).astype(np.int32)
-            bucket = (keys % np.uint64(buckets)).astype(np.int32)
-            order = np.lexsort((codes, bucket))
-            keys, codes = keys[order], codes[order]
+            pairs = np.unique(np.concatenate(held))
+            bucket = pairs % buckets
+            order = np.argsort(bucket, kind="stable")
             ends = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
+            pairs = pairs[order] // buckets
             some = [k for k in range(buckets) if ends[k] < ends[k + 1]]
-            upper = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]
-            steps = [zlib.compress(np.diff(codes[ends[k] : ends[k + 1]], prepend=np.int32(0)).astype("<i4").tobytes(), 1) for k in some]
-            return pd.DataFrame({"bucket": some, "keys": [upper[ends[k] : ends[k + 1]].tobytes() for k in some], "codes": steps})
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([packed(pairs[ends[k] : ends[k + 1]]) for k in some], pa.binary())], ["bucket", "pairs"])
 
         held, n = [], 0
-        for b in batches:
-            for text in b.iloc[:, 0]:
-                words = tokens(text, known)
-                if len(words) > 1:
-                    held.append(words)
-                    n += len(words)
-                if n > 2_000_000:
+        for batch in batches:
+            for _, words in tokenized(batch.column(0), FOLDED):
+                codes = np.full(len(words.hashes), len(vocabulary), np.int64)
+                if len(vocabulary):
+                    at = np.minimum(np.searchsorted(vocabulary, words.hashes), len(vocabulary) - 1)
+                    codes = np.where(vocabulary[at] == words.hashes, at, len(vocabulary))
+                inside = np.ones(len(codes), bool)
+                inside[words.first[:-1][np.diff(words.first) > 0]] = False
+                left = (words.hashes & np.uint64(0xFFFFFFFF)).astype(np.int64)  # 32 bits tell contexts apart
+                held.append(np.unique((np.append(0, left[:-1])[: len(codes)] * width + codes)[inside]))
+                n += len(held[-1])
+                if n > most_words:
                     yield flush(held)
                     held, n = [], 0
         if held:
@@ -170,70 +184,71 @@ def continuations(docs: DataFrame, vocabulary: np.ndarray, bucket_bytes: int = 1
     def count(frame):
         import pandas as pd
 
-        upper = np.concatenate([np.frombuffer(x, np.uint8) for x in frame["keys"]]).reshape(-1, 6)
-        keys = np.zeros((len(upper), 8), np.uint8)
-        keys[:, :6] = upper
-        codes = np.concatenate([np.cumsum(np.frombuffer(zlib.decompress(x), "<i4"), dtype=np.int32) for x in frame["codes"]])
-        _, codes = distinct(keys.view("<u8").reshape(-1), codes)
-        code, n = np.unique(codes, return_counts=True)
-        return pd.DataFrame({"code": code, "n": n})
+        bucket = int(frame["bucket"].iloc[0])
+        pairs = np.unique(np.concatenate([unpacked(x) for x in frame["pairs"]])) * buckets + bucket
+        code, n = np.unique(pairs % width, return_counts=True)
+        return pd.DataFrame({"code": code.astype(np.int32), "n": n})
 
-    dealt = docs.select("text").mapInPandas(run, "bucket int, keys binary, codes binary")
+    dealt = docs.select("text").mapInArrow(run, "bucket int, pairs binary")
     found = dealt.groupBy("bucket").applyInPandas(count, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
-    code, n = found["code"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
-    counts = np.zeros(len(vocabulary), np.int64)
-    counts[code[code >= 0]] = n[code >= 0]
-    return counts, int(n.sum())
+    counts = np.zeros(width, np.int64)
+    counts[found["code"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    shared.unpersist()
+    return counts[:-1], int(counts.sum())
+
 
+def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_bytes: int = 100_000_000) -> Model:
+    """The calibrated model; one in four of the sampled rows calibrates, the others are counted.
 
-def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> Model:
-    """The calibrated model; one in four of the sampled rows calibrates, the others are counted."""
-    ids = training_rows(docs.select("doc_id"), labels, "toxic", 3, 1).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    ids = materialize(ids)  # at most max_rows rows
-    sample = materialize(docs.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).withColumn("calibrates", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(4)) == 0))
+    Of rows that share an id, the one with the shortest text counts. The sample ends before its texts pass max_bytes.
+    """
+    ids = materialize(training_ids(docs, labels, "toxic", 3, 1, max_rows))  # at most max_rows rows
+    rows = docs.withColumn("row", F.xxhash64("text"))
+    sizes = rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct(F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"), "row")).alias("one"))
+    upto = F.sum("one.bytes").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    picked = materialize(sizes.withColumn("upto", upto).where(F.col("upto") <= max_bytes).select("doc_id", "y", "one.row"))
+    sample = rows.join(F.broadcast(picked), ["doc_id", "row"]).dropDuplicates(["doc_id"]).withColumn("calibrates", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(4)) == 0)
+    sample = materialize(sample)
     words = counted(sample.where("not calibrates")).toPandas()
     words = words.iloc[np.argsort(words["w"].to_numpy(np.int64).view(np.uint64))]
     words["shared"], total = continuations(docs, words["w"].to_numpy(np.int64).view(np.uint64))
     model = estimate(words, float(total))
-    rest = sample.where("calibrates").select("doc_id", "text", "y")
-    known = rest.select(F.col("doc_id"), F.col("text")).mapInPandas(measuring(model), MEASURED).join(rest.select("doc_id", "y"), "doc_id").toPandas()
-    return calibrate(model, known[["span", "whole"]].to_numpy(float).reshape(-1, 2), known["y"].to_numpy(float))
-
+    models = [model.clear(least) for least in CLEAR]
 
-MEASURED = "doc_id long, span double, whole double"
+    def measure(batches):
+        import pyarrow as pa
 
+        for batch in batches:
+            for k, words in tokenized(batch.column(0), FOLDED):
+                found = np.hstack([m.measures(words) for m in models])
+                yield pa.RecordBatch.from_arrays([pa.array(found.tolist(), pa.list_(pa.float64())), batch.column(1)[k : k + len(words)]], ["found", "y"])
 
-def measuring(model: Model):
-    def run(batches):
-        import pandas as pd
-
-        known = WordHashes()
-        for b in batches:
-            found = np.array([model.measures(tokens(t, known)) for t in b.iloc[:, 1]]).reshape(-1, 2)
-            yield pd.DataFrame({"doc_id": b.iloc[:, 0], "span": found[:, 0], "whole": found[:, 1]})
+    known = sample.where("calibrates").select("text", "y").mapInArrow(measure, "found array<double>, y int").orderBy("found", "y").toPandas()
+    discard(ids, picked, sample)
+    found, y = np.array(known["found"].tolist(), float).reshape(-1, len(CLEAR), 2), known["y"].to_numpy(float)
+    for k, m in enumerate(models):
+        calibrate(m, found[:, k], y)
+    return models[int(np.argmin([loss(m, found[:, k], y) for k, m in enumerate(models)]))]
 
-    return run
 
-
-def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_rows: int = 12_000) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_rows: int = 12_000, max_bytes: int = 100_000_000) -> DataFrame:
     """doc_id, held_out, score and predicted for each row of docs (doc_id, text); other columns are left out.
 
     Texts without words, null ones included, get the score of a text that says nothing. Repeated rows get
     equal scores. Without labels every score is 0.5. No rows give no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    model = learn(docs, labels, max_rows)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_rows
+    model = learn(docs, labels, max_rows, max_bytes)
 
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
 
-        model, known = shared.value, WordHashes()
-        for b in batches:
-            found = np.array([model.measures(tokens(t, known)) for t in b["text"]]).reshape(-1, 2)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "score": model.scores(found)})
+        for batch in batches:
+            for k, words in tokenized(batch.column(2), FOLDED):
+                rows = batch.slice(k, len(words))
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(model.scores(model.measures(words)))], ["doc_id", "held_out", "score"])
 
-    rows = docs.withColumn("held_out", held_out("doc_id", 3, 1)).mapInPandas(run, "doc_id long, held_out boolean, score double")
+    rows = docs.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double")
     return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
