@@ -3,11 +3,12 @@
 Sources share the words of the mix by weight; no source is repeated more than ``most`` times, and what
 it cannot give is shared again among the others. Within a source every document is expected
 ``target / source size`` times. A prefix sum of these expectations, shifted by one random offset a source,
-crosses an integer once for each copy that is emitted. Documents are taken in order of length, so that
-short and long ones are hit evenly and the words taken come near the target.
+crosses an integer once for each copy that is emitted. Documents are taken in order of length class, so that
+short and long ones are hit evenly and the words taken come near the target, and within a class by a hash of their ids.
 
-The prefix sum has two levels: cells (source, length class, hash bucket) are counted and summed, and rows
-are numbered within their cell, so a source that holds most rows is spread over many tasks.
+The prefix sum has two levels: cells (source, length class, range of hashes) are counted and summed, and rows
+are numbered within their cell, so a source that holds most rows is spread over many tasks. How many ranges there are
+does not change the order.
 """
 
 from __future__ import annotations
@@ -43,12 +44,12 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3)
     return ranked.withColumn("__target", share.cast("double")).drop("position", "__weight")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "") -> DataFrame:
     """All rows of docs, plus size, source_size, target, copies and taken (size times copies).
 
     Null texts have size 0; a null source is a source of its own. Repeated rows are rows like others.
     Input columns named like the new ones are replaced. No rows give no rows. Reruns agree: the offsets
-    are hashes of the sources, and rows are ordered by length, id and a hash of the text.
+    are hashes of ``seed`` and the sources, and rows are ordered by length class and hashes of id and text.
     """
     docs = docs.drop("size", "source_size", "target", "copies", "taken")
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
@@ -56,7 +57,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, id_c
     n = docs.count()
     buckets = max(32, -(-n // (1 << 18)))
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    rows = rows.withColumns({"__class": F.floor(F.log2(F.col("size") + 1.0) * 4).cast("int"), "__bucket": F.pmod(unit_hash(key), F.lit(buckets))})
+    rows = rows.withColumns({"__class": F.floor(F.log2(F.col("size") + 1.0) * 4).cast("int"), "__hash": unit_hash(key)})
+    rows = rows.withColumn("__bucket", F.floor(F.col("__hash") * buckets / (1 << 32)).cast("int"))
     cell = ["__src", "__null", "__class", "__bucket"]
     cells = materialize(rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("__n"), F.sum("size").alias("__words")))
     classes = cells.groupBy(*cell[:3]).agg(F.sum("__n").alias("__n"))
@@ -70,9 +72,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, id_c
         .join(sources, ["__src", "__null"])
         .select(*cell, (F.col("__base") + F.col("__in_class")).alias("__before"), F.col("__size").alias("source_size"), F.col("__target").alias("target"))
     )
-    order = Window.partitionBy(*cell).orderBy("size", F.col(id_col).asc_nulls_first(), F.xxhash64(text_col))
+    order = Window.partitionBy(*cell).orderBy("__hash", "size", F.col(id_col).asc_nulls_first(), F.xxhash64(text_col))
     numbered = rows.withColumn("__at", F.row_number().over(order)).join(cells, cell)
-    offset = unit_hash(F.concat(F.when(F.col("__null"), "null ").otherwise("source "), F.col("__src"))) / F.lit(4294967296.0)
+    offset = unit_hash(F.concat(F.lit(seed), F.when(F.col("__null"), "null ").otherwise("source "), F.col("__src"))) / F.lit(4294967296.0)
     rate = F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)))
     crossed = lambda i: F.floor(offset + rate * i)
     place = F.col("__before") + F.col("__at")
@@ -97,7 +99,7 @@ WITH sized AS (
   SELECT doc_id, text, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
 rows AS (
   SELECT *, coalesce(source, '') AS src, source IS NULL AS nul, CAST(floor(log2(size + 1.0::DOUBLE) * 4) AS INT) AS class,
-    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) % 32 AS bucket FROM sized),
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS hash FROM sized),
 sources AS (
   SELECT src, nul, CAST(sum(size) AS BIGINT) AS s, (row_number() OVER (ORDER BY nul, src) - 1) % 3 + 1 AS w FROM rows GROUP BY src, nul),
 levels AS (
@@ -110,7 +112,7 @@ aimed AS (
     CAST('0x' || substr(md5((CASE WHEN nul THEN 'null ' ELSE 'source ' END) || src), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM sources),
 placed AS (
   SELECT r.doc_id, r.size, a.s, a.target, a.u, CASE WHEN a.s = 0 THEN 0.0::DOUBLE ELSE a.target / a.s::DOUBLE END AS rate,
-    row_number() OVER (PARTITION BY r.src, r.nul ORDER BY class, bucket, size, doc_id) AS i
+    row_number() OVER (PARTITION BY r.src, r.nul ORDER BY class, hash, size, doc_id) AS i
   FROM rows r JOIN aimed a ON r.src = a.src AND r.nul = a.nul)
 SELECT doc_id, size, s AS source_size, target,
   CAST(least(floor(u + rate * i) - floor(u + rate * (i - 1)), 3) AS BIGINT) * size AS taken FROM placed
