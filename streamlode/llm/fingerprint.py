@@ -129,25 +129,34 @@ def fingerprints(docs: DataFrame, rows_a_block: int = 1000, most_blocks: int = 5
     ordered = placed.repartition(count, "block").sortWithinPartitions("block", "copy", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
 
     def run(batches) -> Iterator:
-        import pandas as pd
-
-        last = None  # block, id, text, fingerprint
-        for b in batches:
-            out = []
-            for i, text, block, copy in zip(b["doc_id"], b["text"], b["block"], b["copy"], strict=True):
-                if last is None and copy:
-                    continue
-                print_ = fingerprint(text)
-                if last is not None and last[0] == block:
-                    new = edited(last[2], text)
-                    other = fingerprint(new)
-                    out.append((last[1], len(last[2]), hashlib.sha256(new.encode()).hexdigest(), written(last[3]), written(other), containment(last[3], other), containment(last[3], print_)))
-                last = None if copy else (block, None if pd.isna(i) else int(i), text, print_)
-            frame = pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
-
-    return ordered.mapInPandas(run, OUT)
+        import pyarrow as pa
+
+        names = [c.split()[0] for c in OUT.split(", ")]
+        types = [{"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[c.split()[1]] for c in OUT.split(", ")]
+        last, out, size = None, [], 0  # last: block, id, text, fingerprint
+
+        def frame():
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+
+        for batch in batches:
+            for at in range(0, len(batch), 100):
+                for i, text, block, copy in zip(*(c.to_pylist() for c in batch.slice(at, 100).columns), strict=True):
+                    if last is None and copy:
+                        continue
+                    print_ = fingerprint(text)
+                    if last is not None and last[0] == block:
+                        new = edited(last[2], text)
+                        other = fingerprint(new)
+                        out.append((last[1], len(last[2]), hashlib.sha256(new.encode()).hexdigest(), written(last[3]), written(other), containment(last[3], other), containment(last[3], print_)))
+                        size += len(last[2])
+                    last = None if copy else (block, i, text, print_)
+                    if size > 2_000_000:
+                        yield frame()
+                        out, size = [], 0
+        if out:
+            yield frame()
+
+    return ordered.select("doc_id", "text", "block", "copy").mapInArrow(run, OUT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
