@@ -173,32 +173,52 @@ def headers(data: bytes, kind: bytes) -> tuple[dict[str, str], int]:
     return fields, end + 4
 
 
-def parse(data: bytes) -> tuple:
-    """(page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload) of a record, validated."""
+def whole_number(fields: dict[str, str], name: str) -> int:
+    if not re.fullmatch(r"[0-9]+", fields.get(name, "")):
+        raise ValueError(f"no whole number in {name}")
+    return int(fields[name])
+
+
+def page_of(identifier: str) -> int | None:
+    found = re.fullmatch(r"<urn:page:(-?[0-9]+|None)>", identifier)
+    if not found:
+        raise ValueError(f"malformed record id {identifier[:60]!r}")
+    return None if found[1] == "None" else int(found[1])
+
+
+def parse(data: bytes) -> tuple | None:
+    """(page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload) of a response or revisit, validated.
+
+    Records of other types (warcinfo, request, metadata and the like) have their length checked and give None.
+    """
     fields, start = headers(data, b"WARC/1.")
-    missing = {"warc-type", "warc-record-id", "content-length", "warc-payload-digest"} - fields.keys()
+    missing = {"warc-type", "warc-record-id", "content-length"} - fields.keys()
     if missing:
         raise ValueError(f"record without {sorted(missing)}")
-    length = int(fields["content-length"])
-    if len(data) != start + length + 4 or data[-4:] != b"\r\n\r\n":
+    if len(data) != start + whole_number(fields, "content-length") + 4 or data[-4:] != b"\r\n\r\n":
         raise ValueError("record length and Content-Length differ")
-    block = data[start : start + length]
+    kind = fields["warc-type"]
+    if kind not in ("response", "revisit"):
+        return None
+    if "warc-payload-digest" not in fields:
+        raise ValueError("record without warc-payload-digest")
+    block = data[start:-4]
     http, body = headers(block, b"HTTP/1.")
-    payload, size, kind = block[body:], int(http["content-length"]), fields["warc-type"]
+    payload, size = block[body:], whole_number(http, "content-length")
     digest = fields["warc-payload-digest"].removeprefix("sha256:")
-    number = lambda x: None if (n := re.fullmatch(r"<urn:page:(-?\d+|None)>", x)[1]) == "None" else int(n)
     if kind == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
         raise ValueError("payload does not fit its length or digest")
     if kind == "revisit" and (payload or "warc-refers-to" not in fields):
         raise ValueError("revisit with a payload or without what it refers to")
-    if kind not in ("response", "revisit"):
-        raise ValueError(f"unknown record type {kind}")
-    refers = number(fields["warc-refers-to"]) if kind == "revisit" else None
-    return number(fields["warc-record-id"]), fields.get("warc-target-uri"), kind, refers, size, digest, payload if kind == "response" else None
+    refers = page_of(fields["warc-refers-to"]) if kind == "revisit" else None
+    return page_of(fields["warc-record-id"]), fields.get("warc-target-uri"), kind, refers, size, digest, payload if kind == "response" else None
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record below path (see READ); a damaged archive fails the job. No archive gives no rows."""
+    """A row for each response and revisit below path (see READ); a damaged archive fails the job. No archive gives no rows.
+
+    An archive is read whole by one task, so it must fit in its memory; the writer's are bounded by the input split.
+    """
     import pyarrow as pa
 
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
@@ -208,9 +228,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for k in range(b.num_rows):
                 for data in records_of(b.column(0)[k].as_py()):
-                    held.append(parse(data))
+                    found = parse(data)
+                    held += [found] if found else []
                     weight += len(data)
-                    if weight > 1 << 22:
+                    if held and weight > 1 << 22:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
                         held, weight = [], 0
         if held:
