@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from streamlode.llm import exact_dedup, fingerprint, minhash, mixing, packing, quality, substring_dedup, toxicity, url_filter, warc
-from streamlode.llm.common import WordHashes
+from streamlode.llm.common import byte_values, find_words, tokenized
 from streamlode.llm.components import components
 from streamlode.llm.fm_index import FMIndex
 
@@ -20,6 +20,12 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"w{i % 977}" for i in range(30_000))
 
 
+def hashes(words):
+    """Hashes of words given as bytes, as the operators make them."""
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    return find_words(data, np.array([0, len(data)]), byte_values()).hashes
+
+
 def corpus(seed=1, n=60):
     rng = random.Random(seed)
     base = [" ".join(f"t{rng.randrange(400)}" for _ in range(60)) for _ in range(6)]
@@ -137,7 +143,7 @@ def test_components(spark):
 
 def test_segments_tell_of_windows_that_they_hold_twice():
     for base in ([b"a"] * 70, [b"a", b"b", b"c"] * 20, [b"%d" % i for i in range(60)], [b"%d" % (i % 33) for i in range(90)]):
-        m, first, n, own = substring_dedup.segments(WordHashes().of(base))
+        m, first, n, own = substring_dedup.segments(hashes(base))
         windows = [tuple(base[i : i + 20]) for i in range(len(base) - 19)]
         assert n.sum() == len(windows) and n.max() <= 20
         for a, k, flag in zip(first, n, own, strict=True):
@@ -248,9 +254,9 @@ def test_pieces_have_the_ids_of_the_whole(text):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    encoder, whole = packing.PieceTokenizer(path, most=4), Tokenizer.from_file(path)
-    for texts in ([text], [text, "", "plain words here"], ["plain words", text]):  # the cache forgets between calls
-        assert [x.tolist() for x in encoder.encode(pa.array(texts, pa.string()))[0]] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    encoder, whole = packing.Encoder(path), Tokenizer.from_file(path)
+    for texts in ([text], [text, "", "plain words here"], ["plain words", text]):
+        assert [x.tolist() for x in encoder.encode(pa.array(texts, pa.string()))] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def labelled(spark, words, n=600):
@@ -316,23 +322,91 @@ def test_packing_scores_all_terms_and_keeps_all_neighbours():
     assert order[0] == 0 and order[-1] == 1
 
 
-def test_packing_takes_words_split_at_any_white_space():
-    import public_tokenizers
-
-    encoder = packing.PieceTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
-    a, b, c = encoder.encode(pa.array(["one two three", "one\ntwo\n\nthree", ""]))[1]
-    assert a.tolist() == b.tolist() and len(a) == 3 and len(c) == 0
+def test_warc_records_that_are_malformed_or_of_other_types():
+    good = b"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:x>\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
+    assert warc.parse(good) is None
+    http = b"HTTP/1.1 200 OK\r\nX: 1\r\n\r\n"
+    head = lambda i, n: f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: {i}\r\nWARC-Payload-Digest: sha256:0\r\nContent-Length: {n}\r\n\r\n".encode()
+    sized = http.replace(b"X: 1", b"Content-Length: 0")
+    for bad in (good[:-1], good.replace(b"2", b"two"), head("<urn:page:1>", len(http)) + http + b"\r\n\r\n", head("<x>", len(sized)) + sized + b"\r\n\r\n", b"", b"WARC/1.1\r\n\r\n"):
+        with pytest.raises(ValueError):
+            warc.parse(bad)
+
+
+def test_routing_keys_do_not_depend_on_the_kind_of_white_space():
+    common = hashes([b"one", b"two", b"three"])
+    a, b, c = packing.routing_keys(pa.array(["one two three", "three\ntwo\n\none", ""]), common).tolist()
+    assert a == b != c
+
+
+def test_words_and_their_hashes_are_those_of_split():
+    rng, seen = random.Random(4), {}
+    for _ in range(200):
+        texts = [rng.choice([None, "", "".join(rng.choice("abÀ \n\x0b") for _ in range(rng.randrange(40)))]) for _ in range(rng.randrange(5))]
+        got = [(w.bytes_of(w.first[k], w.first[k + 1]), w.of(k).tolist()) for _, w in tokenized(pa.array(texts, pa.string()), byte_values(), rng.choice((1, 30, 1000))) for k in range(len(w))]
+        assert [x for x, _ in got] == [b" ".join((t or "").encode().split()) for t in texts]
+        for x, h in got:
+            assert all(seen.setdefault(w, v) == v for w, v in zip(x.split(), h, strict=True))
+    assert len(set(seen.values())) == len(seen)
+    data = np.frombuffer(LONG.encode(), np.uint8)
+    whole, parts = (find_words(data, np.array([0, len(data)]), byte_values(), most) for most in (1 << 20, 1000))
+    assert (whole.hashes == parts.hashes).all() and (whole.starts == parts.starts).all()
+
+
+def test_near_duplicates_of_repeated_ids_in_any_order(spark):
+    base = [[f"{t}{i}" for i in range(100)] for t in "xy"]
+    near = [" ".join([*b[:-1], "other"]) for b in base]
+    rows = [(1, near[0]), (2, " ".join(base[0])), (2, " ".join(base[1])), (3, near[1]), (None, near[0]), (None, None), (4, "alone")]
+    for order in (rows, rows[::-1], [rows[k] for k in (2, 0, 6, 3, 1, 5, 4)]):
+        df = spark.createDataFrame(order, "doc_id long, text string").withColumn("kept", F.lit("old"))
+        got = sorted({(r.doc_id or 0, r.component_id or 0, r.kept) for r in minhash.near_duplicates(df).collect()})
+        assert got == [(0, 0, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True)]
+
+
+def test_accepted_judges_each_row_by_its_own_text(spark):
+    docs, labels = labelled(spark, ["!!!!!", "|", "|"])
+    bad, good = (docs.where(f"doc_id = {i}").first().text for i in (0, 1))
+    odd = spark.createDataFrame([(None, bad, 1), (None, good, 2), (1, bad, 3), (1, good, 4)], "doc_id long, text string, score int")
+    more = docs.select("doc_id", "text", F.lit(0).alias("score")).unionByName(odd)
+    assert sorted(r.score for r in quality.accepted(more, labels).where("score > 0").collect()) == [2, 4]
+
+
+def test_chunks_are_those_of_a_byte_by_byte_pass():
+    rng = random.Random(6)
+    for n in (0, 5, 16, 17, 300, 3000):
+        data, out, start, h = bytes(rng.randrange(256) for _ in range(n)), [], 0, 0
+        hashes_ = []
+        for x in data:
+            h = (h * 2 + int(fingerprint.GEAR[x])) % 2**32
+            hashes_.append(h)
+        while start < n:
+            end = min(start + fingerprint.MOST, n)
+            for k in range(start + fingerprint.LEAST - 1, end):
+                bits = fingerprint.STRICT_BITS if k < start + fingerprint.USUAL - 1 else fingerprint.LOOSE_BITS
+                if hashes_[k] >> (32 - bits) == 0:
+                    end = k + 1
+                    break
+            out.append(end)
+            start = end
+        assert fingerprint.cuts(data) == out
+
+
+def test_substring_dedup_of_null_and_repeated_ids(spark):
+    words = " ".join(map(str, range(40)))
+    rows = [(None, words), (1, words), (1, words), (2, "a " + words)]
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_words", F.lit(1))).collect())
+    assert got == [(0, 40, 0), (1, 40, 40), (1, 40, 40), (2, 41, 40)]
 
 
 def test_shared_counts_are_of_different_contexts_of_the_whole_corpus(spark):
     texts = ["a b c a b", "a b", "A, b!", "x b c", None, "", "one", *["k l m"] * 50]
     df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
     pairs = {p for t in texts for w in [re.sub(r"[^a-z ]", "", (t or "").lower()).split()] for p in zip(w, w[1:], strict=False)}
-    words = sorted("abcklm", key=lambda w: int(WordHashes().of([w.encode()])[0]))
+    words = sorted("abcklm", key=lambda w: int(hashes([w.encode()])[0]))
     for vocabulary in (words, words[:3], []):
-        hashes = WordHashes().of([w.encode() for w in vocabulary])
-        counts, total = toxicity.continuations(df, hashes)
-        assert counts.tolist() == [sum(b == w for _, b in pairs) for w in vocabulary] and total == len(pairs)
+        counts, total = toxicity.continuations(df, hashes([w.encode() for w in vocabulary]))
+        other = {a for a, b in pairs if b not in vocabulary}
+        assert counts.tolist() == [sum(b == w for _, b in pairs) for w in vocabulary] and total == sum(counts) + len(other)
 
 
 def test_url_ranks_reach_hosts_of_any_distance(spark):
