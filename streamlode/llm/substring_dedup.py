@@ -237,12 +237,16 @@ def remove_repeats(docs: DataFrame, shard_words: int = 300_000, most_segments: i
     total = rows.agg(F.sum(F.col("n") + WINDOW)).first()[0] or 0
     shards = max(1, -(-total // shard_words))
     masks = rows.withColumn("shard", F.pmod(F.xxhash64("part"), F.lit(shards))).groupBy("shard").applyInPandas(lambda f: earlier_windows(f), "m long, s long, mask long")
-    masks = materialize(masks if marks is None else masks.unionByName(marks)).groupBy("m", "s").agg(F.bit_or("mask").alias("mask"))
-    known = distinct.select("m", "s", F.col("doc_id").alias("d0"), F.col("start").alias("p0"), "times").join(masks, ["m", "s"], "left").where("times > 1 or mask is not null")
+    masks = materialize(masks if marks is None else masks.unionByName(marks))
+    # a row for each segment: its first place and count, and the masks of its pieces
+    both = distinct.select("m", "s", F.col("doc_id").alias("d0"), F.col("start").alias("p0"), "times", F.lit(0).cast("long").alias("mask"))
+    none = F.lit(None).cast("long")
+    both = both.unionByName(masks.select("m", "s", none.alias("d0"), none.alias("p0"), none.alias("times"), "mask"))
+    known = both.groupBy("m", "s").agg(*(F.max(c).alias(c) for c in ("d0", "p0", "times")), F.bit_or("mask").alias("mask")).where("times > 1 or mask <> 0")
     placed = spread_join(near.select("doc_id", "row", "start", "n", "m", "s"), known, ["m", "s"], "times", near.count(), F.xxhash64("doc_id", "start")).where("times is not null")
     first = (F.col("doc_id") == F.col("d0")) & (F.col("start") == F.col("p0"))
     whole = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("n")) - 1
-    marked = placed.select("doc_id", "row", "start", F.when(first, F.coalesce("mask", F.lit(0))).otherwise(whole).alias("mask")).where("mask <> 0")
+    marked = placed.select("doc_id", "row", "start", F.when(first, F.col("mask")).otherwise(whole).alias("mask")).where("mask <> 0")
     # a document's spans are bounded by its length
     spans = materialize(marked.groupBy("doc_id", "row").agg(F.collect_list("start").alias("starts"), F.collect_list("mask").alias("masks")))
     discard(near, distinct)
