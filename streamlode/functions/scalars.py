@@ -68,3 +68,18 @@ def encrypt(data: Column, key: str, iv: bytes | None = None) -> Column:
 
 def decrypt(data: Column, key: str) -> Column:
     return F.aes_decrypt(data, F.lit(key), F.lit("GCM"))
+
+
+def bit(flag: Column) -> Column:
+    """A condition as 0 or 1; null as 0."""
+    return F.coalesce(flag, F.lit(False)).cast("int")
+
+
+def is_decoy(label: Column) -> Column:
+    """Decoys are marked by labels below 0."""
+    return label < 0
+
+
+def mux(flag: Column, new: Column, old: Column) -> Column:
+    """new where the flag is set, else old, for masks of conditions."""
+    return (flag & new) | (~flag & old)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import hash32, uniform_double, uniform_int
+from ..functions.scalars import hash32, is_decoy, mux, uniform_double, uniform_int
 from ..sources.observations import DatasetSpec
 
 
@@ -47,3 +47,40 @@ def shuffled(rows: DataFrame, spec: DatasetSpec, within_chunk: bool = True) -> D
 def resample_half(rows: DataFrame, spec: DatasetSpec, n: int) -> DataFrame:
     """Add kept: whether a uniform number below n is in its lower half."""
     return rows.withColumn("kept", F.pmod(hash32(F.lit(spec.seed), F.col("row_id")), F.lit(n)) < n // 2)
+
+
+def permuted(rows: DataFrame, spec: DatasetSpec) -> DataFrame:
+    """Add key, drawn with replacement below iter_size, and pos: the place of a row in its chunk by key, then id."""
+    key = F.pmod(hash32(F.lit(spec.seed), F.col("row_id")), F.lit(spec.iter_size))
+    order = Window.partitionBy("chunk_id").orderBy("key", "row_id")
+    return rows.withColumn("key", key).withColumn("pos", F.row_number().over(order) - 1)
+
+
+def added(rows: DataFrame, spec: DatasetSpec, kind: str = "int") -> DataFrame:
+    """Rows whose decoys have labels below 0 are shuffled in their chunk, flagged, and the decoys' features filled below the real maxima.
+
+    Integer decoys get a uniform label, double ones keep -1. Adds pos and is_real. The maxima (one row) come to the driver.
+    """
+    width = spec.num_features - 1
+    placed = (shuffled if kind == "int" else permuted)(rows, spec).withColumn("is_real", ~is_decoy(F.col("label")))
+    highs = ranges(placed, width).first()["highs"]
+    key = lambda f: hash32(F.lit(spec.seed), F.col("row_id"), F.lit("fill"), F.lit(f))
+    top = lambda f: F.lit(highs[f] if highs[f] is not None else 0)
+    draw = (lambda f: uniform_int(key(f), top(f)).cast("int")) if kind == "int" else (lambda f: uniform_double(key(f), top(f)))
+    filled = F.when(F.col("is_real"), F.col("features")).otherwise(F.array(*(draw(f) for f in range(width))))
+    label = F.when(F.col("is_real"), F.col("label")).otherwise(uniform_int(key(width), F.lit(spec.num_classes)).cast("int") if kind == "int" else F.lit(-1))
+    return placed.withColumns({"features": filled, "label": label})
+
+
+def decoy_feature(node: Column, spec: DatasetSpec) -> Column:
+    """The feature that a decoy node splits by: uniform over all columns, that of the label included."""
+    return F.pmod(hash32(F.lit(spec.seed), F.lit("node"), node), F.lit(spec.num_features)).cast("int")
+
+
+def corrected(rows: DataFrame, spec: DatasetSpec, n: int) -> DataFrame:
+    """rows: row_id, node_id, decoy, mask. The mask of a decoy node is drawn anew (a half of the rows) and its feature drawn; others keep theirs.
+
+    Replaces mask and adds feature (-1 for real nodes).
+    """
+    drawn = F.pmod(hash32(F.lit(spec.seed), F.col("row_id")), F.lit(n)) < n // 2
+    return rows.withColumns({"mask": mux(F.col("decoy"), drawn, F.col("mask")), "feature": F.when(F.col("decoy"), decoy_feature(F.col("node_id"), spec)).otherwise(-1)})

@@ -146,3 +146,16 @@ def fit(rows: DataFrame, spec: DatasetSpec, seed_from: str = "real", votes: str
         if c.class_prop:
             c.class_label = 0 if votes == "literal" else min(c.class_prop, key=lambda x: (-c.class_prop[x], x))
     return KMeansModel(clusters)
+
+
+def drawn_rows(rows: DataFrame, spec: DatasetSpec) -> DataFrame:
+    """k and the row at a random index below iter_size, drawn with replacement: a join on the K indexes, whatever the count of rows."""
+    spark = rows.sparkSession
+    index = F.pmod(hash32(F.lit(spec.seed), F.lit("seed"), F.col("k")), F.lit(spec.iter_size))
+    drawn = spark.range(spec.k).select(F.col("id").cast("int").alias("k")).withColumn("row_id", index)
+    return rows.join(F.broadcast(drawn), "row_id")  # K rows
+
+
+def reset(clusters: list[Cluster]) -> list[Cluster]:
+    """The clusters without members: centroids stay, sums, counts, votes, labels and radii go."""
+    return [Cluster(c.k, list(c.centroid), 0, [0.0] * len(c.centroid)) for c in clusters]

@@ -597,3 +597,61 @@ def stream_km_sequential(spark, d):
     query, out = runner.sequential(stream_of(spark, d, "embeddings", o.obs_vec), m)
     query.awaitTermination()
     return spark.createDataFrame(out, "row_id long, k int, pred int")
+
+
+# --- decoys of whole chunks and nodes ---------------------------------------------------------------------
+
+MARKED = f"marked AS (SELECT row_id, CAST(floor(row_id / {ITER}) AS BIGINT) AS chunk_id, f0, f1, f2, f3, CASE WHEN row_id % 3 = 2 THEN -1 ELSE label END AS label FROM obs)"
+
+
+def hash_sql(*parts: str) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 8) AS BIGINT)"
+
+
+def marked(spark, d) -> DataFrame:
+    """Every third row is a decoy, by its label."""
+    rows = o.chunked(o.obs_orders(spark, d), ITER)
+    return rows.withColumn("label", F.when(F.col("row_id") % 3 == 2, -1).otherwise(F.col("label")))
+
+
+@register("mask_mux", f"{OBS} SELECT row_id, (f0 > 1)::INT AS bit, label < 1 AS decoy, CASE WHEN f0 > 1 THEN f1 = 1 ELSE f2 > 2 END AS mask FROM obs")
+def mask_mux(spark, d):
+    rows = o.obs_orders(spark, d)
+    rows, c = rows.select("row_id", *features(rows), "label"), F.col
+    return rows.select("row_id", s.bit(c("f0") > 1).alias("bit"), s.is_decoy(c("label") - 1).alias("decoy"), s.mux(c("f0") > 1, c("f1") == 1, c("f2") > 2).alias("mask"))
+
+
+@register("sort_double_rows", f"WITH {o.VEC_SQL} SELECT row_id, label, row_number() OVER (PARTITION BY floor(row_id / {ITER}) ORDER BY x[1], row_id) - 1 AS pos FROM obs")
+def sort_double_rows(spark, d):
+    rows = o.chunked(o.obs_vec(spark, d), ITER)
+    return rows.select("row_id", "label", (F.row_number().over(Window.partitionBy("chunk_id").orderBy(F.get("features", F.lit(0)), "row_id")) - 1).alias("pos"))
+
+
+@register("permute_with_replacement", f"{OBS}, k AS (SELECT row_id, floor(row_id / {ITER}) AS chunk_id, {hash_sql(repr('7'), 'row_id')} % {ITER} AS key FROM obs) SELECT row_id, key, row_number() OVER (PARTITION BY chunk_id ORDER BY key, row_id) - 1 AS pos FROM k")
+def permute_with_replacement(spark, d):
+    return decoys.permuted(o.chunked(o.obs_orders(spark, d), ITER), INT).select("row_id", "key", "pos")
+
+
+@register("fetch_random_rows", f"{OBS}, k AS (SELECT k, {hash_sql(repr('7'), repr('seed'), 'k')} % {ITER} AS row_id FROM range({K}) r(k)) SELECT k::INT AS k, obs.row_id, f0, f1, f2, f3, label FROM k JOIN obs USING (row_id)")
+def fetch_random_rows(spark, d):
+    rows = kmeans.drawn_rows(train(spark, d), INT)
+    return rows.select("k", "row_id", *features(rows), "label")
+
+
+FILL = [hash_sql(repr('7'), 'row_id', repr('fill'), str(f)) for f in range(5)]
+
+
+@register("decoy_shuffle_flag", f"""{OBS}, {MARKED}, top AS (SELECT max(f0) AS m0, max(f1) AS m1, max(f2) AS m2, max(f3) AS m3 FROM marked WHERE label >= 0)
+SELECT row_id, row_number() OVER (PARTITION BY chunk_id ORDER BY {hash_sql(repr('7'), 'row_id')}, row_id) - 1 AS pos, label >= 0 AS is_real,
+{', '.join(f"CASE WHEN label >= 0 THEN f{i} WHEN m{i} > 0 THEN {FILL[i]} % m{i} ELSE 0 END AS f{i}" for i in range(4))}, CASE WHEN label >= 0 THEN label ELSE {FILL[4]} % 5 END AS label FROM marked, top""")
+def decoy_shuffle_flag(spark, d):
+    rows = decoys.added(marked(spark, d), INT)
+    return rows.select("row_id", "pos", "is_real", *features(rows), "label")
+
+
+@register("decoy_correction", f"""{OBS} SELECT row_id, floor(row_id / {ITER})::BIGINT AS node_id, f3 > 6 AS decoy, CASE WHEN f3 > 6 THEN {hash_sql(repr('7'), 'row_id')} % {ITER} < {ITER // 2} ELSE f2 > 2 END AS mask,
+CASE WHEN f3 > 6 THEN ({hash_sql(repr('7'), repr('node'), f'floor(row_id / {ITER})::BIGINT')} % 5)::INT ELSE -1 END AS feature FROM obs""")
+def decoy_correction(spark, d):
+    rows = nodes(o.obs_orders(spark, d))
+    rows = rows.select("row_id", "node_id", (F.get("features", F.lit(3)) > 6).alias("decoy"), (F.get("features", F.lit(2)) > 2).alias("mask"))
+    return decoys.corrected(rows, INT, ITER)
