@@ -40,12 +40,18 @@ class BayesModel:
             return rows.withColumn("pred", F.lit(0))
         return rows.withColumn("__best", self.best()).withColumn("pred", F.when(F.col("__best.ok"), -F.col("__best.c")).otherwise(F.lit(0))).drop("__best")
 
+    def predict_scanning(self, rows: DataFrame, num_values: int) -> DataFrame:
+        """Add pred as a scan over all num_values of each feature gives it: a value outside the domain leaves the score as it is."""
+        outside = [~F.coalesce(F.get("features", F.lit(f)).between(0, num_values - 1), F.lit(False)) for f in range(self.num_features)]
+        return rows.withColumn("__best", self.best(outside)).withColumn("pred", F.when(F.col("__best.ok"), -F.col("__best.c")).otherwise(F.lit(0))).drop("__best")
+
     def scores(self, rows: DataFrame) -> DataFrame:
         """row_id, label, c, score: the log of the class's score, null where it is 0."""
         each = F.explode(F.array(*(F.struct(F.lit(c).alias("c"), self.log_score(c).alias("s")) for c in range(self.num_classes)))).alias("e")
         return rows.select("row_id", "label", each).select("row_id", "label", F.col("e.c").alias("c"), F.round("e.s", 6).alias("score"))
 
-    def log_score(self, c: int):
+    def log_score(self, c: int, outside: list | None = None):
+        """The log of the class's score. outside: a condition for each feature under which it is passed over."""
         from math import log
 
         total = F.lit(log(self.prior[c]) if self.prior.get(c) else None).cast("double")
@@ -53,14 +59,17 @@ class BayesModel:
             cells = {v: p for (k, g, v), p in self.cond.items() if k == c and g == f and p > 0}
             if cells:
                 table = F.create_map(*(x for v, p in sorted(cells.items()) for x in (F.lit(v), F.lit(log(p)))))
-                total = total + F.try_element_at(table, F.get("features", F.lit(f)))
+                part = F.try_element_at(table, F.get("features", F.lit(f)))
             else:
-                total = total + F.lit(None).cast("double")
+                part = F.lit(None).cast("double")
+            total = total + (F.when(outside[f], 0.0).otherwise(part) if outside else part)
         return total
 
-    def best(self):
-        scored = [F.struct(self.log_score(c).isNotNull().alias("ok"), F.round(self.log_score(c), 9).alias("s"), F.lit(-c).alias("c")) for c in range(self.num_classes)]
-        return F.array_max(F.array(*scored))
+    def best(self, outside: list | None = None):
+        """The class of the highest score; nulls are the least, so ok tells whether any class has a score."""
+        scored = [F.struct(F.round(self.log_score(c, outside), 9).alias("s"), F.lit(-c).alias("c")) for c in range(self.num_classes)]
+        top = F.array_max(F.array(*scored))
+        return F.struct(top["s"].isNotNull().alias("ok"), top["c"].alias("c"))
 
 
 def fit(rows: DataFrame, spec: DatasetSpec) -> BayesModel:

@@ -19,7 +19,12 @@ def accuracy(predicted: DataFrame) -> DataFrame:
 
 def running(predicted: DataFrame, span: int = 4096) -> DataFrame:
     """Accuracy over all chunks up to each one. Spans of chunks are summed first, so no task sees every chunk."""
-    chunks = by_chunk(predicted).withColumn("span", F.floor(F.col("chunk_id") / span))
+    return accumulated(by_chunk(predicted), span)
+
+
+def accumulated(chunks: DataFrame, span: int = 4096) -> DataFrame:
+    """The same from chunk_id, correct and total."""
+    chunks = chunks.withColumn("span", F.floor(F.col("chunk_id") / span))
     spans = chunks.groupBy("span").agg(F.sum("correct").alias("c"), F.sum("total").alias("t"))
     before = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.select("span", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("c"), F.coalesce(F.sum("t").over(before), F.lit(0)).alias("t"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
-from ..operators import bayes, decoys, kmeans, metrics, tree
+from ..operators import bayes, decoys, kmeans, metrics, oblivious, tree
 from ..sources import observations as o
 from ..streaming import runner
 from .experiment import Experiment
@@ -447,7 +447,18 @@ def km_obliv_literal(spark, d):
     return e.predict(m).select("row_id", "label", "k", "pred")
 
 
-@register("km_predict_sequential")
+def km_sequence(full: str) -> str:
+    """sq: row_id, label, k and pred, where each row of full_ moves the centroid that took it."""
+    ctes = ",\n".join([f"{TEN.replace('WITH', 'WITH RECURSIVE', 1)}, {VOTE}", full])
+    ones = "range(1, len(n) + 1)"
+    return f"""{ctes}, st0 AS (SELECT list(list_transform(c, lambda v: v * n) ORDER BY k) AS sums, list(n::DOUBLE ORDER BY k) AS n, list(k ORDER BY k) AS ks FROM k{STEPS} WHERE n > 0),
+st AS (SELECT -1::BIGINT AS i, sums, n, 0::BIGINT AS j FROM st0 UNION ALL
+SELECT i + 1, list_transform({ones}, lambda a: CASE WHEN a = j THEN list_transform(range(1, 65), lambda b: sums[a][b] + x[b]) ELSE sums[a] END), list_transform({ones}, lambda a: n[a] + CASE WHEN a = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), j
+FROM (SELECT i, sums, n, x, list_position(d, list_min(d))::BIGINT AS j FROM (SELECT i, sums, n, x, list_transform({ones}, lambda a: list_sum(list_transform(range(1, 65), lambda b: (x[b] - sums[a][b] / n[a]) * (x[b] - sums[a][b] / n[a])))) AS d FROM st JOIN full_ ON full_.row_id = i + 1))),
+sq AS (SELECT f.row_id, f.label, ks[j] AS k, lb.class_label AS pred FROM st, st0, full_ f, lb WHERE f.row_id = st.i AND lb.k = ks[j])"""
+
+
+@register("km_predict_sequential", f"{km_sequence(VFULL)} SELECT row_id, CAST(floor(row_id / {ITER}) AS BIGINT) AS chunk_id, label, k, pred FROM sq")
 def km_predict_sequential(spark, d):
     e, m = km_run(spark, d)
     return e.predict(m, sequential=True)
@@ -591,7 +602,13 @@ def stream_nb_accuracy(spark, d):
     return runner.running_counts(stream_of(spark, d, "orders", o.obs_orders), m.predict, ITER, spark)
 
 
-@register("stream_km_sequential")
+@register("stream_nb_running", SQL["nb_running_accuracy"])
+def stream_nb_running(spark, d):
+    _, m = nb_run(spark, d)
+    return runner.running_accuracy(stream_of(spark, d, "orders", o.obs_orders), m.predict, ITER, spark)
+
+
+@register("stream_km_sequential", f"{km_sequence('full_ AS (SELECT * FROM obs)')} SELECT row_id, k, pred FROM sq")
 def stream_km_sequential(spark, d):
     _, m = km_run(spark, d)
     query, out = runner.sequential(stream_of(spark, d, "embeddings", o.obs_vec), m)
@@ -655,3 +672,57 @@ def decoy_correction(spark, d):
     rows = nodes(o.obs_orders(spark, d))
     rows = rows.select("row_id", "node_id", (F.get("features", F.lit(3)) > 6).alias("decoy"), (F.get("features", F.lit(2)) > 2).alias("mask"))
     return decoys.corrected(rows, INT, ITER)
+
+
+# --- walks and scans whose steps do not depend on the row -------------------------------------------------
+
+DEPTH = WIDE.max_depth
+NODE_HASH = f"{hash_sql(repr('7'), repr('node'), 'node_id')} % 5"
+
+
+def filled_ctes(decoy: bool) -> str:
+    """al: all nodes of the tree whose leaves are filled with children down to the last level."""
+    drawn, label = (f"({NODE_HASH})::INT", "-1") if decoy else ("0", "class_label")
+    return f"""{TREE.replace('WITH', 'WITH RECURSIVE', 1)}, dn AS (SELECT node_id, depth, class_label, false AS made FROM nodes WHERE leaf AND depth < {DEPTH} UNION ALL
+SELECT node_id || '/' || v, depth + 1, class_label, true FROM dn, range(11) x(v) WHERE depth < {DEPTH}),
+al AS (SELECT node_id, depth, CASE WHEN leaf AND depth < {DEPTH} THEN {drawn} ELSE split_attr END AS split_attr, class_label, leaf, false AS decoy FROM nodes UNION ALL
+SELECT node_id, depth, CASE WHEN depth < {DEPTH} THEN {drawn} ELSE -1 END, {label}, true, {str(decoy).lower()} FROM dn WHERE made)"""
+
+
+def filled_walk() -> str:
+    out = ["z0 AS (SELECT row_id, label, f0, f1, f2, f3, '' AS place, -1 AS pred FROM full_)"]
+    for k in range(DEPTH + 1):
+        out.append(f"y{k} AS (SELECT z.* REPLACE (CASE WHEN a.leaf AND NOT a.decoy THEN a.class_label ELSE z.pred END AS pred, a.node_id AS place), CASE a.split_attr WHEN 0 THEN f0 WHEN 1 THEN f1 WHEN 2 THEN f2 WHEN 3 THEN f3 WHEN 4 THEN label END AS v FROM z{k} z LEFT JOIN al a ON a.node_id = z.place)")
+        out.append(f"z{k + 1} AS (SELECT row_id, label, f0, f1, f2, f3, CASE WHEN v BETWEEN 0 AND 10 THEN place || '/' || v END AS place, pred FROM y{k})")
+    return ", ".join(out) + f" SELECT row_id, label, place AS end_id, pred FROM y{DEPTH}"
+
+
+def filled_tree(spark, d, decoy: bool):
+    e, m = tree_run(spark, d)
+    return e, oblivious.filled(m.frame(spark), WIDE, decoy)
+
+
+@register("dt_decoy_nodes", f"{filled_ctes(True)} SELECT node_id, depth, split_attr, class_label, decoy FROM al")
+def dt_decoy_nodes(spark, d):
+    return filled_tree(spark, d, True)[1].select("node_id", "depth", "split_attr", "class_label", "decoy")
+
+
+@register("dt_decoy_walk", f"{filled_ctes(True)}, {filled_walk()}")
+def dt_decoy_walk(spark, d):
+    e, nodes_ = filled_tree(spark, d, True)
+    return oblivious.walk(o.full_chunks(e.obs, WIDE.iter_size), nodes_, WIDE).select("row_id", "label", "end_id", "pred")
+
+
+@register("dt_obliv_walk", f"{filled_ctes(False)}, {filled_walk()}")
+def dt_obliv_walk(spark, d):
+    e, nodes_ = filled_tree(spark, d, False)
+    return oblivious.walk(o.full_chunks(e.obs, WIDE.iter_size), nodes_, WIDE).select("row_id", "label", "end_id", "pred")
+
+
+SCAN = NB_SCORE.replace("count(cd.p) = 4", "bool_and(cd.p IS NOT NULL OR l.v NOT BETWEEN 0 AND 10)").replace("sum(ln(cd.p))", "coalesce(sum(ln(cd.p)) FILTER (l.v BETWEEN 0 AND 10), 0)")
+
+
+@register("nb_obliv_scan", f"{NB}, {SCAN} SELECT * FROM p")
+def nb_obliv_scan(spark, d):
+    e, m = nb_run(spark, d, "oblivious")
+    return m.predict_scanning(o.full_chunks(e.obs, ITER), INT.num_values).select("row_id", "label", "pred")
