@@ -27,6 +27,7 @@ def one(spark, column):
 
 def test_rows_are_parsed_like_c(spark):
     assert one(spark, o.parse_row(F.lit("1,,2,3abc,x"), 4)) == [1, 2, 3, 0]
+    assert one(spark, o.parse_row(F.lit(",,1,,,2,"), 4)) == [1, 2] and one(spark, o.parse_row(F.lit(""), 2)) == [] == one(spark, o.parse_row(F.lit(",,"), 2))
     assert one(spark, o.parse_row(F.lit("3.9,-2, 7,9,5"), 4)) == [3, -2, 7, 9]
     assert one(spark, o.parse_row(F.lit("3.9,abc,1e2"), 3, "double")) == [3.9, 0.0, 100.0]
 
@@ -139,7 +140,7 @@ def test_sinks_and_grid(spark, mini, tmp_path):
 
 
 @pytest.mark.skipif(not Path(DATA).exists(), reason="needs the tables")
-@pytest.mark.parametrize("name", ["nb_predict", "info_gain", "km_label", "decoy_augment_int", "stream_nb_accuracy", "csv_parse_double", "dt_predict"])
+@pytest.mark.parametrize("name", ["nb_predict", "info_gain", "km_label", "decoy_augment_int", "stream_nb_accuracy", "csv_parse_double", "dt_predict", "nb_obliv_scan", "stream_nb_running", "km_predict_sequential", "dt_decoy_walk", "dt_obliv_walk"])
 def test_queries_match_sql(spark, name):
     import duckdb
 
