@@ -16,6 +16,9 @@ LIST = (
     ("op8_quality", "quality"),
     ("op9_packing", "packing"),
     ("op10_exact_dedup", "exact_dedup"),
+    ("op11_spelling", "spelling"),
+    ("op12_vector_codes", "vector_codes"),
+    ("op13_nearest", "nearest"),
 )
 
 
