@@ -72,6 +72,51 @@ class BayesModel:
         return F.struct(top["s"].isNotNull().alias("ok"), top["c"].alias("c"))
 
 
+@dataclass(frozen=True)
+class BayesTable:
+    """The model as tables, for domains whose cells are too many for literals.
+
+    prior: c, log_p. cells: f, v and logs, an array with the log of the cell's share in each class (null where it is 0).
+    """
+
+    prior: DataFrame
+    cells: DataFrame
+    num_classes: int
+    num_features: int
+
+    def scores(self, rows: DataFrame, salts: int = 16, most_broadcast: int = 200_000) -> DataFrame:
+        """row_id and logs, the log of each class's score (null where it is 0), by a join of the rows' cells with the model's.
+
+        A table of at most ``most_broadcast`` cells is broadcast. A larger one is joined by a shuffle, with each cell in ``salts`` copies among
+        which the rows are dealt, so that a value that a third of all rows have meets in no one task. The sums of a row's cells are made
+        in the task that holds them before they move. Rows that share a row_id would be summed together: ids are distinct.
+        """
+        long = rows.select("row_id", F.posexplode("features").alias("f", "v"))
+        if self.cells.count() <= most_broadcast:
+            found = long.join(F.broadcast(self.cells), ["f", "v"], "left")
+        else:
+            dealt = self.cells.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+            found = long.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(salts)).cast("int")).join(dealt, ["f", "v", "salt"], "left")
+        part = lambda c: F.get("logs", F.lit(c))
+        sums = found.groupBy("row_id").agg(*(F.sum(part(c)).alias(f"s{c}") for c in range(self.num_classes)), *(F.count(part(c)).alias(f"n{c}") for c in range(self.num_classes)))
+        prior = F.broadcast(self.prior.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("c", "log_p"))).alias("prior")))  # a row of num_classes entries
+        whole = lambda c: F.when(F.col(f"n{c}") == self.num_features, F.col(f"s{c}") + F.try_element_at("prior", F.lit(c)))
+        return sums.join(prior).select("row_id", F.array(*(whole(c) for c in range(self.num_classes))).alias("logs"))
+
+    def predict(self, rows: DataFrame, salts: int = 16, most_broadcast: int = 200_000) -> DataFrame:
+        """row_id and pred: the class of the highest score, ties to the lowest, 0 if no class has any."""
+        scored = self.scores(rows, salts, most_broadcast)
+        top = F.array_max(F.array(*(F.struct(F.round(F.get("logs", F.lit(c)), 9).alias("s"), F.lit(-c).alias("c")) for c in range(self.num_classes))))
+        return scored.select("row_id", F.when(top["s"].isNotNull(), -top["c"]).otherwise(0).alias("pred"))
+
+
+def fit_table(rows: DataFrame, spec: DatasetSpec) -> BayesTable:
+    """The model of ``fit`` as tables: nothing of it reaches the driver."""
+    cond = conditionals(rows).groupBy("f", "v").agg(*(F.max(F.when(F.col("label") == c, F.ln("p"))).alias(f"l{c}") for c in range(spec.num_classes)))
+    cells = cond.select("f", "v", F.array(*(f"l{c}" for c in range(spec.num_classes))).alias("logs"))
+    return BayesTable(priors(rows).where("label is not null").select(F.col("label").alias("c"), F.ln("p").alias("log_p")), cells, spec.num_classes, spec.num_features - 1)
+
+
 def fit(rows: DataFrame, spec: DatasetSpec) -> BayesModel:
     prior = {r["label"]: r["p"] for r in priors(rows).collect()}
     cond = {(r["label"], r["f"], r["v"]): r["p"] for r in conditionals(rows).collect()}

@@ -44,6 +44,14 @@ def shuffled(rows: DataFrame, spec: DatasetSpec, within_chunk: bool = True) -> D
     return rows.withColumn("pos", F.row_number().over(window) - 1)
 
 
+def chunk_order(spec: DatasetSpec, variant: str) -> tuple[Column, ...]:
+    """The order in which a variant goes through its rows: by id, or chunk by chunk in the order of ``shuffled`` (oblivious) or ``permuted`` (randomised)."""
+    drawn = hash32(F.lit(spec.seed), F.col("row_id"))
+    if variant == "naive":
+        return (F.col("row_id"),)
+    return (F.col("chunk_id"), drawn if variant == "oblivious" else F.pmod(drawn, F.lit(spec.iter_size)), F.col("row_id"))
+
+
 def resample_half(rows: DataFrame, spec: DatasetSpec, n: int) -> DataFrame:
     """Add kept: whether a uniform number below n is in its lower half."""
     return rows.withColumn("kept", F.pmod(hash32(F.lit(spec.seed), F.col("row_id")), F.lit(n)) < n // 2)

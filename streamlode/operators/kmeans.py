@@ -73,24 +73,33 @@ class KMeansModel:
         labels = F.create_map(*(x for c in self.clusters for x in (F.lit(c.k), F.lit(c.class_label))))
         return found.withColumn("pred", labels[F.col("k")])
 
-    def predict_sequential(self, rows: DataFrame, frozen: bool = False) -> DataFrame:
-        """row_id, chunk_id, label, k, pred in row order; each row then moves the centroid that took it.
+    def predict_sequential(self, rows: DataFrame, frozen: bool = False, order: tuple[Column, ...] = ()) -> DataFrame:
+        """row_id, chunk_id, label, k, pred of rows in the given order (by row_id if none); each row then moves the centroid that took it."""
+        return predict_each({"": self}, rows, frozen, order).drop("model")
 
-        Every prediction depends on all rows before it, so one model is one task; it streams the rows
-        through and holds the clusters alone. Parallelism is across models.
-        """
-        clusters = self.clusters
 
-        def run(batches) -> Iterator:
-            import pandas as pd
+def predict_each(models: dict[str, KMeansModel], rows: DataFrame, frozen: bool = False, order: tuple[Column, ...] = ()) -> DataFrame:
+    """model, row_id, chunk_id, label, k, pred: each model folds all rows in the given order (ties by row_id), as ``predict_sequential`` tells.
 
-            state = Fold(clusters)
-            for b in batches:
-                found = [state.take(np.asarray(x, float), frozen) for x in b["features"]]
-                yield pd.DataFrame({"row_id": b["row_id"], "chunk_id": b["chunk_id"], "label": b["label"], "k": [k for k, _ in found], "pred": [p for _, p in found]})
+    Every prediction depends on all rows before it, so a model is one task; it streams the rows through, sorted by Spark, and
+    holds the clusters alone. Models run side by side.
+    """
+
+    def run(batches) -> Iterator:
+        import pandas as pd
 
-        ordered = rows.select("row_id", "chunk_id", "label", "features").repartitionByRange(1, "row_id").sortWithinPartitions("row_id")
-        return ordered.mapInPandas(run, "row_id long, chunk_id long, label int, k int, pred int")
+        name, state = None, None
+        for b in batches:
+            for model, part in b.groupby("model", sort=False):
+                if model != name:
+                    name, state = model, Fold(models[model].clusters)
+                found = [state.take(np.asarray(x, float), frozen) for x in part["features"]]
+                yield pd.DataFrame({"model": model, "row_id": part["row_id"], "chunk_id": part["chunk_id"], "label": part["label"], "k": [k for k, _ in found], "pred": [p for _, p in found]})
+
+    keys = [c.alias(f"order{i}") for i, c in enumerate(order)]
+    each = rows.select(F.explode(F.array(*map(F.lit, sorted(models)))).alias("model"), "row_id", "chunk_id", "label", "features", *keys)
+    ordered = each.repartition(len(models), "model").sortWithinPartitions("model", *(f"order{i}" for i in range(len(order))), "row_id")
+    return ordered.select("model", "row_id", "chunk_id", "label", "features").mapInPandas(run, "model string, row_id long, chunk_id long, label int, k int, pred int")
 
 
 class Fold:
@@ -102,6 +111,11 @@ class Fold:
         self.sums, self.n = np.array([c.sums for c in full], float), np.array([c.n for c in full], float)
         self.centroid = np.array([c.centroid for c in full], float)
 
+    def restore(self, n: np.ndarray, sums: np.ndarray) -> None:
+        """Go on from counts and (flat) sums of an earlier fold over the same clusters."""
+        self.n, self.sums = n, sums.reshape(self.sums.shape)
+        self.centroid = self.sums / n[:, None]
+
     def take(self, x: np.ndarray, frozen: bool = False) -> tuple[int, int]:
         d = np.zeros(len(self.centroid))
         for i in range(self.centroid.shape[1]):  # summed in the order of the features

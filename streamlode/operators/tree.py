@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import plogp
@@ -78,17 +78,15 @@ class TreeModel:
     def depth(self) -> int:
         return max(x.depth for x in self.nodes.values())
 
-    def predict(self, rows: DataFrame, shifted: bool = False) -> DataFrame:
-        """Add pred, -1 where a path ends without a label. The tree is three literal arrays that each row walks: no join.
+    def end(self, shifted: bool = False) -> Column:
+        """Where a row's walk ends: the place of a node in ``nodes``, below 0 where there is no child. The tree is two literal arrays: no join.
 
         shifted routes each value to the child of the value before it, as one of the original variants does;
         value 0 has no such child.
         """
         place = {key: i for i, key in enumerate(self.nodes)}
-        array = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")  # noqa: E731  folded into one constant
-        attrs = array(x.split_attr if not x.leaf else -1 for x in self.nodes.values())
-        labels = array(x.class_label for x in self.nodes.values())
-        below = array(place.get(f"{key}/{v}", -1) for key in self.nodes for v in range(self.num_values))
+        attrs = literal_array(x.split_attr if not x.leaf else -1 for x in self.nodes.values())
+        below = literal_array(place.get(f"{key}/{v}", -1) for key in self.nodes for v in range(self.num_values))
         width = self.num_values
 
         def step(i, _):
@@ -97,32 +95,63 @@ class TreeModel:
             child = F.when((value >= 0) & (value < width), F.get(below, i * width + value)).otherwise(-1)
             return F.when((i < 0) | (attr < 0), i).otherwise(F.coalesce(child, F.lit(-1)))
 
-        end = F.aggregate(F.sequence(F.lit(1), F.lit(max(self.depth(), 1))), F.lit(0), step)
-        found = F.when(end < 0, -1).otherwise(F.get(labels, end))
-        return rows.withColumn("pred", found)
+        return F.aggregate(F.sequence(F.lit(1), F.lit(max(self.depth(), 1))), F.lit(0), step)
+
+    def predict(self, rows: DataFrame, shifted: bool = False) -> DataFrame:
+        """Add pred, -1 where a path ends without a label; see ``end`` for shifted."""
+        labels, end = literal_array(x.class_label for x in self.nodes.values()), self.end(shifted)
+        return rows.withColumn("pred", F.when(end < 0, -1).otherwise(F.get(labels, end)))
+
+
+def literal_array(values) -> Column:
+    """Whole numbers as one constant, which the optimiser folds."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
+
+
+def grown_level(cells: DataFrame, used: DataFrame) -> DataFrame:
+    """place, n, classes, majority, split_attr (null if no gain) and values (those that occur at the split) of each open node.
+
+    cells: place, f, v, label, n, the counts of a level. used: place and the features spent on the path to it.
+    """
+    cell, node = Window.partitionBy("place", "f", "v"), Window.partitionBy("place", "f")
+    about = cells.where("f = 0").groupBy("place", "label").agg(F.sum("n").alias("n"))
+    about = about.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("place"))).groupBy("place").agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("classes"), (-F.max(F.struct("n", -F.col("label"))).getField("col2")).alias("majority"), F.sum(plogp(F.col("p"))).alias("entropy")
+    )
+    parts = cells.withColumns({"nv": F.sum("n").over(cell), "all": F.sum("n").over(node)})
+    known = parts.groupBy("place", "f").agg(F.sum(F.col("nv") / F.col("all") * plogp(F.col("n") / F.col("nv"))).alias("conditional"), F.sort_array(F.collect_set("v")).alias("values"))
+    gain = F.round(F.col("entropy") - F.col("conditional"), 9)
+    # one row for each open node, as many as the model holds
+    found = known.join(about.select("place", "entropy"), "place").join(F.broadcast(used), "place").where(~F.array_contains("used", F.col("f"))).select("place", "f", gain.alias("gain"), "values").where("gain > 0")
+    best = found.groupBy("place").agg(F.max(F.struct("gain", (-F.col("f")).alias("g"), "values")).alias("b"))
+    return about.join(best, "place", "left").select("place", "n", "classes", "majority", (-F.col("b.g")).alias("split_attr"), F.col("b.values").alias("values"))
 
 
 def fit(rows: DataFrame, spec: DatasetSpec, max_depth: int | None = None, label_exhausted: str = "none", cap: str = "majority") -> TreeModel:
-    """Grow the tree on a training chunk. Each level is one job over all open nodes; only a row for each node returns.
+    """Grow the tree on rows of any count, a chunk or a whole table.
+
+    Rows stay where they are: at each level they walk the tree so far, and one aggregation counts the cells (node, feature, value,
+    class) of all open nodes, summed within tasks first. Only a row for each open node returns to the driver.
 
     label_exhausted: "none" leaves children unlabelled once every feature on the path is used, "majority"
-    labels them. cap: what nodes at max_depth get, "majority" or "none".
+    labels them. cap: what nodes at max_depth get, "majority" or "none". Rows with a null label or without features take no part.
     """
     rows = rows.where("is_real") if "is_real" in rows.columns else rows
-    rows = rows.select("features", "label").withColumn("node_id", F.lit(""))
-    rows = rows.sparkSession.createDataFrame(rows.collect(), rows.schema)  # one training chunk
-    root = Node("", None, None, 0)
-    nodes, open_, paths = {"": root}, {"": root}, {"": ()}
-    features, spark = spec.num_features - 1, rows.sparkSession
+    rows = rows.select("features", "label").where(F.col("label").isNotNull() & (F.size("features") > 0))
+    spark, features = rows.sparkSession, spec.num_features - 1
+    model = TreeModel({"": Node("", None, None, 0)}, spec.num_values)
+    open_, paths = {"": model.nodes[""]}, {"": ()}
     while open_:
-        # the open nodes number at most the training chunk's rows
-        paths_ = spark.createDataFrame([(k, list(paths[k])) for k in open_], "node_id string, used array<int>")
-        level = rows.join(F.broadcast(paths_), "node_id")
-        about = {r["node_id"]: r for r in entropies(level).join(best_splits(level), "node_id", "left").collect()}
-        values = {(r["node_id"], r["f"], r["v"]) for r in contingency(level).select("node_id", "f", "v").distinct().collect()}
-        grown, attribute = {}, {}
+        place = {key: i for i, key in enumerate(model.nodes)}
+        used = spark.createDataFrame([(place[k], list(paths[k])) for k in open_], "place int, used array<int>")
+        is_open = literal_array(int(key in open_) for key in model.nodes)
+        at = rows.withColumn("place", model.end()).where((F.col("place") >= 0) & (F.get(is_open, F.col("place")) == 1))
+        cells = to_long(at).groupBy("place", "f", "v", "label").agg(F.count(F.lit(1)).alias("n")).persist()
+        about = {r["place"]: r for r in grown_level(cells, used).collect()}
+        cells.unpersist()
+        grown = {}
         for key, node in open_.items():
-            r = about.get(key)
+            r = about.get(place[key])
             if r is None:
                 continue
             node.n = r["n"]
@@ -133,23 +162,14 @@ def fit(rows: DataFrame, spec: DatasetSpec, max_depth: int | None = None, label_
                 node.class_label = r["majority"]
                 continue
             node.leaf, node.split_attr = False, r["split_attr"]
-            attribute[key] = node.split_attr
             spent = (*paths[key], node.split_attr)
             for v in range(spec.num_values):
                 child = Node(f"{key}/{v}", key, v, node.depth + 1)
-                nodes[child.node_id] = child
-                if (key, node.split_attr, v) in values:
-                    if len(spent) < features:
-                        grown[child.node_id], paths[child.node_id] = child, spent
-                    elif label_exhausted == "majority":
-                        grown[child.node_id], paths[child.node_id] = child, spent
-        if attribute:
-            split = spark.createDataFrame(list(attribute.items()), "node_id string, attr int")
-            moved = rows.join(F.broadcast(split), "node_id")
-            moved = moved.select("features", "label", F.concat_ws("/", "node_id", F.get("features", F.col("attr"))).alias("node_id"))
-            rows = spark.createDataFrame(moved.collect(), moved.schema)  # bounded by the chunk; cuts the plan, which would double each level
+                model.nodes[child.node_id] = child
+                if v in r["values"] and (len(spent) < features or label_exhausted == "majority"):
+                    grown[child.node_id], paths[child.node_id] = child, spent
         open_ = grown
-    return TreeModel(nodes, spec.num_values)
+    return model
 
 
 def padded(model: TreeModel, spark: SparkSession, depth: int = 5) -> DataFrame:

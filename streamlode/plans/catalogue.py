@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as s
 from ..operators import bayes, decoys, kmeans, metrics, oblivious, tree
 from ..sources import observations as o
-from ..streaming import runner
+from ..streaming import runner, state
 from .experiment import Experiment
 
 ITER, K, STEPS = 128, 10, 10
@@ -213,6 +213,15 @@ def dt_fit_nodes(spark, d):
     return tree_run(spark, d)[1].frame(spark).select("node_id", "depth", "split_attr", "class_label", "leaf", "n")
 
 
+ALL = f"WITH {tree_ctes(o.ORDERS_SQL, 1 << 40)}"
+
+
+@register("dt_fit_all_nodes", f"{ALL} SELECT * FROM nodes")
+def dt_fit_all_nodes(spark, d):
+    """The tree of all orders, not of one chunk."""
+    return tree.fit(o.obs_orders(spark, d), WIDE).frame(spark).select("node_id", "depth", "split_attr", "class_label", "leaf", "n")
+
+
 def predicted(e, model):
     return e.predict(model).select("row_id", "label", "pred")
 
@@ -333,6 +342,35 @@ def nb_events_running_accuracy(spark, d):
     return e.evaluate(e.fit())
 
 
+# 127 features in bins of a thousandth: the components and the differences of neighbours, of 1000 values each
+BINNED = o.DatasetSpec(num_features=128, num_classes=10, num_values=1000)
+BINNED_SQL = f"""WITH {o.VEC_SQL}, xs AS (SELECT row_id, label, list_transform(list_concat(x, list_transform(range(1, 64), lambda i: x[i] - x[i + 1])), lambda v: greatest(0, least(999, floor((v / 4 + 0.5::DOUBLE) * 1000)))::INT) AS b FROM obs),
+long AS (SELECT row_id, label, (i - 1)::INT AS f, b[i] AS v FROM xs, range(1, 128) r(i)),
+pr AS (SELECT label, count(*) / (sum(count(*)) OVER ())::DOUBLE AS p FROM xs GROUP BY label),
+cd AS (SELECT label, f, v, count(*) / sum(count(*)) OVER (PARTITION BY label, f)::DOUBLE AS p FROM long GROUP BY label, f, v),
+sc AS (SELECT l.row_id, c.label AS c, sum(ln(c.p)) + any_value(ln(pr.p)) AS score FROM long l JOIN cd c USING (f, v) JOIN pr ON pr.label = c.label GROUP BY l.row_id, c.label HAVING count(*) = 127)"""
+
+
+def binned(spark, d) -> DataFrame:
+    rows, x = o.obs_vec(spark, d), F.col("features")
+    values = F.concat(x, F.zip_with(F.slice(x, 1, 63), F.slice(x, 2, 63), lambda a, b: a - b))
+    bins = F.transform(values, lambda v: F.greatest(F.lit(0), F.least(F.lit(999), F.floor((v / 4 + 0.5) * 1000))).cast("int"))
+    return rows.select("row_id", bins.alias("features"), "label")
+
+
+@register("nb_wide_score", f"{BINNED_SQL} SELECT row_id, c, round(score, 6) AS score FROM sc")
+def nb_wide_score(spark, d):
+    rows = binned(spark, d)
+    scored = bayes.fit_table(rows, BINNED).scores(rows)
+    return scored.select("row_id", F.posexplode("logs").alias("c", "score")).where("score is not null").select("row_id", "c", F.round("score", 6).alias("score"))
+
+
+@register("nb_wide_predict", f"{BINNED_SQL} SELECT x.row_id, x.label, coalesce(b.c, 0) AS pred FROM xs x LEFT JOIN (SELECT row_id, c FROM sc QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY round(score, 9) DESC, c) = 1) b USING (row_id)")
+def nb_wide_predict(spark, d):
+    rows = binned(spark, d)
+    return rows.select("row_id", "label").join(bayes.fit_table(rows, BINNED).predict(rows), "row_id")
+
+
 # --- k-means ----------------------------------------------------------------------------------------------
 
 HASH = "CAST('0x' || substr(md5('7:' || row_id), 1, 8) AS BIGINT)"
@@ -363,7 +401,8 @@ ONE = km_steps(1)
 TEN = km_steps(STEPS)
 LAST = f"a{STEPS - 1}"
 VOTE = f"vt AS (SELECT k, label, count(*) AS n FROM {LAST} GROUP BY k, label), lb AS (SELECT k, arg_min(label, -n * 100 + label) AS class_label FROM vt GROUP BY k)"
-VFULL = f"full_ AS (SELECT * FROM obs WHERE row_id < (SELECT count(*) // {ITER} * {ITER} FROM obs))"
+VWHOLE = f"FROM obs WHERE row_id < (SELECT count(*) // {ITER} * {ITER} FROM obs)"
+VFULL = f"full_ AS (SELECT *, row_id AS place {VWHOLE})"
 
 
 def km_p(dist: str) -> str:
@@ -448,14 +487,14 @@ def km_obliv_literal(spark, d):
 
 
 def km_sequence(full: str) -> str:
-    """sq: row_id, label, k and pred, where each row of full_ moves the centroid that took it."""
+    """sq: row_id, label, k and pred, where each row of full_ (in order of place, from 0) moves the centroid that took it."""
     ctes = ",\n".join([f"{TEN.replace('WITH', 'WITH RECURSIVE', 1)}, {VOTE}", full])
     ones = "range(1, len(n) + 1)"
     return f"""{ctes}, st0 AS (SELECT list(list_transform(c, lambda v: v * n) ORDER BY k) AS sums, list(n::DOUBLE ORDER BY k) AS n, list(k ORDER BY k) AS ks FROM k{STEPS} WHERE n > 0),
 st AS (SELECT -1::BIGINT AS i, sums, n, 0::BIGINT AS j FROM st0 UNION ALL
 SELECT i + 1, list_transform({ones}, lambda a: CASE WHEN a = j THEN list_transform(range(1, 65), lambda b: sums[a][b] + x[b]) ELSE sums[a] END), list_transform({ones}, lambda a: n[a] + CASE WHEN a = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), j
-FROM (SELECT i, sums, n, x, list_position(d, list_min(d))::BIGINT AS j FROM (SELECT i, sums, n, x, list_transform({ones}, lambda a: list_sum(list_transform(range(1, 65), lambda b: (x[b] - sums[a][b] / n[a]) * (x[b] - sums[a][b] / n[a])))) AS d FROM st JOIN full_ ON full_.row_id = i + 1))),
-sq AS (SELECT f.row_id, f.label, ks[j] AS k, lb.class_label AS pred FROM st, st0, full_ f, lb WHERE f.row_id = st.i AND lb.k = ks[j])"""
+FROM (SELECT i, sums, n, x, list_position(d, list_min(d))::BIGINT AS j FROM (SELECT i, sums, n, x, list_transform({ones}, lambda a: list_sum(list_transform(range(1, 65), lambda b: (x[b] - sums[a][b] / n[a]) * (x[b] - sums[a][b] / n[a])))) AS d FROM st JOIN full_ ON full_.place = i + 1))),
+sq AS (SELECT f.row_id, f.label, ks[j] AS k, lb.class_label AS pred FROM st, st0, full_ f, lb WHERE f.place = st.i AND lb.k = ks[j])"""
 
 
 @register("km_predict_sequential", f"{km_sequence(VFULL)} SELECT row_id, CAST(floor(row_id / {ITER}) AS BIGINT) AS chunk_id, label, k, pred FROM sq")
@@ -464,6 +503,18 @@ def km_predict_sequential(spark, d):
     return e.predict(m, sequential=True)
 
 
+@register("km_obliv_sequential", f"{km_sequence(f'full_ AS (SELECT *, row_number() OVER (ORDER BY floor(row_id / {ITER}), {HASH}, row_id) - 1 AS place {VWHOLE})')} SELECT row_id, label, k, pred FROM sq")
+def km_obliv_sequential(spark, d):
+    e, m = km_run(spark, d, "oblivious")
+    return e.predict(m, sequential=True).select("row_id", "label", "k", "pred")
+
+
+@register("km_rand_sequential", f"{km_sequence(f'full_ AS (SELECT *, row_number() OVER (ORDER BY floor(row_id / {ITER}), {HASH} % {ITER}, row_id) - 1 AS place {VWHOLE})')} SELECT row_id, label, k, pred FROM sq")
+def km_rand_sequential(spark, d):
+    e, m = km_run(spark, d, "randomized")
+    return e.predict(m, sequential=True).select("row_id", "label", "k", "pred")
+
+
 # --- decoys, shuffles, scalars ----------------------------------------------------------------------------
 
 
@@ -608,12 +659,25 @@ def stream_nb_running(spark, d):
     return runner.running_accuracy(stream_of(spark, d, "orders", o.obs_orders), m.predict, ITER, spark)
 
 
-@register("stream_km_sequential", f"{km_sequence('full_ AS (SELECT * FROM obs)')} SELECT row_id, k, pred FROM sq")
+@register("stream_km_sequential", f"{km_sequence('full_ AS (SELECT *, row_id AS place FROM obs)')} SELECT row_id, k, pred FROM sq")
 def stream_km_sequential(spark, d):
     _, m = km_run(spark, d)
-    query, out = runner.sequential(stream_of(spark, d, "embeddings", o.obs_vec), m)
-    query.awaitTermination()
-    return spark.createDataFrame(out, "row_id long, k int, pred int")
+    out = runner.fresh_folder(spark, "sequential")
+    state.sequential(stream_of(spark, d, "embeddings", o.obs_vec), {"": m}, out).awaitTermination()
+    return state.predictions(spark, out).select("row_id", "k", "pred")
+
+
+ARRIVED = f"WITH {o.EVENTS_SQL.replace('obs AS', 'ev AS', 1)}, obs AS (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS row_id, f0, f1, f2, f3, label FROM ev JOIN events ON event_id = ev.row_id)"
+
+
+@register("stream_events_exact_chunks", f"{NB.replace(OBS, ARRIVED, 1)}, {NB_SCORE}, {RUNNING.format(ITER)}")
+def stream_events_exact_chunks(spark, d):
+    """Chunks of exactly 128 events in order of time, scored by Bayes of the first 128."""
+    model = bayes.fit(o.timed_events(spark, d).orderBy("ts", "row_id").limit(ITER).drop("ts"), INT)
+    stream = stream_of(spark, d, "events", o.timed_events)
+    out = runner.fresh_folder(spark, "arrived")
+    state.arrived(stream, model.predict, ITER, out, F.col("ts"), F.col("row_id")).awaitTermination()
+    return state.arrived_accuracy(spark, out, ITER)
 
 
 # --- decoys of whole chunks and nodes ---------------------------------------------------------------------

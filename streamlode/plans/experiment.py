@@ -55,7 +55,8 @@ class Experiment:
         if self.algorithm == "tree":
             return model.predict(rows, shifted=self.semantics == "literal" and self.variant == "oblivious")
         if self.algorithm == "kmeans" and sequential:
-            return model.predict_sequential(rows.where("is_real") if "is_real" in rows.columns else rows)
+            # decoys move no centroid; what differs between the variants is the order of the rows
+            return model.predict_sequential(rows.where("is_real") if "is_real" in rows.columns else rows, order=decoys.chunk_order(self.spec, self.variant))
         return model.predict(rows, self.semantics)
 
     def evaluate(self, model) -> DataFrame:

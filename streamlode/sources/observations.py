@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -25,7 +26,7 @@ class DatasetSpec:
 
 def to_int(text: Column) -> Column:
     """The integer that a text starts with, else 0 (decimals are cut off)."""
-    return F.coalesce(F.regexp_extract(text, r"^\s*([+-]?[0-9]+)", 1).try_cast("int"), F.lit(0))
+    return F.coalesce(text.try_cast("int"), F.regexp_extract(text, r"^\s*([+-]?[0-9]+)", 1).try_cast("int"), F.lit(0))
 
 
 def to_double(text: Column) -> Column:
@@ -35,8 +36,8 @@ def to_double(text: Column) -> Column:
 
 def parse_row(line: Column, num_features: int, kind: str = "int") -> Column:
     """Up to num_features values of a comma-separated line; empty fields vanish and later ones move left."""
-    packed = F.regexp_replace(F.regexp_replace(line, ",{2,}", ","), "^,|,$", "")
-    fields, number = F.split(packed, ","), to_int if kind == "int" else to_double
+    packed = F.btrim(line, F.lit(","))
+    fields, number = F.split(packed, ",+"), to_int if kind == "int" else to_double
     values = F.array(*(number(F.get(fields, F.lit(k))) for k in range(num_features)))  # by place: no lambda, so it stays in generated code
     return F.slice(values, 1, F.when(packed == "", 0).otherwise(F.least(F.size(fields), F.lit(num_features))))
 
@@ -47,21 +48,29 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).limit(1).select(*(to_int(F.get(part, F.lit(k))).alias(n) for k, n in enumerate(("num_data", "num_features", "num_classes"))))
 
 
-def read_csv(spark: SparkSession, path: str, num_features: int, kind: str = "int") -> DataFrame:
-    """row_id (from 0, in file order), features and label of the lines after the first. Short rows have a null label."""
-    lines = spark.read.text(path, wholetext=False)
-    numbered = lines.select(F.monotonically_increasing_id().alias("at"), "value")
-    # A file's splits are numbered in order; one count for each split gives dense ids without a global sort.
-    split = F.shiftright("at", 33)
-    counts = {r["p"]: r["n"] for r in numbered.groupBy(split.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    before, total = [], 0
-    for p in sorted(counts):
-        before += [F.lit(p), F.lit(total)]
-        total += counts[p]
-    start = F.create_map(*before)[split] if before else F.lit(0)
-    rows = numbered.select((start + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) - 1).cast("long").alias("row_id"), parse_row("value", num_features, kind).alias("v"))
+def cached_apart(table: DataFrame) -> DataFrame:
+    """A cached table that no equal plan is answered from later, when the files may have changed."""
+    return table.withColumn("run", F.lit(uuid.uuid4().hex)).persist().drop("run")
+
+
+def read_csv(spark: SparkSession, path: str, num_features: int, kind: str = "int", most_broadcast: int = 500_000) -> DataFrame:
+    """row_id (from 0, file by file in order of paths), features and label of the lines after each file's first. Short rows have a null label.
+
+    Spark's text reader cuts the files; a line is numbered within its split, and a table of the splits' starts is joined to it, by a
+    broadcast while there are at most ``most_broadcast`` splits. ``csv_source`` reads ranges of rows and streams.
+    """
+    about = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
+    lines = spark.read.text(path).select("value", *about, F.monotonically_increasing_id().alias("at"))
+    splits = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    head = F.when(F.col("block") == 0, 1).otherwise(0)
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)  # one row for each split
+    starts = splits.select("file", "block", (F.coalesce(F.sum(F.col("n") - head).over(before), F.lit(0)) - head).alias("start"), "first")
+    starts = cached_apart(starts)
+    rows = lines.join(F.broadcast(starts) if starts.count() <= most_broadcast else starts, ["file", "block"])
+    rows = rows.where((F.col("block") > 0) | (F.col("at") > F.col("first")))
+    rows = rows.select((F.col("start") + F.col("at") - F.col("first")).alias("row_id"), parse_row("value", num_features, kind).alias("v"))
     label = F.get("v", F.lit(num_features - 1)).cast("int")
-    return rows.where("row_id >= 0").select("row_id", F.slice("v", 1, num_features - 1).alias("features"), label.alias("label"))
+    return rows.select("row_id", F.slice("v", 1, num_features - 1).alias("features"), label.alias("label"))
 
 
 def obs_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,11 +86,20 @@ ORDERS_SQL = """obs AS (SELECT CAST(o_orderkey AS BIGINT) AS row_id, CAST(quarte
 
 
 def obs_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return events_rows(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def events_rows(e: DataFrame, *more: Column) -> DataFrame:
     feats = [F.col("user_id") % 11, F.floor(F.hour("ts") / 3), F.least(F.floor(F.col("value") / 50), F.lit(10)), F.get_json_object("props", "$.k").cast("long") % 11]
     kinds = ("click", "error", "purchase", "signup", "view")
     label = F.array_position(F.array(*map(F.lit, kinds)), F.col("event_type")).cast("int") - 1
-    return e.select(F.col("event_id").cast("long").alias("row_id"), F.array(*(f.cast("int") for f in feats)).alias("features"), label.alias("label"))
+    return e.select(F.col("event_id").cast("long").alias("row_id"), F.array(*(f.cast("int") for f in feats)).alias("features"), label.alias("label"), *more)
+
+
+def timed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events with their time, under ids with gaps."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return events_rows(e, F.col("ts")).withColumn("row_id", F.col("row_id") * 7 + 3)
 
 
 EVENTS_SQL = """obs AS (SELECT CAST(event_id AS BIGINT) AS row_id, CAST(user_id % 11 AS INT) AS f0, CAST(floor(hour(ts) / 3) AS INT) AS f1,

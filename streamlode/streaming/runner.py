@@ -1,4 +1,4 @@
-"""Structured Streaming runners: the model is fixed (Bayes, tree) or moves with each row (k-means)."""
+"""Structured Streaming runners for models that stay as they are; see ``state`` for those that rows move."""
 
 from __future__ import annotations
 
@@ -8,7 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import metrics
-from ..operators.kmeans import Fold, KMeansModel
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A path below ``spark.checkpoint.dir``, the folder that the driver and all executors share."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        raise ValueError("a stream needs a shared folder: give out or set spark.checkpoint.dir")
+    return f"{shared.rstrip('/')}/{name}_{uuid.uuid4().hex}"
 
 
 def running_counts(stream: DataFrame, predict, iter_size: int, spark: SparkSession, out: str | None = None) -> DataFrame:
@@ -17,10 +24,7 @@ def running_counts(stream: DataFrame, predict, iter_size: int, spark: SparkSessi
     Each micro-batch writes its own partial counts to a folder named by its number, so a batch that is run again
     replaces what it wrote; the result sums them. out: a shared folder, else one below ``spark.checkpoint.dir``.
     """
-    shared = out or spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        raise ValueError("running_counts needs a shared folder: give out or set spark.checkpoint.dir")
-    out = out or f"{shared}/counts_{uuid.uuid4().hex}"
+    out = out or fresh_folder(spark, "counts")
     found = predict(stream.withColumn("chunk_id", F.floor(F.col("row_id") / iter_size)))
 
     def step(batch: DataFrame, number: int) -> None:
@@ -35,21 +39,3 @@ def running_counts(stream: DataFrame, predict, iter_size: int, spark: SparkSessi
 def running_accuracy(stream: DataFrame, predict, iter_size: int, spark: SparkSession, out: str | None = None) -> DataFrame:
     """Accuracy over all chunks of exactly iter_size rows up to each one; a short tail does not count."""
     return metrics.accumulated(running_counts(stream, predict, iter_size, spark, out).where(F.col("total") == iter_size))
-
-
-def sequential(stream: DataFrame, model: KMeansModel, checkpoint: str | None = None):
-    """Start scoring a stream of row_id, features, label by k-means whose centroids each row moves.
-
-    Micro-batches are ordered by row_id and folded through state kept by the driver of the query; rows must
-    arrive in order across batches. Returns the query and a list that receives (row_id, k, pred).
-    """
-    state, out = Fold(model.clusters), []
-
-    def step(batch: DataFrame, _: int) -> None:
-        import numpy as np
-
-        for r in batch.select("row_id", "features").orderBy("row_id").toLocalIterator():
-            out.append((r["row_id"], *state.take(np.asarray(r["features"], float))))
-
-    writer = stream.writeStream.foreachBatch(step).trigger(availableNow=True)
-    return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start(), out
