@@ -32,6 +32,15 @@ def hash32(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *(p.cast("string") for p in parts))), 1, 8), 16, 10).cast("long")
 
 
+def spread32(h: Column, place: int) -> Column:
+    """The place-th of many 32-bit random numbers made from one (``hash32``): a counter, twice multiplied and folded, which any engine can repeat."""
+    mask = F.lit(0xFFFFFFFF)
+    x = (h + F.lit(place * 2654435769 % (1 << 32))).bitwiseAND(mask)
+    for _ in range(2):
+        x = (x.bitwiseXOR(F.shiftright(x, 16)) * F.lit(73244475)).bitwiseAND(mask)
+    return x.bitwiseXOR(F.shiftright(x, 16))
+
+
 def uniform_int(h: Column, bound: Column) -> Column:
     """A number in [0, bound); 0 where the bound is not positive."""
     return F.when(bound > 0, F.pmod(h, bound)).otherwise(F.lit(0)).cast("long")

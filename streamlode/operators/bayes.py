@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -36,10 +36,30 @@ class BayesModel:
 
     def predict(self, rows: DataFrame, semantics: str = "intended") -> DataFrame:
         """Add pred. Evaluated row by row from literals: no join and no shuffle."""
-        if semantics == "literal":  # the score is cut to an integer, so every class has 0 and the first wins
-            return rows.withColumn("pred", F.lit(0))
+        if semantics == "literal":
+            return self.predict_truncated(rows)
         return rows.withColumn("__best", self.best()).withColumn("pred", F.when(F.col("__best.ok"), -F.col("__best.c")).otherwise(F.lit(0))).drop("__best")
 
+    def predict_truncated(self, rows: DataFrame, label_factor: bool = True, every_step: bool = True) -> DataFrame:
+        """Add pred as whole-number products give it: the first class of the largest product.
+
+        every_step: the product is cut to a whole number at each factor; else only when products are compared. label_factor: the
+        label's column is multiplied in as well, whose shares were never counted and are 0.
+        """
+        whole = lambda x: F.floor(x).cast("double") if every_step else x  # noqa: E731  shares are not negative
+
+        def product(c: int) -> Column:
+            score = whole(F.lit(self.prior.get(c, 0.0)))
+            for f in range(self.num_features):
+                cells = sorted((v, p) for (k, g, v), p in self.cond.items() if k == c and g == f)
+                table = F.create_map(*(x for v, p in cells for x in (F.lit(v), F.lit(p)))) if cells else None
+                share = F.coalesce(F.try_element_at(table, F.get("features", F.lit(f))), F.lit(0.0)) if cells else F.lit(0.0)
+                score = whole(score * share)
+            return F.floor(score * F.lit(0.0) if label_factor else score)
+
+        top = F.array_max(F.array(*(F.struct(product(c).alias("s"), F.lit(-c).alias("c")) for c in range(self.num_classes))))
+        return rows.withColumn("pred", -top["c"])
+
     def predict_scanning(self, rows: DataFrame, num_values: int) -> DataFrame:
         """Add pred as a scan over all num_values of each feature gives it: a value outside the domain leaves the score as it is."""
         outside = [~F.coalesce(F.get("features", F.lit(f)).between(0, num_values - 1), F.lit(False)) for f in range(self.num_features)]

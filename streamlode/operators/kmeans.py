@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,16 +45,87 @@ def nearest(centroids: list[tuple[int, list[float]]], features: Column, cut: boo
     return F.array_min(F.transform(table, lambda x: F.struct(whole(squared_distance(features, x["c"])).alias("d"), x["k"].alias("k"))))
 
 
+def matrix(features) -> np.ndarray:
+    """Arrays of a batch as a matrix; a null one is a row of NaN."""
+    width = next((len(x) for x in features if x is not None), 0)
+    return np.array([np.full(width, np.nan) if x is None else x for x in features], float).reshape(len(features), width)
+
+
+def squared(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """Squared distances of rows and centroids, summed in the order of the features."""
+    d = np.zeros((len(x), len(centroids)))
+    for i in range(centroids.shape[1]):
+        d += (x[:, i, None] - centroids[:, i]) ** 2
+    return d
+
+
 def assign(rows: DataFrame, clusters: list[Cluster], only_filled: bool = False, cut: bool = False) -> DataFrame:
-    """Add k and distance. Centroids are literals: a map over the rows without a shuffle."""
-    found = [(c.k, c.centroid) for c in clusters if not (only_filled and c.empty)]
-    return rows.withColumn("__near", nearest(found, F.col("features"), cut)).withColumns({"k": F.col("__near.k"), "distance": F.col("__near.d")}).drop("__near")
+    """Add k and distance. Centroids go with the function: a map over Arrow batches without a shuffle. Ties go to the lowest k; cut compares whole parts."""
+    found = [c for c in clusters if not (only_filled and c.empty)]
+    ks, centroids = np.array([c.k for c in found], np.int32), np.array([c.centroid for c in found], float)
+
+    @F.pandas_udf("k int, d double")
+    def near(features: pd.Series) -> pd.DataFrame:
+        d = squared(matrix(features), centroids) if len(features) else np.zeros((0, len(ks)))
+        d = np.floor(d) if cut else d
+        at = d.argmin(1)
+        return pd.DataFrame({"k": ks[at], "d": d[np.arange(len(d)), at]})
+
+    return rows.withColumn("__near", near("features")).withColumns({"k": F.col("__near.k"), "distance": F.col("__near.d")}).drop("__near")
+
+
+#: Relative and absolute slack of bounds against rounding.
+SLACK = 1e-9
+
+
+def bounded_step(rows: DataFrame, clusters: list[Cluster], before: list[Cluster] | None, last: bool) -> DataFrame:
+    """rows with k (nearest cluster, ties to the lowest), upper, lower and computed, how many distances that took.
+
+    upper bounds the distance to the row's centroid from above, lower that to all others from below. They are carried from step to step by how far
+    the centroids moved since ``before``; where upper lies below lower, or below half the way to the next centroid,
+    the row keeps its cluster without a distance. last: upper is made exact for all rows.
+    """
+    centroids = np.array([c.centroid for c in clusters])
+    apart = np.sqrt(squared(centroids, centroids))
+    np.fill_diagonal(apart, np.inf)
+    half = apart.min(1) / 2
+    moves = np.sqrt(((centroids - np.array([c.centroid for c in before])) ** 2).sum(1)) if before else np.zeros(len(clusters))
+    others = np.array([np.delete(moves, i).max(initial=0.0) for i in range(len(moves))])
+
+    def step(batches) -> Iterator:
+        for b in batches:
+            if not len(b):
+                yield b
+                continue
+            x = matrix(b["features"])
+            if before is None:
+                k, upper, lower = np.zeros(len(x), int), np.full(len(x), np.inf), np.zeros(len(x))
+            else:
+                k, upper, lower = b["k"].to_numpy(), b["upper"].to_numpy() + moves[b["k"]], b["lower"].to_numpy() - others[b["k"]]
+            computed, open_ = np.zeros(len(x), int), np.ones(len(x), bool)
+            settled = lambda: upper * (1 + SLACK) + SLACK < np.maximum(lower, half[k])
+            if before is not None:
+                own = np.arange(len(x)) if last else np.flatnonzero(~settled())
+                upper[own] = np.sqrt(((x[own] - centroids[k[own]]) ** 2).sum(1))
+                computed[own] += 1
+                open_ = ~settled()
+            at = np.flatnonzero(open_)
+            if len(at):
+                d = squared(x[at], centroids)
+                k[at] = d.argmin(1)
+                two = np.sort(np.sqrt(d), 1)[:, :2]
+                upper[at], lower[at] = two[:, 0], two[:, -1] if d.shape[1] > 1 else np.inf
+                computed[at] += d.shape[1]
+            yield b.assign(k=k.astype(np.int32), upper=upper, lower=lower, computed=computed)
+
+    return rows.mapInPandas(step, rows.schema)
 
 
 def statistics(assigned: DataFrame, width: int) -> DataFrame:
     """k, n, sums, radius of each cluster that has rows."""
-    sums = F.array(*(F.sum(F.get("features", F.lit(i))) for i in range(width)))
-    return assigned.groupBy("k").agg(F.count(F.lit(1)).alias("n"), sums.alias("sums"), F.max("distance").alias("radius"))
+    sums = F.expr(f"array({', '.join(f'sum(get(features, {i}))' for i in range(width))})")
+    computed = [F.sum("computed").alias("computed")] if "computed" in assigned.columns else []
+    return assigned.groupBy("k").agg(F.count(F.lit(1)).alias("n"), sums.alias("sums"), F.max("distance").alias("radius"), *computed)
 
 
 def class_histogram(assigned: DataFrame) -> DataFrame:
@@ -62,7 +134,10 @@ def class_histogram(assigned: DataFrame) -> DataFrame:
 
 @dataclass
 class KMeansModel:
+    """The clusters, and how many distances of rows their fit took."""
+
     clusters: list[Cluster]
+    distances: int = 0
 
     def frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(c.k, c.centroid, c.n, c.sums, c.class_prop, c.class_label, c.radius, c.empty) for c in self.clusters], SCHEMA)
@@ -86,8 +161,6 @@ def predict_each(models: dict[str, KMeansModel], rows: DataFrame, frozen: bool =
     """
 
     def run(batches) -> Iterator:
-        import pandas as pd
-
         name, state = None, None
         for b in batches:
             for model, part in b.groupby("model", sort=False):
@@ -129,7 +202,7 @@ class Fold:
 
 
 def fit(rows: DataFrame, spec: DatasetSpec, seed_from: str = "real", votes: str = "intended") -> KMeansModel:
-    """A fixed count of EM steps on a training chunk; K rows return from each.
+    """A fixed count of EM steps on a training chunk, or a whole table; K rows return from each. Distances that bounds make needless are not computed.
 
     Only real rows enter the sums. seed_from="all" lets decoys be seeds. votes="literal" counts every member
     for every class, so the first class wins.
@@ -139,27 +212,35 @@ def fit(rows: DataFrame, spec: DatasetSpec, seed_from: str = "real", votes: str
     if len(start) < spec.k:
         raise ValueError(f"{spec.k} clusters need as many rows in the training chunk")
     clusters = [Cluster(r["k"], list(map(float, r["features"]))) for r in start]
-    width = len(clusters[0].centroid)
+    width, before, distances = len(clusters[0].centroid), None, 0
+    state = real.select("row_id", "label", F.col("features").cast("array<double>").alias("features"), F.lit(0).alias("k"), F.lit(0.0).alias("upper"), F.lit(0.0).alias("lower"), F.lit(0).cast("long").alias("computed"))
     for step in range(spec.em_iters):
-        assigned = assign(real, clusters)
-        found = {r["k"]: r for r in statistics(assigned, width).collect()}
+        # cached for the aggregates and the next step; lost blocks are made again from the rows
+        found, state = state, bounded_step(state, clusters, before, step == spec.em_iters - 1).persist()
+        assigned = state.withColumn("distance", F.col("upper") * F.col("upper"))
+        about = {r["k"]: r for r in statistics(assigned, width).collect()}
+        distances += sum(r["computed"] for r in about.values())
         if step == spec.em_iters - 1:
             votes_of: dict[int, dict[int, int]] = {}
             for r in class_histogram(assigned).collect():
                 votes_of.setdefault(r["k"], {})[r["label"]] = r["n"]
+        found.unpersist()
         fresh = []
         for c in clusters:
-            r = found.get(c.k)
+            r = about.get(c.k)
             if r is None:  # an empty cluster goes to the origin and competes again
                 fresh.append(Cluster(c.k, [0.0] * width, 0, [0.0] * width, empty=True))
             else:
                 fresh.append(Cluster(c.k, [s / r["n"] for s in r["sums"]], r["n"], list(r["sums"]), radius=r["radius"]))
-        clusters = fresh
+        before, clusters = clusters, fresh
+    state.unpersist()
     for c in clusters:
         c.class_prop = votes_of.get(c.k, {})
+        if votes == "literal":  # each member counts for every class
+            c.class_prop = {y: sum(c.class_prop.values()) for y in range(spec.num_classes)} if c.class_prop else {}
         if c.class_prop:
-            c.class_label = 0 if votes == "literal" else min(c.class_prop, key=lambda x: (-c.class_prop[x], x))
-    return KMeansModel(clusters)
+            c.class_label = min(c.class_prop, key=lambda x: (-c.class_prop[x], x))
+    return KMeansModel(clusters, distances)
 
 
 def drawn_rows(rows: DataFrame, spec: DatasetSpec) -> DataFrame:

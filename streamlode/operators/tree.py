@@ -146,7 +146,9 @@ def fit(rows: DataFrame, spec: DatasetSpec, max_depth: int | None = None, label_
         used = spark.createDataFrame([(place[k], list(paths[k])) for k in open_], "place int, used array<int>")
         is_open = literal_array(int(key in open_) for key in model.nodes)
         at = rows.withColumn("place", model.end()).where((F.col("place") >= 0) & (F.get(is_open, F.col("place")) == 1))
-        cells = to_long(at).groupBy("place", "f", "v", "label").agg(F.count(F.lit(1)).alias("n")).persist()
+        cells = to_long(at).groupBy("place", "f", "v", "label").agg(F.count(F.lit(1)).alias("n"))
+        # by node once: what follows needs no further shuffle. A node's cells are bounded by the domain, not by its rows
+        cells = cells.repartition("place").persist()
         about = {r["place"]: r for r in grown_level(cells, used).collect()}
         cells.unpersist()
         grown = {}

@@ -336,6 +336,50 @@ def nb_literal_class0(spark, d):
     return metrics.accuracy(e.predict(m))
 
 
+# Training rows of one class and one value of g0, so that whole-number products differ from 0 unless a factor is cut to 0.
+TRUNC = f"""{OBS}, one AS (SELECT row_id, CASE WHEN row_id < {ITER} THEN 1 ELSE f1 END AS g0, CASE WHEN row_id < {ITER} THEN 2 ELSE label END AS label FROM obs), {FULL.replace('full_ AS (SELECT * FROM obs', 'full_ AS (SELECT * FROM one')},
+pr AS (SELECT label AS c, count(*) / {ITER}::DOUBLE AS p FROM one WHERE row_id < {ITER} GROUP BY label), cd AS (SELECT label AS c, g0, count(*) / (sum(count(*)) OVER (PARTITION BY label))::DOUBLE AS p FROM one WHERE row_id < {ITER} GROUP BY label, g0),
+ml AS (SELECT r.row_id, r.label, k.c, floor(floor(coalesce(pr.p, 0)) * coalesce(cd.p, 0)) AS score, floor(floor(floor(coalesce(pr.p, 0)) * coalesce(cd.p, 0)) * 0.0) AS with_label
+  FROM full_ r CROSS JOIN (SELECT unnest(range(5)) AS c) k LEFT JOIN pr ON pr.c = k.c LEFT JOIN cd ON cd.c = k.c AND cd.g0 = r.g0)
+SELECT row_id, label, arg_min(c, -score * 100 + c)::INT AS pred, arg_min(c, -with_label * 100 + c)::INT AS pred_with_label FROM ml GROUP BY row_id, label"""
+
+
+@register("nb_truncated_products", TRUNC)
+def nb_truncated_products(spark, d):
+    """Scores held in whole numbers, without and with the label's column among the factors."""
+    rows, first = o.obs_orders(spark, d), F.col("row_id") < ITER
+    rows = rows.select("row_id", F.array(F.when(first, 1).otherwise(F.get("features", F.lit(1)))).alias("features"), F.when(first, 2).otherwise(F.col("label")).alias("label"))
+    spec = o.DatasetSpec(num_features=2, num_classes=5, iter_size=ITER)
+    model = bayes.fit(o.train_chunk(rows, ITER), spec)
+    found = model.predict_truncated(o.full_chunks(rows, ITER), label_factor=False).withColumnRenamed("pred", "without")
+    return model.predict_truncated(found).select("row_id", "label", F.col("without").alias("pred"), F.col("pred").alias("pred_with_label"))
+
+
+@register("nb_truncated_compare", f"""{NB}, co AS (SELECT l.row_id, k.c, any_value(l.label) AS label, floor(CASE WHEN count(cd.p) = 4 AND any_value(pr.p) IS NOT NULL THEN product(cd.p * 10) * any_value(pr.p) ELSE 0 END) AS score
+FROM long l JOIN full_ USING (row_id) CROSS JOIN (SELECT unnest(range(5)) AS c) k LEFT JOIN cd ON cd.label = k.c AND cd.f = l.f AND cd.v = l.v LEFT JOIN pr ON pr.label = k.c GROUP BY l.row_id, k.c)
+SELECT row_id, any_value(label) AS label, arg_min(c, -score * 100 + c)::INT AS pred FROM co GROUP BY row_id""")
+def nb_truncated_compare(spark, d):
+    """Products in doubles whose whole parts are compared. Shares are taken tenfold, so that whole parts tell classes apart."""
+    e, m = nb_run(spark, d)
+    tenfold = bayes.BayesModel(m.prior, {k: p * 10 for k, p in m.cond.items()}, m.num_classes, m.num_features)
+    return tenfold.predict_truncated(o.full_chunks(e.obs, ITER), label_factor=False, every_step=False).select("row_id", "label", "pred")
+
+
+@register("nb_rand_literal_prior", f"{OBS} SELECT label, count(*) AS n, round(count(*) / (sum(count(*)) OVER ())::DOUBLE, 6) AS p FROM (SELECT label FROM obs WHERE row_id < {ITER} UNION ALL SELECT 0 FROM obs WHERE row_id < {ITER}) GROUP BY label")
+def nb_rand_literal_prior(spark, d):
+    """Padding rows of the training chunk that count as rows of class 0."""
+    e = Experiment(o.obs_orders(spark, d), INT, "bayes", "randomized", "literal")
+    return bayes.priors(e.augmented(o.chunked(train(spark, d), ITER))).select("label", "n", F.round("p", 6).alias("p"))
+
+
+@register("nb_rand_literal_accuracy", f"""{OBS}, {FULL}, ch AS (SELECT floor(row_id / {ITER})::BIGINT AS chunk_id, label FROM full_ UNION ALL SELECT 0, 0 FROM obs WHERE row_id < {ITER})
+SELECT chunk_id, sum((label = 0)::INT)::BIGINT AS correct, count(*) AS total FROM ch GROUP BY chunk_id""")
+def nb_rand_literal_accuracy(spark, d):
+    """The first test chunk counts its padding rows; class 0 wins everywhere."""
+    e, m = nb_run(spark, d, "randomized", "literal")
+    return metrics.by_chunk(e.predict(m))
+
+
 @register("nb_events_running_accuracy", SQL["nb_running_accuracy"].replace(o.ORDERS_SQL, o.EVENTS_SQL))
 def nb_events_running_accuracy(spark, d):
     e = Experiment(o.obs_events(spark, d), INT, "bayes")
@@ -447,6 +491,21 @@ def km_em10(spark, d):
     return centroids(km_run(spark, d)[1], spark)
 
 
+WHOLE = km_steps(STEPS).replace(f"tr AS (SELECT * FROM obs WHERE row_id < {ITER})", "tr AS (SELECT * FROM obs)")
+
+
+@register("km_em10_all", centroid_sql(WHOLE, STEPS))
+def km_em10_all(spark, d):
+    """Ten steps over all vectors."""
+    return centroids(kmeans.fit(o.obs_vec(spark, d), VEC), spark)
+
+
+@register("km_obliv_votes", f"{TEN} SELECT a.k, y.label, count(*) AS n FROM {LAST} a, (SELECT unnest(range(10))::INT AS label) y GROUP BY a.k, y.label")
+def km_obliv_votes(spark, d):
+    """Each member counts for every class."""
+    return km_run(spark, d, "oblivious", "literal")[1].frame(spark).select("k", F.explode("class_prop").alias("label", "n"))
+
+
 @register("km_class_prop", f"{TEN}, {VOTE} SELECT * FROM vt")
 def km_class_prop(spark, d):
     return km_run(spark, d)[1].frame(spark).select("k", F.explode("class_prop").alias("label", "n"))
@@ -530,8 +589,16 @@ def decoy_minmax_double(spark, d):
     return r.select(F.posexplode(F.arrays_zip("lows", "highs")).alias("f", "r")).select("f", F.col("r.lows").alias("low"), F.col("r.highs").alias("high"))
 
 
+def spread_sql(h: str, place: str) -> str:
+    """The place-th number made from h, as ``spread32`` states it."""
+    mixed = f"(({h} + {place} * 2654435769) & 4294967295)"
+    for _ in range(2):
+        mixed = f"list_transform([{mixed}], lambda u: (xor(u, u >> 16) * 73244475) & 4294967295)[1]"
+    return f"list_transform([{mixed}], lambda u: xor(u, u >> 16))[1]"
+
+
 def draw(f: str) -> str:
-    return f"CAST('0x' || substr(md5('7:' || row_id || ':1:' || {f}), 1, 8) AS BIGINT)"
+    return spread_sql("CAST('0x' || substr(md5('7:' || row_id || ':1'), 1, 8) AS BIGINT)", f)
 
 
 @register("decoy_augment_int", f"""{OBS}, mx AS (SELECT max(f0) AS m0, max(f1) AS m1, max(f2) AS m2, max(f3) AS m3 FROM obs WHERE row_id < {ITER})
@@ -594,40 +661,46 @@ def aes_roundtrip(spark, d):
     return rows.select("row_id", s.decrypt(F.col("blob"), "0123456789abcdef").cast("string").alias("text"), F.octet_length("blob").cast("long").alias("bytes"))
 
 
-@register("checksum_bytes", "SELECT -179901 AS checksum")
+@register("checksum_bytes", """WITH b AS (SELECT o_orderkey AS row_id, list_transform(string_split(o_orderpriority, ''), lambda c: unicode(c)) AS x FROM orders)
+SELECT row_id, (-list_sum(list_transform(range(0, (len(x) + 1) // 2), lambda k: x[2 * k + 1] + 256 * coalesce(x[2 * k + 2], 0))) - 1)::INT AS checksum FROM b""")
 def checksum_bytes(spark, d):
-    return spark.range(1).select(s.checksum(F.unhex(F.repeat(F.lit("0E"), F.lit(100)))).alias("checksum"))
+    rows = spark.read.parquet(f"{d}/orders.parquet")
+    return rows.select(F.col("o_orderkey").alias("row_id"), s.checksum(F.col("o_orderpriority").cast("binary")).alias("checksum"))
 
 
-@register("array_reverse_fill", "SELECT i, 9 - i AS v FROM (SELECT unnest(range(10)) AS i)")
+@register("array_reverse_fill", f"{OBS} SELECT row_id, i::INT AS i, [f3, f2, f1, f0][i + 1] AS v FROM obs, range(4) r(i)")
 def array_reverse_fill(spark, d):
-    return spark.range(1).select(F.posexplode(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long")), lambda i: 9 - i)).alias("i", "v"))
+    return o.obs_orders(spark, d).select("row_id", F.posexplode(F.reverse("features")).alias("i", "v"))
 
 
-@register("map_lookup", "SELECT 1 AS a, 4 AS d, false AS has_e")
+@register("map_lookup", "SELECT o_orderkey AS row_id, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 END AS code, o_orderstatus IN ('F', 'O') AS known FROM orders")
 def map_lookup(spark, d):
-    m = F.create_map(*(x for i, k in enumerate("abcd") for x in (F.lit(k), F.lit(i + 1))))
-    return spark.range(1).select(F.try_element_at(m, F.lit("a")).alias("a"), F.try_element_at(m, F.lit("d")).alias("d"), F.map_contains_key(m, "e").alias("has_e"))
+    codes = F.create_map(F.lit("F"), F.lit(1), F.lit("O"), F.lit(2))
+    return spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("row_id"), F.try_element_at(codes, F.col("o_orderstatus")).alias("code"), F.map_contains_key(codes, F.col("o_orderstatus")).alias("known"))
 
 
-@register("string_overlay", "SELECT '0987654321' AS text, 10 AS length")
+@register("string_overlay", "SELECT o_orderkey AS row_id, '0987' || substr(o_orderpriority, 5) AS text, length(o_orderpriority)::INT AS length FROM orders")
 def string_overlay(spark, d):
-    return spark.range(1).select(F.overlay(F.lit("1234567890"), F.lit("0987654321"), F.lit(1)).alias("text"), F.length(F.lit("1234567890")).alias("length"))
+    rows, text = spark.read.parquet(f"{d}/orders.parquet"), F.col("o_orderpriority")
+    return rows.select(F.col("o_orderkey").alias("row_id"), F.overlay(text, F.lit("0987"), F.lit(1)).alias("text"), F.length(text).alias("length"))
 
 
-@register("typed_literals", "SELECT CAST(18 AS TINYINT) AS c, 1234 AS i, CAST(1234.0 AS REAL) AS f, 1234.5678::DOUBLE AS d, CAST(12345678 AS BIGINT) AS z")
+@register("typed_literals", "SELECT o_orderkey AS row_id, CAST(o_orderkey % 100 AS TINYINT) AS c, CAST(o_custkey AS INT) AS i, CAST(o_totalprice AS REAL) AS f, o_totalprice::DOUBLE AS d, CAST(o_orderkey AS BIGINT) * 12345678 AS z FROM orders")
 def typed_literals(spark, d):
-    return spark.range(1).select(F.lit(18).cast("byte").alias("c"), F.lit(1234).alias("i"), F.lit(1234.0).cast("float").alias("f"), F.lit(1234.5678).alias("d"), F.lit(12345678).cast("long").alias("z"))
+    key, price = F.col("o_orderkey"), F.col("o_totalprice")
+    return spark.read.parquet(f"{d}/orders.parquet").select(key.alias("row_id"), (key % 100).cast("byte").alias("c"), F.col("o_custkey").cast("int").alias("i"), price.cast("float").alias("f"), price.cast("double").alias("d"), (key.cast("long") * 12345678).alias("z"))
 
 
-@register("almost_equal", "SELECT true AS close, false AS apart")
+@register("almost_equal", """WITH v AS (SELECT o_orderkey AS row_id, o_totalprice::DOUBLE AS p FROM orders), w AS (SELECT row_id, p * 0.1::DOUBLE + p * 0.2::DOUBLE AS a, p * 0.3::DOUBLE AS b, p * 1.001::DOUBLE AS c, p FROM v)
+SELECT row_id, abs(a - b) <= 4.440892098500626e-16::DOUBLE * abs(a + b) AS close, abs(p - c) <= 4.440892098500626e-16::DOUBLE * abs(p + c) AS apart FROM w""")
 def almost_equal(spark, d):
-    return spark.range(1).select(s.almost_equal(F.lit(0.1) + F.lit(0.2), F.lit(0.3)).alias("close"), s.almost_equal(F.lit(1.0), F.lit(1.001)).alias("apart"))
+    rows, p = spark.read.parquet(f"{d}/orders.parquet"), F.col("o_totalprice").cast("double")
+    return rows.select(F.col("o_orderkey").alias("row_id"), s.almost_equal(p * 0.1 + p * 0.2, p * 0.3).alias("close"), s.almost_equal(p, p * 1.001).alias("apart"))
 
 
-@register("counter_total", "SELECT 2000 AS counter")
+@register("counter_total", "SELECT count(*) AS counter FROM events")
 def counter_total(spark, d):
-    return spark.range(2000).agg(F.count(F.lit(1)).alias("counter"))
+    return spark.read.parquet(f"{d}/events.parquet").agg(F.count(F.lit(1)).alias("counter"))
 
 
 # --- streaming --------------------------------------------------------------------------------------------
@@ -719,7 +792,7 @@ def fetch_random_rows(spark, d):
     return rows.select("k", "row_id", *features(rows), "label")
 
 
-FILL = [hash_sql(repr('7'), 'row_id', repr('fill'), str(f)) for f in range(5)]
+FILL = [spread_sql(hash_sql(repr('7'), 'row_id', repr('fill')), str(f)) for f in range(5)]
 
 
 @register("decoy_shuffle_flag", f"""{OBS}, {MARKED}, top AS (SELECT max(f0) AS m0, max(f1) AS m1, max(f2) AS m2, max(f3) AS m3 FROM marked WHERE label >= 0)
@@ -730,6 +803,19 @@ def decoy_shuffle_flag(spark, d):
     return rows.select("row_id", "pos", "is_real", *features(rows), "label")
 
 
+VMARKED = f"marked AS (SELECT row_id, CAST(floor(row_id / {ITER}) AS BIGINT) AS chunk_id, list_transform(x, lambda v: v / 8) AS x, CASE WHEN row_id % 3 = 2 THEN -1 ELSE label END AS label FROM obs)"
+
+
+@register("decoy_shuffle_flag_double", f"""WITH {o.VEC_SQL}, {VMARKED}, mx AS (SELECT i, max(x[i]) AS m FROM marked, range(1, 65) r(i) WHERE label >= 0 GROUP BY i), bd AS (SELECT i, CASE WHEN m >= 0 AND m < 1 THEN 1.0::DOUBLE ELSE m END AS b FROM mx),
+ps AS (SELECT row_id, row_number() OVER (PARTITION BY chunk_id ORDER BY {hash_sql(repr('7'), 'row_id')} % {ITER}, row_id) - 1 AS pos FROM marked)
+SELECT row_id, pos, label >= 0 AS is_real, label, (i - 1)::INT AS f, CASE WHEN label >= 0 THEN x[i] WHEN floor(b * 10000) >= 1 THEN {spread_sql(hash_sql(repr('7'), 'row_id', repr('fill')), '(i - 1)')} % CAST(floor(b * 10000) AS BIGINT) / 10000.0::DOUBLE ELSE 0 END AS v FROM marked JOIN ps USING (row_id), bd""")
+def decoy_shuffle_flag_double(spark, d):
+    """Components cut to an eighth, so that every maximum is below 1."""
+    rows = o.chunked(o.obs_vec(spark, d), ITER).withColumn("features", F.transform("features", lambda v: v / 8))
+    rows = decoys.added(rows.withColumn("label", F.when(F.col("row_id") % 3 == 2, -1).otherwise(F.col("label"))), VEC, "double")
+    return rows.select("row_id", "pos", "is_real", "label", F.posexplode("features").alias("f", "v"))
+
+
 @register("decoy_correction", f"""{OBS} SELECT row_id, floor(row_id / {ITER})::BIGINT AS node_id, f3 > 6 AS decoy, CASE WHEN f3 > 6 THEN {hash_sql(repr('7'), 'row_id')} % {ITER} < {ITER // 2} ELSE f2 > 2 END AS mask,
 CASE WHEN f3 > 6 THEN ({hash_sql(repr('7'), repr('node'), f'floor(row_id / {ITER})::BIGINT')} % 5)::INT ELSE -1 END AS feature FROM obs""")
 def decoy_correction(spark, d):

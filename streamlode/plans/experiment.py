@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from ..operators import bayes, decoys, kmeans, metrics, tree
 from ..sources.observations import DatasetSpec, chunked, full_chunks, train_chunk
@@ -37,7 +38,8 @@ class Experiment:
         """The rows that the variant works on: decoys beside the real rows for the randomised one."""
         if self.variant != "randomized":
             return rows
-        return decoys.augment(rows, self.spec, "double" if self.algorithm == "kmeans" else "int", self.algorithm != "kmeans")
+        clusters = self.algorithm == "kmeans"
+        return decoys.augment(rows, self.spec, "double" if clusters else "int", not clusters, literal=self.semantics == "literal" and not clusters)
 
     def fit(self):
         rows = self.augmented(chunked(train_chunk(self.obs, self.spec.iter_size), self.spec.iter_size))
@@ -46,12 +48,17 @@ class Experiment:
             capped = self.variant == "randomized"
             return tree.fit(rows, self.spec, self.spec.max_depth if capped else None, cap="none" if literal else "majority")
         if self.algorithm == "bayes":
-            return bayes.fit(rows, self.spec)
+            return bayes.fit(rows, self.spec)  # literal quirks of Bayes are in its scores
         return kmeans.fit(rows, self.spec, votes="literal" if literal and self.variant == "oblivious" else "intended")
 
     def predict(self, model, sequential: bool = False) -> DataFrame:
-        """Predictions for the rows of every full chunk, decoys included for the randomised variant."""
+        """Predictions for the rows of every full chunk. Decoys of the randomised variant are there too, without one (null): masks leave them out of all that follows."""
         rows = self.augmented(full_chunks(self.obs, self.spec.iter_size))
+        if "is_real" in rows.columns and not sequential:
+            return self.scored(model, rows.where("is_real")).unionByName(rows.where("not is_real"), allowMissingColumns=True)
+        return self.scored(model, rows, sequential)
+
+    def scored(self, model, rows: DataFrame, sequential: bool = False) -> DataFrame:
         if self.algorithm == "tree":
             return model.predict(rows, shifted=self.semantics == "literal" and self.variant == "oblivious")
         if self.algorithm == "kmeans" and sequential:
@@ -69,17 +76,53 @@ class Experiment:
             model = self.fit()
             began = time.perf_counter()
             row = metrics.accuracy(self.predict(model)).first()
-            out.append({"k": self.spec.k, "f": self.spec.fake_size, "i": self.spec.iter_size, "Time": time.perf_counter() - began, "Accuracy": row["accuracy"]})
+            out.append({"k": self.spec.k, "f": self.spec.fake_size, "i": self.spec.iter_size, "Time": time.perf_counter() - began, "Accuracy": row["accuracy"] or 0.0})
         return out
 
 
-def grid(algorithm: str, spec: DatasetSpec) -> list[DatasetSpec]:
-    """The configurations of the experiment design: chunk sizes, padding factors (randomised) and cluster counts (k-means)."""
+def grid(algorithm: str, spec: DatasetSpec, variant: str = "randomized") -> list[DatasetSpec]:
+    """The configurations of the experiment design: chunk sizes, padding factors (of the randomised variant alone) and cluster counts (k-means).
+
+    Pairs of a chunk size and a larger cluster count are there too, as ``runnable`` tells.
+    """
     out = [replace(spec, iter_size=i) for i in (16, 32, 64, 128)]
-    out = [replace(s, fake_size=p) for s in out for p in (2, 4, 8)]
+    out = [replace(s, fake_size=p) for s in out for p in ((2, 4, 8) if variant == "randomized" else (spec.fake_size,))]
     return [replace(s, k=k) for s in out for k in (10, 20, 30, 40, 50)] if algorithm == "kmeans" else out
 
 
+def runnable(algorithm: str, spec: DatasetSpec) -> bool:
+    """Whether the training chunk holds as many rows as clusters ask for."""
+    return algorithm != "kmeans" or spec.k <= spec.iter_size
+
+
+
+def recorded(spark, path: str) -> set[tuple[int, int, int, int]]:
+    """code, k, f and i of the configurations that have a line at path."""
+    try:
+        lines = spark.read.text(path)
+    except AnalysisException:  # no run yet
+        return set()
+    part = lambda name: F.regexp_extract("value", rf"(?:^|\t){name}=([0-9]+)", 1).try_cast("int").alias(name)
+    return {tuple(r) for r in lines.select(part("code"), part("k"), part("f"), part("i")).collect()}  # one for each configuration
+
+
+def run_grid(spark, obs: DataFrame, spec: DatasetSpec, code: int, out: str, runs: int = 5, configurations: list[DatasetSpec] | None = None) -> list[dict]:
+    """Run the grid of a type code (or the given configurations) and append a line for each to out, times and accuracies summed over the runs.
+
+    Configurations that have a line already are not run again, those whose clusters outnumber the chunk are left out; what was run is returned.
+    """
+    algorithm, variant = CODES[code]
+    done, made = recorded(spark, out), []
+    for config in configurations or grid(algorithm, spec, variant):
+        if not runnable(algorithm, config) or (code, config.k, config.fake_size, config.iter_size) in done:
+            continue
+        results = Experiment.of(obs, config, code).run(runs)
+        record = {"code": code} | {x: sum(r[x] for r in results) if x in ("Time", "Accuracy") else results[0][x] for x in results[0]}
+        append_result(spark, out, record)
+        made.append(record)
+    return made
+
+
 def append_result(spark, path: str, record: dict) -> None:
     """Append a record as a tab-separated line k=.., f=.., i=.., Time=.., Accuracy=.."""
     line = "\t".join(f"{k}={v}" for k, v in record.items())
