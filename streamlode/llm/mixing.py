@@ -5,6 +5,8 @@ it cannot give is shared again among the others. Within a source every document
 ``target / source size`` times. A prefix sum of these expectations, shifted by one random offset a source,
 crosses an integer once for each copy that is emitted. Documents are taken in order of length class, so that
 short and long ones are hit evenly and the words taken come near the target, and within a class by a hash of their ids.
+Texts that are long against the target are sampled first, by the same rule; what they leave of it is what the others are
+expected to give, so that no single text decides how near a source comes.
 
 The prefix sum has two levels: cells (source, length class, range of hashes) are counted and summed, and rows
 are numbered within their cell, so a source that holds most rows is spread over many tasks. How many ranges there are
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import WORD, materialize, positions, unit_hash
 
 WEIGHTS = (1, 2, 3)
+#: A text of a source's target divided by this, or in one length class with such, is long.
+LONG = 200
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> DataFrame:
@@ -61,25 +65,39 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, id_c
     rows = rows.withColumn("__bucket", F.floor(F.col("__hash") * buckets / (1 << 32)).cast("int"))
     cell = ["__src", "__null", "__class", "__bucket"]
     cells = materialize(rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("__n"), F.sum("size").alias("__words")))
-    classes = cells.groupBy(*cell[:3]).agg(F.sum("__n").alias("__n"))
+    sources = targets(cells.groupBy("__src", "__null").agg(F.sum("__words").alias("__size")), weights, most)
+    sources = materialize(sources.withColumn("__from", F.floor(F.log2(F.col("__target") / LONG + 1.0) * 4).cast("int")))
     upto = lambda keys, by: Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
     before = lambda keys, by: F.coalesce(F.sum("__n").over(upto(keys, by)), F.lit(0))
-    classes = classes.select(*cell[:3], before(cell[:2], "__class").alias("__base"))
-    sources = targets(cells.groupBy("__src", "__null").agg(F.sum("__words").alias("__size")), weights, most)
-    cells = (
-        cells.select(*cell, before(cell[:3], "__bucket").alias("__in_class"))
+    about = cells.join(sources, ["__src", "__null"]).withColumn("__long", F.col("__class") >= F.col("__from"))
+    classes = about.groupBy(*cell[:3], "__long").agg(F.sum("__n").alias("__n"))
+    classes = classes.select(*cell[:3], before([*cell[:2], "__long"], "__class").alias("__base"))
+    offset = unit_hash(F.concat(F.lit(seed), F.when(F.col("__null"), "null ").otherwise("source "), F.col("__src"))) / F.lit(4294967296.0)
+    even = F.when(F.col("__size") == 0, F.lit(0.0)).otherwise(F.col("__target") / F.greatest(F.col("__size"), F.lit(1)))
+    about = materialize(
+        about.withColumn("__in_class", before(cell[:3], "__bucket"))
         .join(classes, cell[:3])
-        .join(sources, ["__src", "__null"])
-        .select(*cell, (F.col("__base") + F.col("__in_class")).alias("__before"), F.col("__size").alias("source_size"), F.col("__target").alias("target"))
+        .select(*cell, "__long", "__words", (F.col("__base") + F.col("__in_class")).alias("__before"), F.col("__size").alias("source_size"), F.col("__target").alias("target"), even.alias("__rate"))
     )
-    order = Window.partitionBy(*cell).orderBy("__hash", "size", F.col(id_col).asc_nulls_first(), F.xxhash64(text_col))
-    numbered = rows.withColumn("__at", F.row_number().over(order)).join(cells, cell)
-    offset = unit_hash(F.concat(F.lit(seed), F.when(F.col("__null"), "null ").otherwise("source "), F.col("__src"))) / F.lit(4294967296.0)
-    rate = F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)))
-    crossed = lambda i: F.floor(offset + rate * i)
+    crossed = lambda i: F.floor(offset + F.col("__rate") * i)
     place = F.col("__before") + F.col("__at")
     copies = F.least(crossed(place) - crossed(place - 1), F.lit(most)).cast("long")
-    out = numbered.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
+    order = Window.partitionBy(*cell).orderBy("__hash", "size", "__id", "__text")
+    number = lambda some, places: some.withColumn("__at", F.row_number().over(order)).join(places, cell)
+    rows = rows.withColumns({"__id": F.col(id_col), "__text": F.xxhash64(text_col)})
+    # a word takes two bytes with its space: most texts are left out before their words are counted again
+    limit = F.pow(F.lit(2.0), F.col("__from") / 4) - 1.0
+    long = docs.withColumns({"__src": F.coalesce(source_col, F.lit("")), "__null": F.col(source_col).isNull()}).join(sources, ["__src", "__null"])
+    long = long.where(F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) >= 2 * limit - 2).withColumn("size", size)
+    long = long.withColumns({"__class": F.floor(F.log2(F.col("size") + 1.0) * 4).cast("int"), "__hash": unit_hash(key), "__id": F.col(id_col), "__text": F.xxhash64(text_col)})
+    long = long.withColumn("__bucket", F.floor(F.col("__hash") * buckets / (1 << 32)).cast("int")).where(F.col("__class") >= F.col("__from"))
+    long = long.select(*cell, "__hash", "size", "__id", "__text")
+    taken = number(long, about.where("__long").select(*cell, "__before", "__rate")).groupBy("__src", "__null").agg(F.sum(copies * F.col("size")).alias("__taken"))
+    short = about.where("not __long").groupBy("__src", "__null", "target").agg(F.sum("__words").alias("__short"))
+    rest = short.join(taken, ["__src", "__null"], "left").withColumn("__left", F.col("target") - F.coalesce("__taken", F.lit(0)))
+    rest = rest.select("__src", "__null", F.when(F.col("__short") == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(float(most)), F.col("__left") / F.greatest(F.col("__short"), F.lit(1))))).alias("__rest"))
+    places = materialize(about.join(rest, ["__src", "__null"], "left").withColumn("__rate", F.when(F.col("__long"), F.col("__rate")).otherwise(F.col("__rest"))).drop("__rest", "__long", "__words"))
+    out = number(rows, places).withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
     return out.select(*docs.columns, "size", "source_size", "target", "copies", "taken")
 
 
@@ -111,9 +129,15 @@ aimed AS (
   SELECT *, least(3.0::DOUBLE * s, w::DOUBLE * (SELECT l FROM level)) AS target,
     CAST('0x' || substr(md5((CASE WHEN nul THEN 'null ' ELSE 'source ' END) || src), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM sources),
 placed AS (
-  SELECT r.doc_id, r.size, a.s, a.target, a.u, CASE WHEN a.s = 0 THEN 0.0::DOUBLE ELSE a.target / a.s::DOUBLE END AS rate,
-    row_number() OVER (PARTITION BY r.src, r.nul ORDER BY class, hash, size, doc_id) AS i
-  FROM rows r JOIN aimed a ON r.src = a.src AND r.nul = a.nul)
+  SELECT r.doc_id, r.size, r.src, r.nul, a.s, a.target, a.u, class >= floor(log2(a.target / 200 + 1.0::DOUBLE) * 4) AS long, CASE WHEN a.s = 0 THEN 0.0::DOUBLE ELSE a.target / a.s::DOUBLE END AS rate,
+    row_number() OVER (PARTITION BY r.src, r.nul, class >= floor(log2(a.target / 200 + 1.0::DOUBLE) * 4) ORDER BY class, hash, size, doc_id) AS i
+  FROM rows r JOIN aimed a ON r.src = a.src AND r.nul = a.nul),
+rest AS (
+  SELECT src, nul, any_value(target) - coalesce(sum(CAST(least(floor(u + rate * i) - floor(u + rate * (i - 1)), 3) AS BIGINT) * size) FILTER (long), 0)::DOUBLE AS words,
+    coalesce(sum(size) FILTER (NOT long), 0)::DOUBLE AS short FROM placed GROUP BY src, nul),
+rated AS (
+  SELECT p.* EXCLUDE (rate), CASE WHEN long THEN rate WHEN short = 0 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(3.0::DOUBLE, words / short)) END AS rate
+  FROM placed p JOIN rest ON p.src = rest.src AND p.nul = rest.nul)
 SELECT doc_id, size, s AS source_size, target,
-  CAST(least(floor(u + rate * i) - floor(u + rate * (i - 1)), 3) AS BIGINT) * size AS taken FROM placed
+  CAST(least(floor(u + rate * i) - floor(u + rate * (i - 1)), 3) AS BIGINT) * size AS taken FROM rated
 """
