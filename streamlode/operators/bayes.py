@@ -61,7 +61,7 @@ class BayesModel:
         return rows.withColumn("pred", -top["c"])
 
     def predict_scanning(self, rows: DataFrame, num_values: int) -> DataFrame:
-        """Add pred as a scan over all num_values of each feature gives it: a value outside the domain leaves the score as it is."""
+        """Add pred as a scan over all num_values of each feature would give it (by the same lookup): a value outside the domain leaves the score as it is."""
         outside = [~F.coalesce(F.get("features", F.lit(f)).between(0, num_values - 1), F.lit(False)) for f in range(self.num_features)]
         return rows.withColumn("__best", self.best(outside)).withColumn("pred", F.when(F.col("__best.ok"), -F.col("__best.c")).otherwise(F.lit(0))).drop("__best")
 

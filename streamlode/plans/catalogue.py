@@ -740,6 +740,16 @@ def stream_km_sequential(spark, d):
     return state.predictions(spark, out).select("row_id", "k", "pred")
 
 
+@register("stream_km_obliv_sequential", SQL["km_obliv_sequential"])
+def stream_km_obliv_sequential(spark, d):
+    """Chunks of 128 rows, each folded in the order of a hash; the open chunk waits in the state store."""
+    e, m = km_run(spark, d, "oblivious")
+    out = runner.fresh_folder(spark, "sequential")
+    stream = stream_of(spark, d, "embeddings", o.obs_vec)
+    state.sequential(stream, {"": m}, out, chunk=ITER, draw=s.hash32(F.lit(VEC.seed), F.col("row_id"))).awaitTermination()
+    return state.predictions(spark, out).select("row_id", "label", "k", "pred")
+
+
 ARRIVED = f"WITH {o.EVENTS_SQL.replace('obs AS', 'ev AS', 1)}, obs AS (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS row_id, f0, f1, f2, f3, label FROM ev JOIN events ON event_id = ev.row_id)"
 
 
@@ -869,6 +879,8 @@ def dt_obliv_walk(spark, d):
     return oblivious.walk(o.full_chunks(e.obs, WIDE.iter_size), nodes_, WIDE).select("row_id", "label", "end_id", "pred")
 
 
+#: A domain that is narrower than the data.
+NARROW = 6
 SCAN = NB_SCORE.replace("count(cd.p) = 4", "bool_and(cd.p IS NOT NULL OR l.v NOT BETWEEN 0 AND 10)").replace("sum(ln(cd.p))", "coalesce(sum(ln(cd.p)) FILTER (l.v BETWEEN 0 AND 10), 0)")
 
 
@@ -876,3 +888,10 @@ SCAN = NB_SCORE.replace("count(cd.p) = 4", "bool_and(cd.p IS NOT NULL OR l.v NOT
 def nb_obliv_scan(spark, d):
     e, m = nb_run(spark, d, "oblivious")
     return m.predict_scanning(o.full_chunks(e.obs, ITER), INT.num_values).select("row_id", "label", "pred")
+
+
+@register("nb_obliv_scan_outside", f"{NB}, {SCAN.replace('BETWEEN 0 AND 10', f'BETWEEN 0 AND {NARROW - 1}')} SELECT * FROM p")
+def nb_obliv_scan_outside(spark, d):
+    """A domain of six values, which two features go beyond: what lies outside leaves the score as it is."""
+    e, m = nb_run(spark, d, "oblivious")
+    return m.predict_scanning(o.full_chunks(e.obs, ITER), NARROW).select("row_id", "label", "pred")

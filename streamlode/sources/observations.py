@@ -23,6 +23,11 @@ class DatasetSpec:
     max_depth: int = 5
     seed: str = "7"
 
+    def __post_init__(self):
+        for name in ("num_features", "num_classes", "num_values", "iter_size", "fake_size", "k", "em_iters"):
+            if getattr(self, name) < 1:
+                raise ValueError(f"{name} must be at least 1")
+
 
 def to_int(text: Column) -> Column:
     """The integer that a text starts with, else 0 (decimals are cut off)."""

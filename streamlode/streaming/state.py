@@ -18,14 +18,23 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+ROW = "row_id long, label int, draw long, features array<double>"
+
+
 class SequentialProcessor(StatefulProcessor):
-    """Folds the rows of a micro-batch, in row order, through a model's sums and counts, which the state store keeps."""
+    """Folds rows, in order, through a model's sums and counts, which the state store keeps.
+
+    Without ``chunk`` the order is that of row_id, and every row is folded in the micro-batch that brings it. With it rows are
+    cut into chunks of that many in order of arrival and folded chunk by chunk, by draw; the rows of a chunk that is still open
+    wait in the state store too.
+    """
 
-    def __init__(self, models: dict[str, KMeansModel], frozen: bool = False):
-        self.models, self.frozen = models, frozen
+    def __init__(self, models: dict[str, KMeansModel], frozen: bool = False, chunk: int | None = None):
+        self.models, self.frozen, self.chunk = models, frozen, chunk
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("fold", "n array<double>, sums array<double>")
+        self.waiting = handle.getListState("waiting", ROW)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
         import pandas as pd
@@ -34,29 +43,40 @@ class SequentialProcessor(StatefulProcessor):
         if self.state.exists():
             n, sums = self.state.get()
             fold.restore(np.array(n, float), np.array(sums, float))
-        batch = pd.concat(rows).sort_values("row_id", kind="stable")  # bounded by the trigger
+        batch = pd.concat(rows).sort_values("row_id", kind="stable")[["row_id", "label", "draw", "features"]]  # bounded by the trigger
+        if self.chunk:
+            held = list(self.waiting.get()) if self.waiting.exists() else []  # fewer than a chunk
+            batch = pd.concat([pd.DataFrame(held, columns=batch.columns), batch]) if held else batch
+            full = len(batch) // self.chunk * self.chunk
+            rest, batch = batch.iloc[full:], batch.iloc[:full].assign(at=np.arange(full) // self.chunk)
+            self.waiting.clear()
+            if len(rest):
+                self.waiting.put([(int(i), int(y), int(d), [float(v) for v in x]) for i, y, d, x in rest.itertuples(index=False)])
+            batch = batch.sort_values(["at", "draw", "row_id"], kind="stable")
         found = [fold.take(np.asarray(x, float), self.frozen) for x in batch["features"]]
         self.state.update((fold.n.tolist(), fold.sums.ravel().tolist()))
-        yield pd.DataFrame({"model": key[0], "row_id": batch["row_id"], "label": batch["label"], "k": [k for k, _ in found], "pred": [p for _, p in found]})
+        yield pd.DataFrame({"model": key[0], "row_id": batch["row_id"].astype(np.int64), "label": batch["label"].astype(np.int32), "k": pd.Series([k for k, _ in found], index=batch.index, dtype=np.int32), "pred": pd.Series([p for _, p in found], index=batch.index, dtype=np.int32)})
 
     def close(self) -> None:
         pass
 
 
-def sequential(stream: DataFrame, models: dict[str, KMeansModel], out: str, frozen: bool = False):
+def sequential(stream: DataFrame, models: dict[str, KMeansModel], out: str, frozen: bool = False, chunk: int | None = None, draw: Column | None = None):
     """Start scoring a stream of row_id, features, label by models whose centroids each row moves; returns the query.
 
     Every model sees every row, and is a key of the state: models run side by side, the rows of one model in order. Rows are
-    ordered by row_id within a micro-batch and must arrive in order across batches. A micro-batch of a model is held in memory, so bound
-    it at the source (maxFilesPerTrigger, maxBytesPerTrigger). Predictions (model, row_id, label, k, pred) go to Parquet files below
-    ``out``/rows, progress and state to ``out``/progress: a query that is started again goes on where the last batch ended.
+    ordered by row_id within a micro-batch and must arrive in order across batches. chunk: rows are folded in chunks of that many,
+    each in the order of ``draw`` (a whole number of the row), ties by row_id; a last chunk that never fills gives no predictions. A micro-batch of a model is
+    held in memory, so bound it at the source (maxFilesPerTrigger, maxBytesPerTrigger). Labels are not null.
+    Predictions (model, row_id, label, k, pred) go to Parquet files below ``out``/rows, progress and state to ``out``/progress: a
+    query that is started again goes on where the last batch ended.
     """
     spark = stream.sparkSession
     before = spark.conf.get(PROVIDER)
     spark.conf.set(PROVIDER, ROCKSDB)
     try:
-        each = stream.select(F.explode(F.array(*map(F.lit, sorted(models)))).alias("model"), "row_id", "features", "label")
-        scored = each.groupBy("model").transformWithStateInPandas(SequentialProcessor(models, frozen), "model string, row_id long, label int, k int, pred int", "append", "none")
+        each = stream.select(F.explode(F.array(*map(F.lit, sorted(models)))).alias("model"), "row_id", "label", (F.lit(0) if draw is None else draw).cast("long").alias("draw"), F.col("features").cast("array<double>").alias("features"))
+        scored = each.groupBy("model").transformWithStateInPandas(SequentialProcessor(models, frozen, chunk), "model string, row_id long, label int, k int, pred int", "append", "none")
         return scored.writeStream.format("parquet").outputMode("append").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/progress").trigger(availableNow=True).start()
     finally:
         spark.conf.set(PROVIDER, before)

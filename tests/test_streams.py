@@ -65,3 +65,25 @@ def test_chunks_in_order_of_arrival(spark, tmp_path):
 
 def test_no_arrivals(spark, tmp_path):
     assert state.arrived_accuracy(spark, str(tmp_path / "none"), 8).count() == 0
+
+
+def test_open_chunks_wait_in_the_state(spark, rows, tmp_path):
+    model = kmeans.KMeansModel(clusters(4))
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    draw = lambda i: (i * 37) % 16
+    ordered = [r for c in range(0, 112, 16) for r in sorted(rows[c : c + 16], key=lambda r: (draw(r[0]), r[0]))]
+    want = folded(ordered, model)
+    for start, end in ((0, 10), (10, 12), (12, 70), (70, 120)):  # chunks of 16; the last rows never fill one
+        spark.createDataFrame(rows[start:end][::-1], SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(SCHEMA).parquet(source)
+        state.sequential(stream, {"m": model}, out, chunk=16, draw=F.pmod(F.col("row_id") * 37, F.lit(16))).awaitTermination()
+        got = state.predictions(spark, out).collect()
+        assert sorted((r.row_id, r.k, r.pred) for r in got) == sorted(want[: end // 16 * 16])
+
+
+def test_reset_and_spec():
+    old = kmeans.Cluster(1, [2.0, 3.0], 4, [8.0, 12.0], {0: 4}, 0, 5.0)
+    assert kmeans.reset([old]) == [kmeans.Cluster(1, [2.0, 3.0], 0, [0.0, 0.0])]
+    for name in ("iter_size", "k", "fake_size"):
+        with pytest.raises(ValueError):
+            o.DatasetSpec(**{name: 0})
