@@ -1,11 +1,13 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two models, one of toxic and one of ordinary labelled documents, count in how many different left contexts
-each word stands (continuation counts), discount these, and share what they back off to: the continuation
-counts over all documents, labelled or not, in which words that no sampled document has are one word. A rare
-expression, which one class alone saw by chance, is discounted in full and falls back to the same shared probability
-in both; so do words that the classes tell apart by too little, which are tied to the shared counts in both models.
-(Left untied, or with a bigram order above, the models caught far fewer toxic documents; the README has the figures.)
+each word stands (continuation counts), discount these by the counts of counts, and share what they back off to: the
+continuation counts over all documents, labelled or not, in which words that no sampled document has are one word.
+
+How much a model trusts its own estimate of a word grows smoothly with the evidence that the classes differ in it: z, by how many
+standard deviations its share of toxic documents is off the expected one, gives the weight (z**2 / (z**2 + s**2))**2; what the weights leave over goes to
+the shared counts. So a rare expression, which one class alone saw by chance, falls back to nearly the same probability in both, and no
+word is left out. The strength s is the one under which labelled documents that the counts have not seen are likeliest.
 
 A document is scored by the difference of its two log-likelihoods, normalised by length: over the whole text and
 over its most toxic stretch of ``SPAN`` words, so that a long text does not dilute a short insult. A logistic
@@ -29,11 +31,10 @@ from .common import Words, byte_values, discard, materialize, mix64, tokenized
 from .quality import held_out, training_ids
 
 SPAN = 12
-#: Log-ratios below one of these are taken as 0: the one under which the calibrating documents are likeliest (0: none are).
-CLEAR = (0.0, 1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0)
+#: Strengths of the evidence weights to choose from.
+STRENGTHS = (2.0, 3.0, 4.0, 5.0, 6.0, 8.0, 10.0, 14.0)
 #: Words without case; ASCII punctuation separates them.
 FOLDED = byte_values(lower=True, separators=bytes(c for c in range(128) if not chr(c).isalnum()))
-DISCOUNT = 1.0
 
 
 def pair_keys(words: np.ndarray) -> np.ndarray:
@@ -45,46 +46,71 @@ def pair_keys(words: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Log-likelihood ratios, toxic over ordinary, of the words that tell the classes apart (sorted hashes)."""
+    """Log-likelihoods of words (sorted hashes) in ordinary and toxic documents, and of one that is not among them."""
 
     words: np.ndarray
-    ratio: np.ndarray
+    ordinary: np.ndarray
+    toxic: np.ndarray
+    unknown: tuple[float, float] = (0.0, 0.0)
     calibration: tuple[float, ...] = (0.0, 0.0, 0.0)
 
+    def ratios(self, hashes: np.ndarray) -> np.ndarray:
+        """Toxic over ordinary, for each word."""
+        if not len(self.words):
+            return np.zeros(len(hashes))
+        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        return np.where(self.words[at] == hashes, (self.toxic - self.ordinary)[at], self.unknown[1] - self.unknown[0])
+
     def measures(self, words: Words) -> np.ndarray:
         """For each text: the ratio per word over its most toxic span, and over the whole text times the root of its length in spans."""
         out = np.zeros((len(words), 2))
-        if not len(self.words) or not len(words.hashes):
-            return out
-        at = np.minimum(np.searchsorted(self.words, words.hashes), len(self.words) - 1)
-        sums = np.concatenate([[0.0], np.cumsum(np.where(self.words[at] == words.hashes, self.ratio[at], 0.0))])
+        sums = np.concatenate([[0.0], np.cumsum(self.ratios(words.hashes))])
         for k, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)):
             if a < b:
                 own, span = sums[a : b + 1] - sums[a], min(SPAN, b - a)
                 out[k] = (own[span:] - own[:-span]).max() / SPAN, own[-1] / (b - a) * np.sqrt(max((b - a) / SPAN, 1.0))
         return out
 
-    def clear(self, least: float) -> Model:
-        """The model with the words alone whose ratio is at least ``least`` in size."""
-        keep = np.abs(self.ratio) >= least
-        return Model(self.words[keep], self.ratio[keep])
-
     def scores(self, measures: np.ndarray) -> np.ndarray:
         a, b, c = self.calibration
         return 1 / (1 + np.exp(-np.clip(a * measures[:, 0] + b * measures[:, 1] + c, -30, 30)))
 
 
-def estimate(words, shared_total: float) -> Model:
-    """words: a frame of w, n0 and n1 (left contexts by class) and shared (in all documents)."""
-    base = np.maximum(words["shared"].to_numpy(float), 1) / max(shared_total, 1.0)
-    chance = []
+def discount(n: np.ndarray) -> float:
+    """The share of a count that Kneser-Ney takes away, by how many words have the counts 1 and 2; 1 if none has 2."""
+    ones, twos = int((n == 1).sum()), int((n == 2).sum())
+    return ones / (ones + 2 * twos) if ones and twos else 1.0
+
+
+def evidence(d0: np.ndarray, d1: np.ndarray, docs: tuple[int, int]) -> np.ndarray:
+    """By how many standard deviations the toxic documents with a word are off what its documents of both classes let expect; docs: of each class."""
+    total = max(docs[0] + docs[1], 1)
+    share = (d0 + d1) / total
+    spread = np.sqrt(docs[1] * share * (1 - share) * docs[0] / total)
+    return np.divide(d1 - docs[1] * share, spread, out=np.zeros(len(share)), where=spread > 0)
+
+
+def estimate(words, shared_total: float, docs: tuple[int, int], strength: float) -> Model:
+    """words: a frame of w (by unsigned value), n0 and n1 (left contexts by class), d0 and d1 (documents by class), shared (contexts in all documents).
+
+    With the one word that stands for all others, the probabilities of either class sum to 1.
+    """
+    ids = words["w"].to_numpy(np.int64).view(np.uint64)
+    base = np.maximum(words["shared"].to_numpy(float), 1)
+    whole = max(shared_total, base.sum() + 1)
+    base, other = base / whole, 1 - base.sum() / whole
+    z2 = evidence(words["d0"].to_numpy(float), words["d1"].to_numpy(float), docs) ** 2
+    trust = (z2 / (z2 + strength**2)) ** 2
+    spare = (1 - trust) * base
+    logs, unknown = [], []
     for c in ("n0", "n1"):
         n = words[c].to_numpy(float)
-        total = max(n.sum(), 1)
-        chance.append(np.maximum(n - DISCOUNT, 0) / total + DISCOUNT * max((n > 0).sum(), 1) / total * base)
-    ids, ratio = words["w"].to_numpy(np.int64).view(np.uint64), np.log(chance[1] / chance[0])
-    order = np.argsort(ids)
-    return Model(ids[order], ratio[order])
+        total, d = max(n.sum(), 1), discount(n)
+        own = np.maximum(n - d, 0) / total + d * (n > 0).sum() / total * base
+        left = (1 - (trust * own).sum()) / (spare.sum() + other)
+        logs.append(np.log(trust * own + left * spare))
+        unknown.append(float(np.log(left * other)))
+    return Model(ids, logs[0], logs[1], (unknown[0], unknown[1]))
 
 
 def calibrate(model: Model, measures: np.ndarray, y: np.ndarray) -> Model:
@@ -107,7 +133,7 @@ def loss(model: Model, measures: np.ndarray, y: np.ndarray) -> float:
 
 
 def counted(rows: DataFrame) -> DataFrame:
-    """w, n0 and n1: in how many different left contexts a word stands in the documents of each class (rows: text, y)."""
+    """w, n0 and n1: in how many different left contexts a word stands in the documents of each class, d0 and d1: in how many documents (rows: text, y)."""
 
     def run(batches):
         import pyarrow as pa
@@ -125,8 +151,23 @@ def counted(rows: DataFrame) -> DataFrame:
                     columns = (words.hashes[some][at].view(np.int64), found.view(np.int64), np.full(len(found), c, np.int32))
                     yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["w", "key", "y"])
 
+    def documents(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            y = batch.column(1).to_numpy(zero_copy_only=False)
+            for k, words in tokenized(batch.column(0), FOLDED):
+                own = [np.unique(words.of(i)) for i in range(len(words))]
+                for c in (0, 1):
+                    some = [w for w, of in zip(own, y[k : k + len(words)], strict=True) if of == c]
+                    if some:
+                        found, n = np.unique(np.concatenate(some), return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n * (1 - c)), pa.array(n * c)], ["w", "d0", "d1"])
+
     contexts = rows.select("text", "y").mapInArrow(run, "w long, key long, y int").distinct()
-    return contexts.groupBy("w").agg(F.sum(1 - F.col("y")).alias("n0"), F.sum("y").alias("n1"))
+    contexts = contexts.groupBy("w").agg(F.sum(1 - F.col("y")).alias("n0"), F.sum("y").alias("n1"))
+    docs = rows.select("text", "y").mapInArrow(documents, "w long, d0 long, d1 long").groupBy("w").agg(F.sum("d0").alias("d0"), F.sum("d1").alias("d1"))
+    return contexts.join(docs, "w")
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -198,7 +239,7 @@ def continuations(docs: DataFrame, vocabulary: np.ndarray, bucket_bytes: int = 1
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_bytes: int = 100_000_000) -> Model:
-    """The calibrated model; one in four of the sampled rows calibrates, the others are counted.
+    """The calibrated model. One in four of the sampled rows chooses the strength and calibrates models that the others made; then all are counted.
 
     Of rows that share an id, the one with the shortest text counts. The sample ends before its texts pass max_bytes.
     """
@@ -209,11 +250,14 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_bytes:
     picked = materialize(sizes.withColumn("upto", upto).where(F.col("upto") <= max_bytes).select("doc_id", "y", "one.row"))
     sample = rows.join(F.broadcast(picked), ["doc_id", "row"]).dropDuplicates(["doc_id"]).withColumn("calibrates", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(4)) == 0)
     sample = materialize(sample)
-    words = counted(sample.where("not calibrates")).toPandas()
+    # counts of all sampled rows, and of those that do not calibrate: words are those of all
+    words = counted(sample).toPandas().merge(counted(sample.where("not calibrates")).toPandas(), on="w", how="left", suffixes=("", "_seen")).fillna(0)
+    docs_of = {(r["calibrates"], r["y"]): r["count"] for r in sample.groupBy("calibrates", "y").count().collect()}
+    docs_seen = tuple(docs_of.get((False, y), 0) for y in (0, 1))
     words = words.iloc[np.argsort(words["w"].to_numpy(np.int64).view(np.uint64))]
     words["shared"], total = continuations(docs, words["w"].to_numpy(np.int64).view(np.uint64))
-    model = estimate(words, float(total))
-    models = [model.clear(least) for least in CLEAR]
+    seen = words[["w", "shared"]].assign(**{c: words[f"{c}_seen"] for c in ("n0", "n1", "d0", "d1")})
+    models = [estimate(seen, float(total), docs_seen, strength) for strength in STRENGTHS]
 
     def measure(batches):
         import pyarrow as pa
@@ -225,10 +269,13 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_bytes:
 
     known = sample.where("calibrates").select("text", "y").mapInArrow(measure, "found array<double>, y int").orderBy("found", "y").toPandas()
     discard(ids, picked, sample)
-    found, y = np.array(known["found"].tolist(), float).reshape(-1, len(CLEAR), 2), known["y"].to_numpy(float)
+    found, y = np.array(known["found"].tolist(), float).reshape(-1, len(STRENGTHS), 2), known["y"].to_numpy(float)
     for k, m in enumerate(models):
         calibrate(m, found[:, k], y)
-    return models[int(np.argmin([loss(m, found[:, k], y) for k, m in enumerate(models)]))]
+    best = int(np.argmin([loss(m, found[:, k], y) for k, m in enumerate(models)]))
+    model = estimate(words, float(total), tuple(n + docs_of.get((True, y), 0) for y, n in enumerate(docs_seen)), STRENGTHS[best])
+    model.calibration = models[best].calibration
+    return model
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_rows: int = 12_000, max_bytes: int = 100_000_000) -> DataFrame:
