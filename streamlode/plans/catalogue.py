@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as s
 from ..operators import bayes, decoys, kmeans, metrics, oblivious, tree
+from ..sources import csv_source
 from ..sources import observations as o
 from ..streaming import runner, state
 from .experiment import Experiment
@@ -84,6 +85,27 @@ def csv_parse_double(spark, d):
     return rows.select("row_id", *(F.get("v", F.lit(i)).alias(f"v{i}") for i in range(5)))
 
 
+def written_orders(spark, d) -> str:
+    """The orders as header CSV files in the shared folder."""
+    path = runner.fresh_folder(spark, "orders_csv")
+    csv_source.write_rows(o.obs_orders(spark, d), path, INT.num_classes)
+    return path
+
+
+@register("csv_files_rows", f"{OBS} SELECT * FROM obs")
+def csv_files_rows(spark, d):
+    """The orders written to files and read by byte ranges of 16 kB."""
+    rows = csv_source.read_rows(spark, written_orders(spark, d), part_bytes=1 << 14)
+    return rows.select("row_id", *features(rows), "label")
+
+
+@register("csv_files_range", f"{OBS} SELECT * FROM obs WHERE row_id BETWEEN 300 AND 1099")
+def csv_files_range(spark, d):
+    """A range of rows, whose parts alone are read."""
+    rows = csv_source.read_rows(spark, written_orders(spark, d), first=300, last=1099, part_bytes=1 << 11)
+    return rows.select("row_id", *features(rows), "label")
+
+
 @register("long_form", f"{OBS}, {LONG} SELECT * FROM long")
 def long_form(spark, d):
     return o.to_long(o.obs_orders(spark, d)).select("row_id", "label", "f", "v")

@@ -5,7 +5,7 @@
 
 The first line of each file declares num_data, num_features and num_classes. Files are cut into parts of ``partBytes`` bytes; a line
 belongs to the part where it begins. The source gives part (numbered over all files, in order), line (from 0 in the part, the header
-left out) and value; ``read_rows`` numbers rows with it and parses them in Spark. ``firstPart`` and ``lastPart`` leave other parts unread.
+left out) and value; ``read_rows`` numbers rows with it and parses them in Spark. ``firstPart`` and ``lastPart`` leave other parts unread; ``write_rows`` writes such files.
 Paths are local or URIs that pyarrow opens.
 """
 
@@ -216,3 +216,23 @@ def stream_rows(spark: SparkSession, path: str, kind: str = "int", part_bytes: i
     lines = spark.readStream.format("observations").option("partBytes", part_bytes).load(path)
     rows = lines.select((F.col("part") * part_bytes + F.col("line")).alias("row_id"), parse_row("value", declared.num_features, kind).alias("v"))
     return rows.select("row_id", F.slice("v", 1, max(declared.num_features - 1, 0)).alias("features"), F.get("v", F.lit(declared.num_features - 1)).cast("int").alias("label"))
+
+
+def write_rows(rows: DataFrame, path: str, num_classes: int, files: int = 8) -> None:
+    """Write row_id, features and label as header CSV files below path, in order of row_id over the files in order of names.
+
+    Each file's header declares the count of all rows. A null label is left out, so the line is short.
+    """
+    first = rows.agg(F.count(F.lit(1)), F.max(F.size("features"))).first()
+    declared = f"{first[0]},{(first[1] or 0) + 1},{num_classes}"
+    lines = rows.repartitionByRange(files, "row_id").sortWithinPartitions("row_id")
+    lines = lines.select(F.concat_ws(",", F.col("features").cast("array<string>"), F.col("label").cast("string")).alias("value"))
+
+    def headed(batches) -> Iterator:
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_arrays([pa.array([declared])], ["value"])
+        for b in batches:  # under one schema
+            yield pa.RecordBatch.from_arrays([b.column(0)], ["value"])
+
+    lines.mapInArrow(headed, "value string").write.mode("overwrite").text(path)

@@ -73,3 +73,14 @@ def test_values_are_parsed_once_and_by_prefix(spark):
     one = lambda x: spark.range(1).select(x.alias("x")).first()["x"]
     assert one(o.parse_row(F.lit("1e2, +4 ,2147483648,-7x,99"), 5)) == [1, 4, 0, -7, 99]
     assert one(o.parse_row(F.lit(",,,"), 2)) == [] and one(o.parse_row(F.lit("1,2,3"), 2)) == [1, 2]
+
+
+def test_written_files_are_read_back(spark, tmp_path):
+    rows = [(i, [i / 8, -1e-7 * i], i % 3 if i % 10 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "row_id long, features array<double>, label int").repartition(3)
+    path = str(tmp_path / "out")
+    c.write_rows(df, path, 3, files=4)
+    assert c.header(path) == c.Header(60, 3, 3) and len(c.files_of(path)) == 4
+    assert rows_of(c.read_rows(spark, path, "double", part_bytes=50)) == rows
+    c.write_rows(df.limit(0), path, 3)
+    assert c.read_rows(spark, path, "double").count() == 0
