@@ -32,7 +32,7 @@ from .quality import held_out, training_ids
 
 SPAN = 12
 #: Strengths of the evidence weights to choose from.
-STRENGTHS = (2.0, 3.0, 4.0, 5.0, 6.0, 8.0, 10.0, 14.0)
+STRENGTHS = (2.0, 3.0, 4.5, 6.0, 8.0, 12.0)
 #: Words without case; ASCII punctuation separates them.
 FOLDED = byte_values(lower=True, separators=bytes(c for c in range(128) if not chr(c).isalnum()))
 
@@ -251,13 +251,20 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_bytes:
     sample = rows.join(F.broadcast(picked), ["doc_id", "row"]).dropDuplicates(["doc_id"]).withColumn("calibrates", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(4)) == 0)
     sample = materialize(sample)
     # counts of all sampled rows, and of those that do not calibrate: words are those of all
-    words = counted(sample).toPandas().merge(counted(sample.where("not calibrates")).toPandas(), on="w", how="left", suffixes=("", "_seen")).fillna(0)
+    names = ("n0", "n1", "d0", "d1")
+    part = counted(sample.where("not calibrates")).select("w", *(F.col(c).alias(f"{c}_seen") for c in names))
+    both = counted(sample).join(part, "w", "left").fillna(0).select("w", *(F.col(c).cast("int").alias(c) for c in (*names, *(f"{c}_seen" for c in names))))
     docs_of = {(r["calibrates"], r["y"]): r["count"] for r in sample.groupBy("calibrates", "y").count().collect()}
     docs_seen = tuple(docs_of.get((False, y), 0) for y in (0, 1))
+    words = both.toArrow().to_pandas(split_blocks=True, self_destruct=True)  # bounded by max_rows and max_bytes
     words = words.iloc[np.argsort(words["w"].to_numpy(np.int64).view(np.uint64))]
     words["shared"], total = continuations(docs, words["w"].to_numpy(np.int64).view(np.uint64))
-    seen = words[["w", "shared"]].assign(**{c: words[f"{c}_seen"] for c in ("n0", "n1", "d0", "d1")})
-    models = [estimate(seen, float(total), docs_seen, strength) for strength in STRENGTHS]
+    seen = words[["w", "shared"]].assign(**{c: words[f"{c}_seen"] for c in names})
+    vocabulary, models = words["w"].to_numpy(np.int64).view(np.uint64).copy(), []
+    for strength in STRENGTHS:
+        m = estimate(seen, float(total), docs_seen, strength)
+        # what measures need: one set of words, and the ratios alone in single precision
+        models.append(Model(vocabulary, np.zeros(1, np.float32), (m.toxic - m.ordinary).astype(np.float32), (0.0, m.unknown[1] - m.unknown[0])))
 
     def measure(batches):
         import pyarrow as pa
