@@ -43,18 +43,22 @@ class BayesModel:
     def predict_truncated(self, rows: DataFrame, label_factor: bool = True, every_step: bool = True) -> DataFrame:
         """Add pred as whole-number products give it: the first class of the largest product.
 
-        every_step: the product is cut to a whole number at each factor; else only when products are compared. label_factor: the
-        label's column is multiplied in as well, whose shares were never counted and are 0.
+        every_step: the product, which begins with the prior, is cut to a whole number at each factor; else only when products are
+        compared, and the prior is the last factor. label_factor: the label's column is multiplied in as well, whose shares were
+        never counted and are 0.
         """
         whole = lambda x: F.floor(x).cast("double") if every_step else x  # noqa: E731  shares are not negative
 
         def product(c: int) -> Column:
-            score = whole(F.lit(self.prior.get(c, 0.0)))
+            prior, shares = F.lit(self.prior.get(c, 0.0)), []
             for f in range(self.num_features):
-                cells = sorted((v, p) for (k, g, v), p in self.cond.items() if k == c and g == f)
+                cells = sorted((v, p) for (k, g, v), p in self.cond.items() if k == c and g == f and v is not None)
                 table = F.create_map(*(x for v, p in cells for x in (F.lit(v), F.lit(p)))) if cells else None
-                share = F.coalesce(F.try_element_at(table, F.get("features", F.lit(f))), F.lit(0.0)) if cells else F.lit(0.0)
-                score = whole(score * share)
+                shares.append(F.coalesce(F.try_element_at(table, F.get("features", F.lit(f))), F.lit(0.0)) if cells else F.lit(0.0))
+            first, *rest = [prior, *shares] if every_step else [*shares, prior]  # doubles round by their order
+            score = whole(first)
+            for factor in rest:
+                score = whole(score * factor)
             return F.floor(score * F.lit(0.0) if label_factor else score)
 
         top = F.array_max(F.array(*(F.struct(product(c).alias("s"), F.lit(-c).alias("c")) for c in range(self.num_classes))))
