@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_values, discard, materialize, tokenized
+from .common import added, byte_values, positions, tokenized
 
 WINDOW, END_ID = 2048, 1
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -243,18 +243,23 @@ def place(ids: list[np.ndarray], words: list[np.ndarray], docs: list, windows: W
         last = picked
 
 
-def word_counts(batches):
-    """Hashes of words and how many texts of each batch have them."""
-    import pyarrow as pa
+#: Words are counted for routing by this many leading bits of their hashes. A text of w words adds to each count by chance in a share of w / 2**20.
+TERM_BITS = 20
 
-    for batch in batches:
-        found = [np.unique(words.of(k)) for _, words in tokenized(batch.column(0), PLAIN) for k in range(len(words))]
-        word, n = np.unique(np.concatenate([np.empty(0, np.uint64), *found]), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["word", "n"])
 
+def term_counts(texts) -> dict[int, np.ndarray]:
+    """How many texts of an Arrow array have each term, in numbered arrays of 2**14 terms."""
+    total = np.zeros(1 << TERM_BITS, np.int64)
+    for _, words in tokenized(texts, PLAIN):
+        text = np.repeat(np.arange(len(words), dtype=np.uint64), np.diff(words.first))
+        once = np.unique(text << np.uint64(TERM_BITS) | words.hashes >> np.uint64(64 - TERM_BITS))
+        term, n = np.unique(once & np.uint64((1 << TERM_BITS) - 1), return_counts=True)
+        total[term.astype(np.int64)] += n
+    return dict(enumerate(total.reshape(-1, 1 << 14)))
 
-def routing_keys(texts, common: np.ndarray) -> np.ndarray:
-    """For each text of an Arrow array the four least ranks in ``common`` (word hashes, rarest first) among its words, in 16 bits each.
+
+def routing_keys(texts, common: np.ndarray, bits: int = 64) -> np.ndarray:
+    """For each text of an Arrow array the four least ranks in ``common`` (leading ``bits`` of word hashes, rarest first) among its words, in 16 bits each.
 
     A text with fewer is told apart by its least word.
     """
@@ -262,8 +267,9 @@ def routing_keys(texts, common: np.ndarray) -> np.ndarray:
     names = common[order]
     out = np.zeros(len(texts), np.int64)
     for k, words in tokenized(texts, PLAIN):
-        at = np.minimum(np.searchsorted(names, words.hashes), len(names) - 1) if len(names) else np.zeros(len(words.hashes), np.int64)
-        rank = np.where(names[at] == words.hashes, order[at], -1) if len(names) else np.full(len(at), -1)
+        terms = words.hashes >> np.uint64(64 - bits)
+        at = np.minimum(np.searchsorted(names, terms), len(names) - 1) if len(names) else np.zeros(len(terms), np.int64)
+        rank = np.where(names[at] == terms, order[at], -1) if len(names) else np.full(len(at), -1)
         for j, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True), k):
             mine = np.unique(rank[a:b])
             mine = mine[mine >= 0][:4].tolist()
@@ -271,46 +277,43 @@ def routing_keys(texts, common: np.ndarray) -> np.ndarray:
             for r in mine:
                 key = key << 16 | r
             if len(mine) < 4:
-                bits = 16 * (4 - len(mine))
-                key = key << bits | 32_767 << bits - 16 | (int(words.hashes[a:b].min()) if a < b else 0) & (1 << bits - 16) - 1
+                left = 16 * (4 - len(mine))
+                key = key << left | 32_767 << left - 16 | (int(words.hashes[a:b].min()) if a < b else 0) & (1 << left - 16) - 1
             out[j] = key
     return out
 
 
-def routed(docs: DataFrame, sample: int = 5_000, share: float = 0.05) -> DataFrame:
+def routed(docs: DataFrame, share: float = 0.05) -> DataFrame:
     """docs (id, text) in partitions by ranges of the routing key, each sorted.
 
-    The key is made of the four rarest words of a text among those that at least ``share`` of a sample of about
-    ``sample`` rows have (or 25 rows a partition, if that is more). The sample's keys cut the ranges; ties, such as copies of
-    one text, are cut by a hash of id and text.
+    The key is made of the four rarest terms (see ``TERM_BITS``) of a text among those that at least ``share`` of all rows have.
+    The ranges hold equal counts of all rows; ties, such as copies of one text, are cut by a hash of id and text.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(docs.columns[0]).cast("long").alias("id"), F.col(docs.columns[1]).cast("string").alias("text")).withColumn("row", F.xxhash64("id", "text"))
     parts, rows = int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count()
-    sample = max(sample, 25 * parts)
-    some = materialize(docs.where(F.pmod("row", F.lit(max(1, rows // sample))) == 0).select("text", "row"))
-    words = some.select("text").mapInArrow(word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    least = max(2, int(share * min(rows, sample)))
+    counts = added(docs.select("text"), lambda batch: term_counts(batch.column(0)))
+    n = np.concatenate([counts[k] for k in sorted(counts)]) if counts else np.zeros(1)
     # at most 1 / share of the words of a mean text; 15 bits number them
-    common = words.where(F.col("n") >= least).orderBy("n", "word").limit(32_000).toPandas()["word"].to_numpy(np.int64).view(np.uint64)
+    common = np.flatnonzero(n >= max(2, int(share * rows)))
+    common = common[np.argsort(n[common], kind="stable")][:32_000].astype(np.uint64)
 
     def keys(batches):
         import pyarrow as pa
 
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(routing_keys(batch.column(0), common)), batch.column(1)], ["key", "row"])
+            yield pa.RecordBatch.from_arrays([pa.array(routing_keys(batch.column(0), common, TERM_BITS)), batch.column(1)], ["key", "row"])
 
-    # two numbers a sampled row
-    cuts = some.mapInArrow(keys, "key long, row long").orderBy("key", "row").toPandas()
-    at = np.arange(1, parts) * len(cuts) // parts
-    cut_keys, cut_rows = (cuts[c].to_numpy(np.int64)[at] if len(cuts) else np.empty(0, np.int64) for c in ("key", "row"))
-    discard(some)
+    # two numbers a row, numbered in their order; those at equal distances come to the driver
+    placed = positions(docs.select("text", "row").mapInArrow(keys, "key long, row long"), F.col("key"), F.col("row"))
+    cuts = placed.where(F.col("position").isin([rows * k // parts for k in range(1, parts)])).orderBy("position").select("key", "row").toPandas()
+    cut_keys, cut_rows = (cuts[c].to_numpy(np.int64) for c in ("key", "row"))
 
     def dealt(batches):
         import pyarrow as pa
 
         for batch in batches:
-            key, row = routing_keys(batch.column(1), common), batch.column(2).to_numpy(zero_copy_only=False)
+            key, row = routing_keys(batch.column(1), common, TERM_BITS), batch.column(2).to_numpy(zero_copy_only=False)
             low, high = np.searchsorted(cut_keys, key), np.searchsorted(cut_keys, key, side="right")
             for k in np.flatnonzero(low < high):
                 low[k] += np.searchsorted(cut_rows[low[k] : high[k]], row[k])
