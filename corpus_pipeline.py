@@ -9,11 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from streamlode.llm import exact_dedup, minhash, mixing, packing, quality
-from streamlode.llm.common import materialize
+from streamlode.llm.common import BATCHES, materialize
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; it learns from the labels of documents that are present."""
+    """Documents that the quality classifier accepts; it learns from the labels of documents that are present.
+
+    The session keeps small batches for Python workers, since the texts are scored when the result is written.
+    """
+    for k, v in BATCHES.items():
+        spark.conf.set(k, v)
     return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 

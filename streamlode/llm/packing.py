@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import added, byte_values, positions, tokenized
+from .common import added, byte_values, materialize, positions, tokenized
 
 WINDOW, END_ID = 2048, 1
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -329,7 +329,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, shard: int = 150
     A null text is empty and gives one piece, the end id alone. Repeated rows are packed once each, in
     pieces of their own. A document of any length is cut over as many windows as it fills. No rows give no pieces.
     sequence_id is the task's number times 2**32 plus a count, so it does not depend on other tasks.
-    ``shard`` bounds the rows of an index, and with ``most_bytes`` of text the memory of a task.
+    ``shard`` bounds the rows of an index, and with ``most_bytes`` of text the memory of a task. The pieces (a few
+    numbers each) are written down at once, so that tasks get the small batches of ``materialize``.
     """
 
     def run(batches):
@@ -347,8 +348,9 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, shard: int = 150
 
         def flush(held):
             docs, texts = pa.concat_arrays([d for d, _ in held]).to_pylist(), pa.concat_arrays([t for _, t in held])
+            ids = [np.append(x, np.uint32(END_ID)) for x in encoder.encode(texts)]
             terms = [words.of(k) for _, words in tokenized(texts, PLAIN) for k in range(len(words))]
-            return rows(list(place([np.append(x, np.uint32(END_ID)) for x in encoder.encode(texts)], terms, docs, windows)))
+            return rows(list(place(ids, terms, docs, windows)))
 
         held, count, size = [], 0, 0
         for batch in batches:
@@ -366,7 +368,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, shard: int = 150
             yield flush(held)
         yield rows(list(windows.finish()))
 
-    return routed(docs.select(F.col(id_col), F.col(text_col).cast("string"))).mapInArrow(run, PIECE)
+    return materialize(routed(docs.select(F.col(id_col), F.col(text_col).cast("string"))).mapInArrow(run, PIECE))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

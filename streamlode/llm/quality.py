@@ -288,8 +288,10 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_row
         import pyarrow as pa
 
         for b in batches:
-            score = np.concatenate([model.score(x) for x in measured(b.column(at))])
-            yield b.filter(pa.array(score >= threshold))
+            done = 0
+            for x in measured(b.column(at)):  # handed on in as small parts
+                yield b.slice(done, len(x)).filter(pa.array(model.score(x) >= threshold))
+                done += len(x)
 
     return docs.mapInArrow(run, docs.schema)
 
