@@ -348,7 +348,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, shard: int = 150
 
         def flush(held):
             docs, texts = pa.concat_arrays([d for d, _ in held]).to_pylist(), pa.concat_arrays([t for _, t in held])
-            ids = [np.append(x, np.uint32(END_ID)) for x in encoder.encode(texts)]
+            # in parts, since what encoding holds beside the ids is many times the text
+            ids = [np.append(x, np.uint32(END_ID)) for k in range(0, len(texts), 250) for x in encoder.encode(texts.slice(k, 250))]
             terms = [words.of(k) for _, words in tokenized(texts, PLAIN) for k in range(len(words))]
             return rows(list(place(ids, terms, docs, windows)))
 
