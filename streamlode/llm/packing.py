@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import added, byte_values, materialize, positions, tokenized
+from .common import added, byte_values, discard, materialize, positions, tokenized
 
 WINDOW, END_ID = 2048, 1
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -39,6 +39,8 @@ SPACES = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x
 ODD = rf" [{SPACES}]|[{SPACES}] |^ | $|^$"
 #: How byte-level BPE splits texts before merging (fixed value of its public definition).
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The part of it that matters only where white space stands side by side.
+AHEAD = r"|\s+(?!\S)"
 #: Runs of white space beyond this go to the slower library, whose pattern engine has no stack limit.
 LONG_RUN = re.compile(r"\s{20000}")
 
@@ -65,6 +67,8 @@ class Encoder:
             self.spaced = np.zeros(max(model["vocab"].values()) + 1, bool)
             self.spaced[[k for token, k in ranks.items() if token[:1] == b" "]] = True
             self.fast = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+            # for texts without white space side by side; matching is faster if the pattern never looks ahead
+            self.single = tiktoken.Encoding("single", pat_str=SPLIT.replace(AHEAD, ""), mergeable_ranks=ranks, special_tokens={})
 
     @functools.cached_property
     def tokenizer(self):
@@ -88,9 +92,7 @@ class Encoder:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
-        for x in self.special:
-            odd = odd | pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, "|".join([ODD, *map(re.escape, self.special)])).to_numpy(zero_copy_only=False)
         odd = odd | (self.fast is None)
         out: list = [None] * len(texts)
         for k in np.flatnonzero(odd).tolist():
@@ -105,17 +107,17 @@ class Encoder:
         heads_ids = [self.fast.encode_ordinary(p) for p in first]
         flat = np.fromiter(chain.from_iterable(heads_ids), np.uint32)
         runs = pa.ListArray.from_arrays(np.append(np.arange(0, len(rest.dictionary), 5000), len(rest.dictionary)).astype(np.int32), rest.dictionary)
-        joined = [flat, *(np.array(self.fast.encode_ordinary(" " + run), np.uint32) for run in pc.binary_join(runs, " ").to_pylist())]
+        runs = pc.binary_join(runs, " ")
+        doubled = pc.match_substring_regex(runs, rf"[{SPACES}]{{2}}").to_pylist()
+        joined = [flat, *(np.fromiter((self.fast if d else self.single).encode_ordinary(" " + run), np.uint32) for run, d in zip(runs.to_pylist(), doubled, strict=True))]
         flat = np.concatenate(joined)
         # each later piece starts with the one of its tokens that starts with a space
         starts = np.append(np.cumsum([0, *map(len, heads_ids)])[:-1], len(joined[0]) + np.flatnonzero(self.spaced[flat[len(joined[0]) :]])).astype(np.int64)
-        lengths = np.diff(starts, append=len(flat))
         code = np.empty(len(values), np.int64)
         code[heads], code[~heads] = np.arange(len(first)), len(first) + rest.indices.to_numpy(zero_copy_only=False)
-        n = lengths[code]
-        ends = np.cumsum(n)
-        laid = flat[np.repeat(starts[code] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
-        cuts = np.append(0, ends)[np.append(0, np.cumsum(counts))].tolist()
+        laid = pa.LargeListArray.from_arrays(np.append(starts, len(flat)), flat).take(pa.array(code))
+        cuts = laid.offsets.to_numpy()[np.append(0, np.cumsum(counts))].tolist()
+        laid = laid.values.to_numpy()
         for k, a, b in zip(np.flatnonzero(~odd).tolist(), cuts, cuts[1:], strict=False):
             out[k] = laid[a:b]
         return out
@@ -135,25 +137,35 @@ def encoder_of(path: str) -> Encoder:
     return Encoder(path)
 
 
+def changes(values: np.ndarray) -> np.ndarray:
+    """Where a sorted array takes a new value; np.unique hashes, which is slower than sorting."""
+    out = np.ones(len(values), bool)
+    out[1:] = values[1:] != values[:-1]
+    return out
+
+
 class Shard:
     """A BM25 index over a run of documents; gives the best unused neighbours of a document."""
 
     K1, B = 1.2, 0.75
 
     def __init__(self, words: list[np.ndarray]):
+        import pyarrow as pa
+
         n = len(words)
-        bags = [np.unique(w, return_counts=True) for w in words]
-        sizes = [len(b) for b, _ in bags]
-        doc, count = np.repeat(np.arange(n), sizes), np.concatenate([np.empty(0, np.int64), *(c for _, c in bags)])
-        terms, term = np.unique(np.concatenate([np.empty(0, np.uint64), *(b for b, _ in bags)]), return_inverse=True)
-        df = np.bincount(term, minlength=len(terms))
+        sizes = np.array([len(w) for w in words], np.int64)
+        numbered = pa.array(np.concatenate([np.empty(0, np.uint64), *words])).dictionary_encode()
+        pairs = np.sort(np.repeat(np.arange(n), sizes) << 32 | numbered.indices.to_numpy())
+        at = np.flatnonzero(changes(pairs))
+        doc, term, count = pairs[at] >> 32, pairs[at] & 0xFFFFFFFF, np.diff(at, append=len(pairs))
+        df = np.bincount(term, minlength=len(numbered.dictionary))
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        length = np.array([len(w) for w in words], float)
+        length = sizes.astype(float)
         norm = self.K1 * (1 - self.B + self.B * length / max(length.mean(), 1e-9)) if n else length
         weight = idf[term] * count * (self.K1 + 1) / (count + norm[doc])
         self.n = n
         # terms of many documents: a dense row each
-        often = df > max(n / 4, 1)
+        often = df > max(n / 16, 1)
         row, mine = np.cumsum(often) - 1, often[term]
         self.dense = np.zeros((int(often.sum()), n), np.float32)
         self.dense[row[term[mine]], doc[mine]] = weight[mine]
@@ -162,9 +174,9 @@ class Shard:
         mine = ~mine & (df[term] > 1)
         self.term, doc, weight = term[mine], doc[mine], weight[mine]
         self.doc_at = np.searchsorted(doc, np.arange(n + 1))
-        order = np.argsort(self.term, kind="stable")
+        order = np.sort(self.term << 32 | np.arange(len(self.term))) & 0xFFFFFFFF
         self.post_doc, self.post_weight = doc[order], weight[order]
-        self.post_at = np.searchsorted(self.term[order], np.arange(len(terms) + 1))
+        self.post_at = np.append(0, np.cumsum(np.bincount(self.term, minlength=len(df))))
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of each document of the shard for all distinct terms of the seed that another document has."""
@@ -174,6 +186,19 @@ class Shard:
         often = self.dense[self.dense_row[self.dense_at[seed] : self.dense_at[seed + 1]]].sum(axis=0)
         return often + np.bincount(self.post_doc[hit], self.post_weight[hit], self.n)
 
+    def neighbours(self, seed: int, used: np.ndarray) -> Iterator[int]:
+        """All unused documents that share a term with the seed, best first and in order at equal scores.
+
+        The best few are sorted at once, since a window seldom takes more; the others when they are asked for.
+        """
+        scores = self.scores(seed)
+        scores[used] = 0
+        found = np.flatnonzero(scores > 0)
+        order = -scores[found]
+        best = np.ones(len(found), bool) if len(found) <= 32 else order <= np.partition(order, 31)[31]
+        for part in (best, ~best):
+            yield from found[part][np.argsort(order[part], kind="stable")].tolist()
+
 
 class Windows:
     """Lays token runs into windows; yields pieces (doc, start, length, ids, doc tokens, sequence, offset)."""
@@ -221,12 +246,7 @@ def place(ids: list[np.ndarray], words: list[np.ndarray], docs: list, windows: W
                 seed += 1
             picked, queue = seed, None
         else:
-            picked = None
-            while queue:
-                k = queue.pop()
-                if not used[k]:
-                    picked = k
-                    break
+            picked = next((k for k in queue if not used[k]), None)
             if picked is None:
                 while used[seed]:
                     seed += 1
@@ -236,10 +256,7 @@ def place(ids: list[np.ndarray], words: list[np.ndarray], docs: list, windows: W
         yield from windows.add(docs[picked], ids[picked])
         if queue is None or lengths[picked] >= room:
             # the document that now opens a window is its seed
-            scores = index.scores(picked)
-            scores[used] = 0
-            found = np.flatnonzero(scores > 0)
-            queue = found[np.lexsort((found, -scores[found]))][::-1].tolist()
+            queue = index.neighbours(picked, used)
         last = picked
 
 
@@ -251,35 +268,60 @@ def term_counts(texts) -> dict[int, np.ndarray]:
     """How many texts of an Arrow array have each term, in numbered arrays of 2**14 terms."""
     total = np.zeros(1 << TERM_BITS, np.int64)
     for _, words in tokenized(texts, PLAIN):
-        text = np.repeat(np.arange(len(words), dtype=np.uint64), np.diff(words.first))
-        once = np.unique(text << np.uint64(TERM_BITS) | words.hashes >> np.uint64(64 - TERM_BITS))
-        term, n = np.unique(once & np.uint64((1 << TERM_BITS) - 1), return_counts=True)
-        total[term.astype(np.int64)] += n
+        text = np.repeat(np.arange(len(words)), np.diff(words.first))
+        found = np.sort(text << TERM_BITS | (words.hashes >> np.uint64(64 - TERM_BITS)).astype(np.int64))
+        np.add.at(total, found[changes(found)] & (1 << TERM_BITS) - 1, 1)
     return dict(enumerate(total.reshape(-1, 1 << 14)))
 
 
+#: Stands after the ranks of common words in a routing key; ranks are smaller.
+NO_RANK = 32_767
+#: What is left below that in a key, by the count of its ranks.
+LOW_BITS = np.array([(1 << 48) - 1, (1 << 32) - 1, (1 << 16) - 1, 0, 0], np.uint64)
+
+
+def ranks(common: np.ndarray, bits: int):
+    """A function that gives the place in ``common`` of each term (``bits`` wide) of an array, NO_RANK for others."""
+    if bits <= TERM_BITS:
+        table = np.full(1 << bits, NO_RANK, np.int64)
+        table[common.astype(np.int64)] = np.arange(len(common))
+        return lambda terms: table[terms.astype(np.int64)]
+    order = np.argsort(common)
+    names = np.append(common[order], np.uint64(0))
+    order = np.append(order, NO_RANK)
+
+    def found(terms):
+        at = np.searchsorted(names[:-1], terms)
+        return np.where(names[at] == terms, order[at], NO_RANK)
+
+    return found
+
+
 def routing_keys(texts, common: np.ndarray, bits: int = 64) -> np.ndarray:
     """For each text of an Arrow array the four least ranks in ``common`` (leading ``bits`` of word hashes, rarest first) among its words, in 16 bits each.
 
     A text with fewer is told apart by its least word.
     """
-    order = np.argsort(common)
-    names = common[order]
+    rank_of = ranks(common, bits)
     out = np.zeros(len(texts), np.int64)
     for k, words in tokenized(texts, PLAIN):
-        terms = words.hashes >> np.uint64(64 - bits)
-        at = np.minimum(np.searchsorted(names, terms), len(names) - 1) if len(names) else np.zeros(len(terms), np.int64)
-        rank = np.where(names[at] == terms, order[at], -1) if len(names) else np.full(len(at), -1)
-        for j, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True), k):
-            mine = np.unique(rank[a:b])
-            mine = mine[mine >= 0][:4].tolist()
-            key = 0
-            for r in mine:
-                key = key << 16 | r
-            if len(mine) < 4:
-                left = 16 * (4 - len(mine))
-                key = key << left | 32_767 << left - 16 | (int(words.hashes[a:b].min()) if a < b else 0) & (1 << left - 16) - 1
-            out[j] = key
+        n, counts = len(words), np.diff(words.first)
+        rank = rank_of(words.hashes >> np.uint64(64 - bits))
+        known = np.flatnonzero(rank != NO_RANK)
+        found = np.sort(np.repeat(np.arange(n), counts)[known] << 16 | rank[known])
+        found = found[changes(found)]
+        text = found >> 16
+        place = np.arange(len(text)) - np.searchsorted(text, text)
+        least = np.zeros((n, 5), np.int64)
+        least[text[place < 4], place[place < 4]] = found[place < 4] & 0xFFFF
+        # after the last rank of a text with fewer than four
+        have = np.minimum(np.bincount(text, minlength=n), 4)
+        least[np.arange(n), have] = NO_RANK
+        word = np.zeros(n, np.uint64)
+        if len(rank):
+            word[counts > 0] = np.minimum.reduceat(words.hashes, words.first[:-1][counts > 0])
+        rest = (word & LOW_BITS[have]).astype(np.int64)
+        out[k : k + n] = least[:, 0] << 48 | least[:, 1] << 32 | least[:, 2] << 16 | least[:, 3] | rest
     return out
 
 
@@ -304,9 +346,11 @@ def routed(docs: DataFrame, share: float = 0.05) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(routing_keys(batch.column(0), common, TERM_BITS)), batch.column(1)], ["key", "row"])
 
-    # two numbers a row, numbered in their order; those at equal distances come to the driver
-    placed = positions(docs.select("text", "row").mapInArrow(keys, "key long, row long"), F.col("key"), F.col("row"))
+    # two numbers a row, written down since numbering reads them twice (range partitions are sampled first); those at equal distances come to the driver
+    keyed = materialize(docs.select("text", "row").mapInArrow(keys, "key long, row long"))
+    placed = positions(keyed, F.col("key"), F.col("row"))
     cuts = placed.where(F.col("position").isin([rows * k // parts for k in range(1, parts)])).orderBy("position").select("key", "row").toPandas()
+    discard(keyed)
     cut_keys, cut_rows = (cuts[c].to_numpy(np.int64) for c in ("key", "row"))
 
     def dealt(batches):
